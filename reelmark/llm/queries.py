@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 
 
 def tokenizer_path() -> str:
@@ -14,6 +14,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import sample_features, score, train_model
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = held_out("doc_id", 5, 0)
+    model = train_model(sample_features(docs, table(spark, sf_dir, "labels"), ~fold))
+    out = score(docs, model)
+    return out.select("doc_id", fold.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn_dictionaries
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = held_out("doc_id", 4, 2)
+    out = identify(docs.drop("lang"), learn_dictionaries(docs, ~fold))
+    return out.select("doc_id", fold.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -44,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc)}
 
 ORACLE_SQL = {
     "op3_line_dedup": r"""
