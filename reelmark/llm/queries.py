@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .common import held_out, table
 
 
@@ -40,6 +41,35 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.col("places.start")
+    joined = (F.array_join(c, ",").alias(c) for c in ("base_labels", "labels"))
+    return out.select("doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), *joined, "score")
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    out = nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0, k=10)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicate_components
+
+    return near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_items
 
@@ -63,7 +93,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc)}
+def _rows(pairs) -> str:
+    """SQL rows of (phrase or label, text) pairs."""
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in pairs)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_license_scans, op5_nearest_neighbours, op6_jaccard_join, op7_suffix_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc)}
 
 ORACLE_SQL = {
     "op3_line_dedup": r"""
@@ -81,6 +116,60 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op4_license_scans": rf"""
+WITH w AS (
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrases(p, label) AS (VALUES {_rows(licenses.PHRASES)}),
+places AS (
+  SELECT doc_id, i - 1 AS start, label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) x, (SELECT string_split(p, ' ') AS p, label FROM phrases) y
+  WHERE x.w[x.i : x.i + len(y.p) - 1] = y.p
+), base AS (
+  SELECT doc_id, count(*) AS n, min(start) AS a, max(start) AS b, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), templates AS (
+  SELECT label, list_distinct(regexp_extract_all(lower(t), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM (VALUES {_rows(licenses.TEMPLATES)}) v(label, t)
+), lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+), met AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(len(list_intersect(w, t)) AS DOUBLE) / len(t)) AS most
+  FROM lines, templates WHERE 10 * len(list_intersect(w, t)) >= 9 * len(t) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.a AS first_word, b.b AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.most, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base b ON w.doc_id = b.doc_id LEFT JOIN met m ON w.doc_id = m.doc_id
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(doc_id, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.m = l.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT doc_id, min(m) AS m FROM reach GROUP BY doc_id) r ON w.doc_id = r.doc_id
+""",
+    "op7_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+segments AS (SELECT doc_id, k, substring(h, 2 * k + 1, 698) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 300)) AS k FROM d WHERE len(h) >= 100)),
+p AS (SELECT doc_id, k + j AS i, substring(g, 2 * j + 1, 100) AS s FROM (SELECT doc_id, k, g, unnest(range(0, len(g) // 2 - 49)) AS j FROM segments)),
+o AS (SELECT s, min(doc_id) AS owner FROM p GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT p.doc_id, p.i, p.i - lag(p.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS gap FROM p JOIN o ON p.s = o.s WHERE p.doc_id > o.owner),
+runs AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, r),
+edges AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans
+          UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT e.doc_id, string_agg(substring(d.h, 2 * e.a + 1, 2 * (coalesce(e.b, len(d.h) // 2) - e.a)), '' ORDER BY e.a) AS k FROM edges e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed, coalesce(n.n_spans, 0) AS n_spans,
+       sha256(from_hex(coalesce(k.k, d.h))) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
     "op8_decontaminate": r"""
 WITH dw AS (
