@@ -1,7 +1,7 @@
 """WARC archives: a writer with revisit records and a sequential reader.
 
-Writing: payload digests are grouped natively to find equal payloads, rows are dealt by id into archives of a
-bounded size, and each task streams its rows into gzip members, one per record. Archive names follow from the
+Writing: payload digests are grouped natively to find equal payloads, and each task streams its rows into gzip
+members, one per record, beginning another archive when one is large enough. Archive names follow from the
 partition, so a task that runs again replaces its own files.
 
 Reading: one task walks an archive from front to back in small chunks: an incremental inflater per gzip member,
@@ -162,30 +162,33 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     fs_out, root = _fs(out)
     fs_out.create_dir(root, recursive=True)
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
-    size = pages.select(F.sum(F.length(body))).first()[0] or 0
-    n = max(8, -(-size // (archive_mb << 20)))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), body.alias("_body"))
     refs = revisits(pages.filter(F.col(id_col).isNotNull()), id_col, body, least_bytes)
-    # Both sides are dealt by id into n partitions, which the join takes as they are.
-    dealt = rows.repartition(n, "_id").join(refs.repartition(n, "_id"), "_id", "left").sortWithinPartitions("_id", "_url")
+    dealt = rows.join(refs, "_id", "left").sortWithinPartitions("_id", "_url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         fs, folder = _fs(out)
-        name = f"part-{task.partitionId():06d}.warc.gz"
-        temp = f"{folder}/.{name}.{task.taskAttemptId()}"
-        count = 0
-        with fs.open_output_stream(temp, compression=None) as sink:
-            for batch in batches:
-                for i, url, data, ref in zip(batch["_id"], batch["_url"], batch["_body"], batch["_refers"], strict=True):
+        rows = (x for batch in batches for x in zip(batch["_id"], batch["_url"], batch["_body"], batch["_refers"], strict=True))
+        names, counts, more = [], [], next(rows, None)
+        while more:
+            name = f"part-{task.partitionId():06d}-{len(names):04d}.warc.gz"
+            temp = f"{folder}/.{name}.{task.taskAttemptId()}"
+            count = size = 0
+            with fs.open_output_stream(temp, compression=None) as sink:
+                while more and size < archive_mb << 20:
+                    i, url, data, ref = more
                     data = bytes(data)
                     urn = "urn:page:null" if pd.isna(i) else f"urn:page:{int(i)}"
-                    sink.write(_gzip(record(urn, url, data, hashlib.sha1(data).hexdigest(), None if pd.isna(ref) else f"urn:page:{int(ref)}")))
-                    count += 1
-        fs.move(temp, f"{folder}/{name}")
-        yield pd.DataFrame({"archive": [f"{out}/{name}"], "n_records": [count]})
+                    member = _gzip(record(urn, url, data, hashlib.sha1(data).hexdigest(), None if pd.isna(ref) else f"urn:page:{int(ref)}"))
+                    sink.write(member)
+                    count, size, more = count + 1, size + len(member), next(rows, None)
+            fs.move(temp, f"{folder}/{name}")
+            names.append(f"{out}/{name}")
+            counts.append(count)
+        yield pd.DataFrame({"archive": names, "n_records": counts}).astype({"archive": "object", "n_records": "int64"})
 
     return written(dealt.mapInPandas(write, "archive string, n_records bigint"), "warc-list")
 
