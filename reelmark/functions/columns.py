@@ -104,7 +104,7 @@ def ramp(move: Column, present: Column, full: float = FULL_MOVE, share: float =
 
 def split_prompts(c: Column | str) -> Column:
     """The prompts of a comma-separated list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(_col(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def any_word(c: Column | str, words: Iterable[str]) -> Column:

@@ -83,6 +83,9 @@ def consensus_of(df: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
     return df.groupBy(*keys).agg(ns.alias("n_success"), n.alias("n_votes"), consensus(ns, n).alias("consensus"), votes(ns, n).alias("votes"))
 
 
-def first_record(*records: str) -> Column:
-    """The first signal that has a record for the episode: whole records, not field by field."""
-    return F.coalesce(*map(F.col, records))
+def first_record(fields: dict[str, str]) -> Column:
+    """A field of the first signal that has a record, {signal: field}: null if that record's is, whatever others say."""
+    out = F.lit(None)
+    for signal, field in reversed(fields.items()):
+        out = F.when(F.col(signal).isNotNull(), F.col(f"{signal}.{field}")).otherwise(out)
+    return out

@@ -32,7 +32,7 @@ def fused_audit(vlm: DataFrame, seg: DataFrame, geo: DataFrame | None = None, *,
         signals["geo"] = geo.filter("features.bimanual is not null").select("episode", "label", F.coalesce("features.bimanual.any_hold", F.lit(False)).alias("any_hold"), F.coalesce("features.bimanual.handover_detected", F.lit(False)).alias("handover"), F.coalesce("features.bimanual.total_slips", F.lit(0)).alias("total_slips"))
     rows = fusion.spine(signals, "episode")
     columns = [F.col(f"{n}.{c}").alias(f"{n}_{c}") for n, d in signals.items() for c in d.columns if c not in ("episode", "label")]
-    flat = rows.select("episode", fusion.first_record(*signals)["label"].alias("label"), *columns)
+    flat = rows.select("episode", fusion.first_record({n: "label" for n in signals}).alias("label"), *columns)
     if geo is None:
         flat = flat.withColumn("geo_any_hold", F.lit(None).cast("boolean"))
     t = fusion.calibration(v, "p_done_late") if threshold is None else threshold
