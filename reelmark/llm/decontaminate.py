@@ -67,20 +67,20 @@ def matchers(items: list[tuple], width: int) -> list[WuManber]:
     return list(by_length.values())
 
 
-def find_items(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_mb: int = 16) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """Every column of docs, plus n_words, hit_words (places, sorted) and items (ids as strings, sorted).
 
     Null texts have no words; an item with a null id is looked for under the id "null"; an empty item table hits
-    nothing. Items are taken in blocks of about block_mb of text; only with more than one block are the blocks'
-    hits, narrow rows of documents with a hit, brought together.
+    nothing. Items are taken in blocks of about block_bytes of text, a pass over the documents each. Columns of the added names are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("n_words", "hit_words", "items")
     keyed = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
     size = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (block_mb << 20)))
+    blocks = max(1, -(-size // block_bytes))
     out = docs
     for k in range(blocks):
-        part = keyed.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about block_mb
+        part = keyed.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about block_bytes
         out = _search(out, spark.sparkContext.broadcast(matchers([tuple(r) for r in part], width)), text_col, k == 0)
     return out
 

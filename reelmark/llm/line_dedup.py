@@ -148,9 +148,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A key of at least least_chars code points held by two documents or more stays only in the document with the
     smallest id; that one keeps all its lines. Null and empty texts are one empty line and come back as ''. Rows
-    with a null id keep all lines and count for no other. Rows with one id are one document.
+    with a null id keep all lines and count for no other. Rows with one id are one document. Columns of the added
+    names are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped", "_drop", "_doc")
     hashes = written(line_hashes(docs, id_col, text_col, least_chars), "line-hashes")
     counts = written(hashes.groupBy("hi", "lo").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).select("hi", "lo", "owner", F.when(F.col("owner") == F.col("_last"), 1).otherwise(F.col("n")).alias("n_docs")), "line-counts")
     size = counts.agg(F.count("*"), F.sum("n_docs")).first()

@@ -141,17 +141,17 @@ def _fs(uri: str):
 
 
 def revisits(pages: DataFrame, id_col: str, payload: Column, least_bytes: int) -> DataFrame:
-    """(id, refers_to) of the rows whose payload an equal one with a larger id answers for.
+    """(id, digest, refers_to) of the rows whose payload an equal one with a larger id answers for.
 
     Digests are narrow rows. A digest with more rows than others is one row on the other side of the join, so
     the adaptive skew join may split it.
     """
     keys = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"), F.length(payload).alias("_n")).filter(F.col("_n") >= least_bytes)
     last = keys.groupBy("_sha", "_n").agg(F.max("_id").alias("_last"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
-    return keys.join(last, ["_sha", "_n"]).filter("_id <> _last").groupBy("_id").agg(F.max("_last").alias("_refers"))
+    return keys.join(last, ["_sha", "_n"]).filter("_id <> _last").groupBy("_id", "_sha").agg(F.max("_last").alias("_refers"))
 
 
-def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 1000, archive_mb: int = 64) -> DataFrame:
+def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 1000, archive_bytes: int = 64 << 20) -> DataFrame:
     """Writes a record per row and returns the archives written: (archive, n_records), a small table.
 
     Null bodies are empty payloads, null urls empty URIs; rows with equal ids are each written; a null id is
@@ -162,9 +162,9 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     fs_out, root = _fs(out)
     fs_out.create_dir(root, recursive=True)
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), body.alias("_body"))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), body.alias("_body"), F.sha1(body).alias("_sha"))
     refs = revisits(pages.filter(F.col(id_col).isNotNull()), id_col, body, least_bytes)
-    dealt = rows.join(refs, "_id", "left").sortWithinPartitions("_id", "_url")
+    dealt = rows.join(refs, ["_id", "_sha"], "left").sortWithinPartitions("_id", "_url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -178,7 +178,7 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
             temp = f"{folder}/.{name}.{task.taskAttemptId()}"
             count = size = 0
             with fs.open_output_stream(temp, compression=None) as sink:
-                while more and size < archive_mb << 20:
+                while more and size < archive_bytes:
                     i, url, data, ref = more
                     data = bytes(data)
                     urn = "urn:page:null" if pd.isna(i) else f"urn:page:{int(i)}"
