@@ -32,7 +32,7 @@ def learn_dictionaries(docs: DataFrame, train: Column, *, id_col: str = "doc_id"
 
     The bound: per language the rows_each rows with the smallest hashes of their id, among rows of at most
     most_chars characters; of these, evenly cut pieces up to dictionary_bytes. Only ids are ranked; texts of the
-    chosen ids alone reach the driver.
+    chosen ids alone reach the driver. The languages come in order of their training rows, commonest first.
     """
     n = F.length(text_col)
     rows = docs.filter(train & F.col(lang_col).isNotNull() & (n > 0) & (n <= most_chars)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
@@ -43,8 +43,9 @@ def learn_dictionaries(docs: DataFrame, train: Column, *, id_col: str = "doc_id"
     by: dict[str, list[bytes]] = {}
     for lang, text in sorted(tuple(r) for r in texts.select(lang_col, text_col).collect()):
         by.setdefault(lang, []).append(letters(text))
+    held = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}  # a row per language
     out = {}
-    for lang, own in by.items():
+    for lang, own in sorted(by.items(), key=lambda x: (-held.get(x[0], 0), x[0])):
         share = max(64, dictionary_bytes // len(own))
         out[lang] = b"\n".join(t if len(t) <= share else t[(len(t) - share) // 2 :][:share] for t in own)
     return out
@@ -52,7 +53,7 @@ def learn_dictionaries(docs: DataFrame, train: Column, *, id_col: str = "doc_id"
 
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes], level: int, piece: int):
-        self.langs, self.piece, self.all = sorted(dictionaries), piece, []
+        self.langs, self.piece, self.all = list(dictionaries), piece, []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(dictionaries[lang]), source_size=piece, write_content_size=False, write_dict_id=False)
@@ -68,7 +69,7 @@ class Compressors:
         cuts = [len(data) * k // n for k in range(n + 1)]
         pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         sizes = np.array([sum(len(c(p)) for p in pieces) for c in self.all], float)
-        best = int(np.argmin(sizes))  # ties: the language that sorts first
+        best = int(np.argmin(sizes))  # ties: the commonest language, which comes first
         if len(sizes) == 1:
             return self.langs[0], 1.0
         return self.langs[best], float(1 - sizes[best] / np.partition(sizes, 1)[1])
