@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,39 +234,58 @@ def _rest_pairs(live: DataFrame, t: tuple[int, int]) -> DataFrame:
     return _enough(near.select(F.least("xs", "sid").alias("a"), F.greatest("xs", "sid").alias("b"), F.least("xk", "k").alias("need"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets have Jaccard t or more; sets is stored in buckets by sid and not shuffled."""
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, t: tuple[int, int]) -> DataFrame:
+    """The pairs whose sets have Jaccard t or more; texts are stored in buckets by sid and not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def set_of(sid: int, data: bytes) -> np.ndarray:
+            nonlocal held
+            s = known.get(sid)
+            if s is None:
+                s = known[sid] = shingle_set(unpack(data), shingle)
+                held += len(s)
+            return s
+
         for batch in batches:
             a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
             good = []
-            for p, q in zip(x, y, strict=True):
-                both = np.concatenate([np.frombuffer(p, U), np.frombuffer(q, U)])
+            for p, q, u, v in zip(a, b, x, y, strict=True):
+                if held > 4_000_000:  # 32 MB
+                    known.clear()
+                    held = 0
+                both = np.concatenate([set_of(p, u), set_of(q, v)])
                 n = len(both)
                 both.sort(kind="stable")
                 i = int((both[1:] == both[:-1]).sum())
                 good.append(t[1] * i >= t[0] * (n - i))
             yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    x = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+    x = texts.select(F.col("sid").alias("a"), F.col("data").alias("x"))
+    y = texts.select(F.col("sid").alias("b"), F.col("data").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _store_sets(docs: DataFrame, wanted: DataFrame, shingle: int, buckets: int) -> tuple[SparkSession, str]:
-    """Writes the sets of the wanted (doc_id, sid), in buckets by sid, and returns the table's name."""
+def _store_texts(docs: DataFrame, wanted: DataFrame, buckets: int) -> tuple[SparkSession, str]:
+    """Writes the texts of the wanted (doc_id, sid), in buckets by sid, and returns the table's name.
+
+    Texts are compressed before they travel: half the size of what the shuffle makes of them, and less than their sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            hashes = [shingle_set(x or b"", shingle).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["sid", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
 
     spark = docs.sparkSession
-    path = shared_dir(spark, "sets")
-    name = "sets_" + path[-32:]
-    rows = docs.join(wanted, "doc_id").dropDuplicates(["sid"]).select("sid", "text").mapInArrow(run, "sid bigint, hashes binary")
-    rows.repartition(buckets, "sid").write.option("path", path).bucketBy(buckets, "sid").sortBy("sid").saveAsTable(name)
+    path = shared_dir(spark, "texts")
+    name = "texts_" + path[-32:]
+    packed = docs.filter("text is not null").mapInArrow(run, "doc_id bigint, data binary")
+    rows = packed.join(wanted, "doc_id").select("sid", "data").repartition(buckets, "sid").dropDuplicates(["sid"])
+    rows.write.option("path", path).bucketBy(buckets, "sid").sortBy("sid").saveAsTable(name)
     return spark, name
 
 
@@ -287,8 +307,8 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     live = written(_shared(_postings(docs, shingle, t, shared, float(np.median(counts) + 3 * np.sqrt(np.median(counts) + 1)), buckets)), "tokens")
     classes = found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     live_sids = live.select("sid").distinct()
-    _, name = _store_sets(docs, classes.join(live_sids, "sid"), shingle, parts(spark))
-    sets = spark.table(name)
+    _, name = _store_texts(docs, classes.join(live_sids, "sid"), parts(spark))
+    texts = spark.table(name)
     now, links, seed, before = live.withColumn("comp", F.col("sid")), None, 0, None
     comps = None
     while True:
@@ -304,7 +324,7 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
         before = work
         now = now.drop("held")
         pairs = _rest_pairs(now, t) if last else _star_pairs(now, seed, t)
-        more = written(_verified(written(pairs, "pairs"), sets, t), "links")
+        more = written(_verified(written(pairs, "pairs"), texts, shingle, t), "links")
         links = more if links is None else links.union(more)
         if last:
             break
