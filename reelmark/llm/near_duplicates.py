@@ -2,12 +2,12 @@
 
 Sets are 64-bit shingle hashes. Documents with equal sets are one class, so copies are never paired.
 
-1. A count of shingles by hash slot over all documents (a fixed number of slots) gives the global order, rare
-   first, and the estimated candidates of a prefix.
-2. Two sets of Jaccard t or more share at least k of their first |x| - ceil(t|x|) + k tokens, for any k. Each set
+1. The tokens of all classes travel as packed blocks to hash buckets, which count their holders. Tokens of a single
+   class fall away there; the others return to their class with their count, which gives the global order, rare first.
+2. A class of which more than the threshold allows is held by no other has no partner and falls away.
+3. Two sets of Jaccard t or more share at least k of their first |x| - ceil(t|x|) + k tokens, for any k. Each set
    takes the k, and so the prefix, of least estimated cost; a pair is verified if it shares as many prefix tokens
    as the smaller of its two k.
-3. Prefix tokens travel as packed blocks to hash buckets, where those of a single set fall away.
 4. Sets that share a token are first compared with one pivot of that token, and linked sets merged; then again
    among sets that are still apart, with other pivots; last, all pairs still apart within a token. So a group
    of near copies is linked by stars, and no pair that could add a link is left out.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import parts, shared_dir, written
 from .components import components
 
-SLOT_BITS = 20
 U = np.uint64
 RANDOM = np.random.default_rng(11).integers(1, 2**63, 300, dtype=np.uint64) * U(2) + U(1)
 SPAN = 1 << 20
@@ -83,127 +82,144 @@ def shingle_set(data: bytes, n: int = 5) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def _set_id(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, sid) rows and, per task, the counts of its shingles by slot in blocks of 4096: (slots, counts)."""
+    """(doc_id, n, sid): the size of each document's set and its id, null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = ["doc_id", "n", "sid", "slots", "counts"]
         for batch in batches:
             n, sid = [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text or b"", shingle)
                 n.append(len(s))
-                sid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                np.add.at(counts, (s >> U(64 - SLOT_BITS)).astype(np.int64), 1)
-            k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, types[1]), pa.array(sid, types[2]), pa.nulls(k, types[3]), pa.nulls(k, types[4])], names=names)
-        blocks = [(k, b.astype(np.uint32).tobytes()) for k, b in enumerate(counts.reshape(-1, 4096)) if b.any()]
-        k = len(blocks)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in types[:3]), pa.array([b[0] for b in blocks], types[3]), pa.array([b[1] for b in blocks], types[4])], names=names)
+                sid.append(_set_id(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, slots int, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
 
 
-def _slot_counts(sets: DataFrame) -> np.ndarray:
-    """The slots' counts over all documents: 2**SLOT_BITS numbers, summed block by block on the executors."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(b, np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slots", "counts"])
+def _blocks(sets: list[np.ndarray], sids: list[int], buckets: int) -> pa.RecordBatch:
+    """(bucket, block) of some sets: per bucket the sets that have tokens there, their sizes and numbers of tokens, and
+    the upper 48 bits of the tokens, which tell the tokens of a bucket apart."""
+    tok, index = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    ids, sizes = np.array(sids, np.int64), np.array([len(s) for s in sets], np.int64)
+    bucket = (_mix(tok) % U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    six, index = np.ascontiguousarray(tok[order]).view(np.uint8).reshape(-1, 8)[:, 2:], index[order]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+    at, data = np.flatnonzero(np.diff(cuts)), []
+    for b in at:
+        a, z = cuts[b], cuts[b + 1]
+        held, counts = np.unique(index[a:z], return_counts=True)
+        data.append(b"".join([np.array([len(held), z - a], np.int64).tobytes(), ids[held].tobytes(), sizes[held].tobytes(), counts.astype(np.int32).tobytes(), six[a:z].tobytes()]))
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "block"])
 
-    out = np.zeros(1 << SLOT_BITS, np.int64).reshape(-1, 4096)
-    blocks = sets.filter("slots is not null").select("slots", "counts")
-    for k, b in blocks.repartition(parts(blocks.sparkSession), "slots").mapInArrow(total, "slots int, counts binary").collect():
-        out[k] = np.frombuffer(b, np.int64)
-    return out.ravel()
 
-
-def prefix(s: np.ndarray, counts: np.ndarray, usual: float, t: tuple[int, int], most: int = 8) -> tuple[np.ndarray, int]:
-    """The prefix of a set, rare tokens first, and how many of its tokens a pair must share (k).
-
-    Costs of a k: a unit per token indexed, one per estimated other holder of a token (its slot's count over the
-    usual), and 20 per candidate; k shared tokens are needed, so candidates are at most holders / k.
-    """
-    c = counts[(s >> U(64 - SLOT_BITS)).astype(np.int64)]
-    order = np.lexsort((s, c))
-    n = len(s)
-    overlap = -(-t[0] * n // t[1])
-    ks = np.arange(1, min(most, overlap) + 1)
-    holders = np.cumsum(np.maximum(c[order] - usual, 0))[n - overlap + ks - 1]
-    k = int(ks[np.argmin((n - overlap + ks) + holders + 20 * holders / ks)])
-    return s[order[: n - overlap + k]], k
-
-
-def _postings(docs: DataFrame, shingle: int, t: tuple[int, int], counts, usual: float, buckets: int) -> DataFrame:
-    """(bucket, block): the prefix tokens of each class's set, packed by token bucket; a task sends a class once."""
+def _postings(docs: DataFrame, shingle: int, buckets: int, tokens_a_block: int = 2_000_000) -> DataFrame:
+    """(bucket, block): all tokens of each class; a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sets, sids, held = [], [], 0
         for batch in batches:
-            tokens, index, sids, ns, ks = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text or b"", shingle)
-                if not len(s):
-                    continue
-                sid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                if sid in seen:
+                if not len(s) or (sid := _set_id(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sid)
-                own, k = prefix(s, counts.value, usual, t)
-                tokens.append(own)
-                index.append(np.full(len(own), len(sids), np.int32))
+                sets.append(s)
                 sids.append(sid)
-                ns.append(len(s))
-                ks.append(k)
-            out_b, out_d = [], []
-            if tokens:
-                tok, idx = np.concatenate(tokens), np.concatenate(index)
-                sids, ns, ks = np.array(sids, np.int64), np.array(ns, np.int64), np.array(ks, np.int64)
-                bucket = (_mix(tok) % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-                for b in np.flatnonzero(np.diff(cuts)):
-                    o = order[cuts[b] : cuts[b + 1]]
-                    held, local = np.unique(idx[o], return_inverse=True)
-                    out_b.append(int(b))
-                    out_d.append(b"".join([np.array([len(held), len(o)], np.int64).tobytes(), sids[held].tobytes(), ns[held].tobytes(), ks[held].astype(np.int8).tobytes(), tok[o].tobytes(), local.astype(np.int32).tobytes()]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_d, pa.binary())], names=["bucket", "block"])
+                held += len(s)
+                if held >= tokens_a_block:
+                    yield _blocks(sets, sids, buckets)
+                    sets, sids, held = [], [], 0
+        if sets:
+            yield _blocks(sets, sids, buckets)
 
     return docs.select("text").mapInArrow(run, "bucket int, block binary")
 
 
-def _unpack(block: bytes) -> list[np.ndarray]:
-    m, n = np.frombuffer(block, np.int64, 2)
-    at, out = 16, []
-    for kind, count in ((np.int64, m), (np.int64, m), (np.int8, m), (np.uint64, n), (np.int32, n)):
-        out.append(np.frombuffer(block, kind, count, at))
-        at += count * np.dtype(kind).itemsize
-    return out
+def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
+    """(tokens, sids, sizes, numbers of tokens) of a block."""
+    m, n = np.frombuffer(block, np.int64, 2).tolist()
+    sids, sizes = np.frombuffer(block, np.int64, m, 16), np.frombuffer(block, np.int64, m, 16 + 8 * m)
+    counts = np.frombuffer(block, np.int32, m, 16 + 16 * m)
+    tok = np.zeros((n, 8), np.uint8)
+    tok[:, :6] = np.frombuffer(block, np.uint8, 6 * n, 16 + 20 * m).reshape(n, 6)
+    return tok.view(np.int64).ravel(), sids, sizes, counts
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """(token, sid, n, k) of the prefix tokens that more than one class has."""
+def _held_tokens(postings: DataFrame) -> DataFrame:
+    """(sid, n, tokens, holders): for each class, its tokens of this bucket that another class has too."""
 
     def run(table: pa.Table) -> pa.Table:
         blocks = [_unpack(b) for b in table.column("block").to_pylist()]
-        tok = np.concatenate([b[3] for b in blocks])
-        sid, n, k = (np.concatenate([b[j][b[4]] for b in blocks]) for j in (0, 1, 2))
-        order = np.lexsort((sid, tok))
-        tok, sid, n, k = tok[order], sid[order], n[order], k[order]
-        first = np.ones(len(tok), bool)
-        first[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])
-        tok, sid, n, k = tok[first], sid[first], n[first], k[first]
+        tok = np.concatenate([b[0] for b in blocks])
+        sid, n = (np.concatenate([np.repeat(b[j], b[3]) for b in blocks]) for j in (1, 2))
+        order = np.argsort(tok, kind="stable")
+        tok = tok[order]
         same = tok[1:] == tok[:-1]
         more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return pa.table({"token": tok[more].view(np.int64), "sid": sid[more], "n": n[more].astype(np.int32), "k": k[more].astype(np.int32)})
+        tok, sid, n = tok[more], sid[order[more]], n[order[more]]
+        order = np.lexsort((sid, tok))
+        tok, sid, n = tok[order], sid[order], n[order]
+        first = np.ones(len(tok), bool)
+        first[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])  # a class that several tasks sent
+        tok, sid, n = tok[first], sid[first], n[first]
+        _, group, count = np.unique(tok, return_inverse=True, return_counts=True)
+        holders = count[group]
+        more = holders > 1
+        tok, sid, n, holders = tok[more], sid[more], n[more], holders[more].astype(np.int32)
+        order = np.argsort(sid, kind="stable")
+        tok, sid, n, holders = tok[order], sid[order], n[order], holders[order]
+        cuts = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(sid))
+        return pa.table({
+            "sid": pa.array(sid[cuts]), "n": pa.array(n[cuts]), "tokens": pa.array([tok[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()),
+            "holders": pa.array([holders[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()),
+        })
+
+    return postings.groupBy("bucket").applyInArrow(run, "sid bigint, n bigint, tokens binary, holders binary")
+
+
+def prefix(n: int, tokens: np.ndarray, holders: np.ndarray, t: tuple[int, int], most: int = 8) -> tuple[np.ndarray, int]:
+    """The tokens of a set's prefix that another set has, rare ones first, and how many of them a pair must share (k).
+
+    Of the set's n tokens, `tokens` have two holders or more; the others are rarer and stand before them. With too few
+    of them for any partner, the prefix is empty. Costs of a k: a unit per token indexed, one per other holder, and 20
+    per candidate; k shared tokens are needed, so candidates are at most holders / k.
+    """
+    overlap, m = -(-t[0] * n // t[1]), len(tokens)
+    if m < overlap:
+        return tokens[:0], 1
+    order = np.lexsort((tokens, holders))
+    ks = np.arange(1, min(most, overlap) + 1)
+    others = np.cumsum(holders[order].astype(np.int64) - 1)[m - overlap + ks - 1]
+    k = int(ks[np.argmin((m - overlap + ks) + others + 20 * others / ks)])
+    return tokens[order[: m - overlap + k]], k
+
 
-    return postings.groupBy("bucket").applyInArrow(run, "token bigint, sid bigint, n int, k int")
+def _prefixes(held: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(token, sid, n, k): the prefix tokens of the classes that may have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 500):
+                some = batch.slice(part, 500)
+                out: list[list] = [[], [], [], []]
+                for sid, n, lists in zip(*(some.column(j).to_pylist() for j in range(3)), strict=True):
+                    tokens = np.frombuffer(b"".join([x["tokens"] for x in lists]), np.int64)
+                    own, k = prefix(n, tokens, np.frombuffer(b"".join([x["holders"] for x in lists]), np.int32), t)
+                    for column, value in zip(out, (own, np.full(len(own), sid), np.full(len(own), n), np.full(len(own), k)), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["token", "sid", "n", "k"])
+
+    by = held.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "holders")).alias("lists"))
+    return by.mapInArrow(run, "token bigint, sid bigint, n int, k int")
 
 
 def _close(a: str, b: str, t: tuple[int, int]) -> str:
@@ -211,6 +227,12 @@ def _close(a: str, b: str, t: tuple[int, int]) -> str:
     return f"{t[1]} * least({a}, {b}) >= {t[0]} * greatest({a}, {b})"
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows of tokens whose holders are not all in one component."""
+    apart = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    return written(rows.join(apart, "token"), "apart")
+
+
 def _enough(pairs: DataFrame) -> DataFrame:
     """Pairs by the prefix tokens they share: as many as the smaller k."""
     return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.min("need").alias("need")).filter("hits >= need").select("a", "b", "hits")
@@ -299,42 +321,35 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("doc_id is not null")
     t = threshold
-    base = written(_sets(docs, shingle), "sets")
-    found = base.filter("slots is null").select("doc_id", "n", "sid")
-    counts = _slot_counts(base)
-    buckets = int(max(2 * parts(spark), counts.sum() // tokens_a_bucket))
-    shared = spark.sparkContext.broadcast(counts.astype(np.uint32))  # 4 MB
-    live = written(_shared(_postings(docs, shingle, t, shared, float(np.median(counts) + 3 * np.sqrt(np.median(counts) + 1)), buckets)), "tokens")
-    classes = found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    live_sids = live.select("sid").distinct()
-    _, name = _store_texts(docs, classes.join(live_sids, "sid"), parts(spark))
+    found = written(_sets(docs, shingle), "sets")
+    classes = found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    size = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = int(max(2 * parts(spark), size // tokens_a_bucket))
+    live = written(_prefixes(_held_tokens(_postings(docs, shingle, buckets)), t), "tokens").withColumn("comp", F.col("sid"))
+    now, links, seed, last, few = _apart(live), None, 0, False, False
+    live_sids = now.select("sid").distinct()
+    _, name = _store_texts(docs, classes.select("sid", "doc_id").join(live_sids, "sid"), parts(spark))
     texts = spark.table(name)
-    now, links, seed, before = live.withColumn("comp", F.col("sid")), None, 0, None
-    comps = None
-    while True:
-        # Tokens whose holders are not all in one component.
-        apart = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).filter("lo <> hi").select("token", "held")
-        now = written(now.join(apart, "token"), "apart")
-        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m"), F.first("held").alias("held")).groupBy("token").agg(F.first("held").alias("held"), F.max("m").alias("m"))
+    while not last:
+        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("held"), F.max("m").alias("m"))
         work, rows = sizes.agg(F.sum((F.col("held") - F.col("m")) * F.col("held")), F.sum("held")).first()
         if not rows:
             break
-        # Stars as long as all pairs would be many more than the tokens' rows and stars still thin them out.
-        last = work <= 4 * rows + 100_000 or before is not None and work > 0.7 * before
-        before = work
-        now = now.drop("held")
-        pairs = _rest_pairs(now, t) if last else _star_pairs(now, seed, t)
-        more = written(_verified(written(pairs, "pairs"), texts, shingle, t), "links")
+        # Stars as long as all pairs would be many more than the tokens' rows and stars still find links.
+        last = work <= 4 * rows + 100_000 or few
+        pairs = written(_rest_pairs(now, t) if last else _star_pairs(now, seed, t), "pairs")
+        more = written(_verified(pairs, texts, shingle, t), "links")
         links = more if links is None else links.union(more)
         if last:
             break
+        few = 5 * more.count() < pairs.count()
         comps = written(components(links), "comps")
         old = now.drop("comp").join(comps.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
-        now, seed = old.withColumn("comp", F.coalesce("comp", "sid")), seed + 1
+        now, seed = _apart(old.withColumn("comp", F.coalesce("comp", "sid"))), seed + 1
     if links is None:
         best = classes.select("sid", F.col("doc_id").alias("component_id"))
     else:
-        joined = classes.join(components(links), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
+        joined = classes.drop("n").join(components(links), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
         least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         best = joined.join(least, "comp").select("sid", "component_id")
     best = written(best, "classes")
