@@ -204,27 +204,28 @@ def prefix(n: int, tokens: np.ndarray, holders: np.ndarray, t: tuple[int, int],
 
 
 def _prefixes(held: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(token, sid, n, k): the prefix tokens of the classes that may have a partner."""
+    """(token, sid, n, k, m): the prefix tokens of the classes that may have a partner; m of a class's n tokens are in
+    another one too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 some = batch.slice(part, 500)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for sid, n, lists in zip(*(some.column(j).to_pylist() for j in range(3)), strict=True):
                     tokens = np.frombuffer(b"".join([x["tokens"] for x in lists]), np.int64)
                     own, k = prefix(n, tokens, np.frombuffer(b"".join([x["holders"] for x in lists]), np.int32), t)
-                    for column, value in zip(out, (own, np.full(len(own), sid), np.full(len(own), n), np.full(len(own), k)), strict=True):
+                    for column, value in zip(out, (own, np.full(len(own), sid), np.full(len(own), n), np.full(len(own), k), np.full(len(own), len(tokens))), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["token", "sid", "n", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["token", "sid", "n", "k", "m"])
 
     by = held.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "holders")).alias("lists"))
-    return by.mapInArrow(run, "token bigint, sid bigint, n int, k int")
+    return by.mapInArrow(run, "token bigint, sid bigint, n int, k int, m int")
 
 
-def _close(a: str, b: str, t: tuple[int, int]) -> str:
-    """Sizes that a pair of Jaccard t can have."""
-    return f"{t[1]} * least({a}, {b}) >= {t[0]} * greatest({a}, {b})"
+def _close(n1: str, m1: str, n2: str, m2: str, t: tuple[int, int]) -> str:
+    """What two sets of Jaccard t must meet: they share no more than either has in common with any other set."""
+    return f"{t[1]} * least({m1}, {m2}) >= {t[0]} * ({n1} + {n2} - least({m1}, {m2}))"
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -239,9 +240,14 @@ def _enough(pairs: DataFrame) -> DataFrame:
 
 
 def _star_pairs(live: DataFrame, seed: int, t: tuple[int, int]) -> DataFrame:
-    """Each class with the pivot, of another component, that it shares most prefix tokens with."""
-    pivot = live.groupBy("token").agg(F.min_by(F.struct(F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("k").alias("pk"), F.col("comp").alias("pcomp")), F.xxhash64("sid", F.lit(seed))).alias("pivot")).select("token", "pivot.*")
-    near = live.join(pivot, "token").filter("comp <> pcomp").filter(_close("n", "pn", t))
+    """Each class with the pivot, of another component, that it shares most prefix tokens with.
+
+    Every other round a token's pivot is the class that is most made of what others have, as the text that a group's
+    near copies were edited from is; in the rounds between it is any.
+    """
+    first = -F.col("m") / F.col("n") if seed % 2 == 0 else F.lit(0.0)
+    pivot = live.groupBy("token").agg(F.min_by(F.struct(F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("k").alias("pk"), F.col("comp").alias("pcomp")), F.struct(first, F.xxhash64("sid", F.lit(seed)))).alias("pivot")).select("token", "pivot.*")
+    near = live.join(pivot, "token").filter("comp <> pcomp").filter(_close("n", "m", "pn", "pm", t))
     pairs = _enough(near.select(F.col("p").alias("a"), F.col("sid").alias("b"), F.least("k", "pk").alias("need")))
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
 
@@ -249,10 +255,10 @@ def _star_pairs(live: DataFrame, seed: int, t: tuple[int, int]) -> DataFrame:
 def _rest_pairs(live: DataFrame, t: tuple[int, int]) -> DataFrame:
     """All pairs still apart within a token. One side leaves out the token's largest component, so that component
     is walked only once for each class outside it."""
-    sizes = live.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    x = live.join(main, "token").filter("comp <> main").select("token", F.col("sid").alias("xs"), F.col("n").alias("xn"), F.col("k").alias("xk"), F.col("comp").alias("xc"), "main")
-    near = x.join(live, "token").filter("xc <> comp and (comp = main or xs < sid)").filter(_close("xn", "n", t))
+    sizes = live.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    x = live.join(main, "token").filter("comp <> main").select("token", F.col("sid").alias("xs"), F.col("n").alias("xn"), F.col("m").alias("xm"), F.col("k").alias("xk"), F.col("comp").alias("xc"), "main")
+    near = x.join(live, "token").filter("xc <> comp and (comp = main or xs < sid)").filter(_close("xn", "xm", "n", "m", t))
     return _enough(near.select(F.least("xs", "sid").alias("a"), F.greatest("xs", "sid").alias("b"), F.least("xk", "k").alias("need"))).select("a", "b")
 
 
