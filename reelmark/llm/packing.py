@@ -10,12 +10,14 @@ piece finds its sequence from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,41 +26,98 @@ from pyspark.sql.window import Window
 from .common import parts, written
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: Marks cut off a word's ends: a run of them is one token part. The apostrophe, which begins contractions, is none.
+MARKS = string.punctuation.replace("'", "")
 _WORKER: dict = {}
 
 
 class WordCache:
     """Token ids of texts, looked up by the chunk between spaces.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order.
-    At most `entries` chunks of up to 64 characters are kept in a worker.
+    The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its chunks in
+    order. Letters and the marks around them are tokens apart, so a chunk's letters are looked up without them. New
+    words of letters alone are encoded many at a time; each ends at an id whose piece is a word's end. A worker keeps
+    about `entries` chunks and twice as many words.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.entries, self.known = entries, {"": b""}
-
-    def learn(self, texts: list[str]) -> None:
-        new = {w for t in texts for w in t.replace("\n", " ").split(" ")}.difference(self.known)
-        if len(self.known) + len(new) > self.entries:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.entries, self.known, self.words, self.marks = entries, {"": b""}, {"": b""}, {"": b""}
+
+    def _each(self, some: list[str], into: dict[str, bytes]) -> None:
+        for k in range(0, len(some), 20_000):
+            part = some[k : k + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        """Words of lower-case letters, 4000 to a text."""
+        for k in range(0, len(words), 4000):
+            some = words[k : k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(some):  # a letter that the tokenizer splits at
+                self._each(some, self.words)
+                continue
+            raw = ids.tobytes()
+            self.words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.words) > 2 * self.entries:
+            self.words = {"": b""}
+        lower = [c.lower() for c in new]
+        tails = [c.rstrip(MARKS) for c in lower]
+        cores = [c.lstrip(MARKS) for c in tails]
+        plain = [c.isalpha() for c in cores]
+        self._joined(list({c for c, ok in zip(cores, plain, strict=True) if ok}.difference(self.words)))
+        rows = [(c, t[: len(t) - len(core)], core, low[len(t) :]) for c, low, t, core, ok in zip(new, lower, tails, cores, plain, strict=True) if ok]
+        self._each(list({m for _, head, _, tail in rows for m in (head, tail)}.difference(self.marks)), self.marks)
+        words, marks = self.words, self.marks
+        self.known.update({c: marks[head] + words[core] + marks[tail] for c, head, core, tail in rows})
+        self._each([c for c, ok in zip(new, plain, strict=True) if not ok], self.known)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The unsigned 32-bit ids of all texts, one after another, and where each text begins (and the last ends).
+
+        Chunks are split off and made distinct by Arrow; Python sees a distinct chunk once, and numpy lays the ids out.
+        """
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > self.entries:
             self.known = {"": b""}
-            new = {w for t in texts for w in t.replace("\n", " ").split(" ")} - {""}
-        words = list(new)
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids. Call learn() with the text before."""
-        known = self.known
-        return b"".join([known[w] for w in text.replace("\n", " ").split(" ")])
-
-
-def token_pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        found = list(map(self.known.get, distinct))
+        self._learn([c for c, f in zip(distinct, found, strict=True) if f is None])
+        found = list(map(self.known.__getitem__, distinct))
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        each = size[which]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(start[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes, one row at least."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield at, k
+            at, held = k, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
     """The pieces of each document: its ids and then end_id, cut every `size` ids. Null texts are empty: one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,19 +127,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_
         if _WORKER.get("path") != tokenizer_path:
             _WORKER.update(path=tokenizer_path, cache=WordCache(tokenizer_path))
         cache = _WORKER["cache"]
-        end = np.array([end_id], np.uint32).tobytes()
+        end = np.array([end_id], np.uint32)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            out: list[tuple] = []
-            for k in range(0, len(texts), 500):
-                cache.learn(texts[k : k + 500])
-                for i, text in zip(ids[k : k + 500], texts[k : k + 500], strict=True):
-                    raw = cache.ids(text) + end
-                    for piece, at in enumerate(range(0, len(raw), 4 * size)):
-                        own = raw[at : at + 4 * size]
-                        out.append((i, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            for a, b in _slices(texts, slice_bytes):
+                out: list[tuple] = []
+                flat, bounds = cache.encode(texts[a:b])
+                for i, x, y in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    own = np.append(flat[x:y], end).tobytes()
+                    for piece, at in enumerate(range(0, len(own), 4 * size)):
+                        part = own[at : at + 4 * size]
+                        out.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
