@@ -1,7 +1,9 @@
 """License notices by an exact set-similarity join of text blocks with templates; DataFrame functions only.
 
-A block is a line, a template a license notice; both are sets of words. A block meets a template if it holds at
-least the threshold's share of the template's words.
+A block is a line, or a text of several lines; a template is a license notice; both are sets of words. A line meets
+a template if it holds at least the threshold's share of the template's words, however far apart. A text of several
+lines does if a window of consecutive words holds as many, across line ends; a window is as long as the template's
+share lets a text be that has all its words.
 
 1. The document counts of the template words, over all documents, give one global order, rare words first. No
    other word can be shared, so blocks are reduced to these words before they are ordered.
@@ -9,7 +11,7 @@ least the threshold's share of the template's words.
    with an indexed word are cut into blocks; a block's words join the index (prefix filter).
 3. A block of fewer than need template words falls away (length filter), and so does one that at the places of
    the shared word cannot reach need any more (positional filter).
-4. What is left is verified by intersecting the sets.
+4. What is left is verified by intersecting the sets, and the text of several lines by its windows.
 
 Phrases that must stand word for word are looked for besides, in the document's words.
 """
@@ -85,21 +87,41 @@ def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int
     Null and empty texts have no block with words; templates without words meet nothing. Repeated rows each give
     their matches; rows with a null id do too. Extra columns are ignored.
     """
+    return _met(docs, templates, threshold, id_col, text_col, windows=False)
+
+
+def _most_in_window(own: Column, template: Column, width: Column) -> Column:
+    """The most distinct words of the template in any `width` consecutive words of `own`."""
+    places = F.filter(F.transform(own, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: F.array_contains(template, e["w"]))
+
+    def most(p: Column) -> Column:
+        def held(first: Column, j: Column) -> Column:
+            return F.size(F.array_distinct(F.transform(F.filter(F.slice(p, j + 1, width), lambda e: e["i"] < first["i"] + width), lambda e: e["w"])))
+
+        return F.array_max(F.transform(p, held))
+
+    # The places are bound as a variable, so that they are found once and not at every place.
+    return F.get(F.transform(F.array(places), most), F.lit(0))
+
+
+def _met(docs: DataFrame, templates, threshold: tuple[int, int], id_col: str, text_col: str, *, windows: bool) -> DataFrame:
+    """The rows of license_blocks; with windows, besides them those of texts of several lines as one block, whose
+    number is that of the lines."""
     spark = docs.sparkSession
     sets = []
     one = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, t string") if templates else None
     if one is not None:
-        sets = [(r["k"], r["w"]) for r in one.select("k", F.array_distinct(words(F.col("t"))).alias("w")).collect() if r["w"]]
-    vocabulary = sorted({w for _, own in sets for w in own})
+        sets = [(r["k"], list(dict.fromkeys(r["w"])), -(-threshold[1] * len(r["w"]) // threshold[0])) for r in one.select("k", words(F.col("t")).alias("w")).collect() if r["w"]]
+    vocabulary = sorted({w for _, own, _ in sets for w in own})
     order = word_order(docs, vocabulary, text_col) if vocabulary else []
     rank = {w: k for k, w in enumerate(order)}
     index, verify = [], []
-    for k, own in sets:
+    for k, own, width in sets:
         ranks = sorted(rank[w] for w in own)
         need = -(-threshold[0] * len(ranks) // threshold[1])
-        verify.append((k, *templates[k], need, len(ranks), ranks))
+        verify.append((k, *templates[k], need, len(ranks), ranks, own, width))
         index += [(r, k, i) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    schema = "k int, label string, template string, need int, n int, ranks array<int>"
+    schema = "k int, label string, template string, need int, n int, ranks array<int>, own_words array<string>, width int"
     # Both tables have a row per template word at most.
     wanted = F.broadcast(spark.createDataFrame(verify, schema))
     prefixes = F.broadcast(spark.createDataFrame(index, "rank int, k int, i int"))
@@ -107,30 +129,35 @@ def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int
     by_word = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)]) if rank else F.expr("map('', 0)")
     least = min((v[3] for v in verify), default=1)
     text = F.col(text_col)
-    lines = docs.filter(F.arrays_overlap(words(text), first)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("block", "line"))
+    lines = F.split(text, "\n")
+    cut = F.concat(lines, F.when(F.size(lines) > 1, F.array(text)).otherwise(_strings([]))) if windows else lines
+    lines = docs.filter(F.arrays_overlap(words(text), first)).select(F.col(id_col).alias("doc_id"), F.size(lines).alias("n_lines"), F.posexplode(cut).alias("block", "line"))
     reduced = lines.withColumn("own", F.array_sort(F.transform(F.array_intersect(words(F.col("line")), _strings(order)), lambda w: F.element_at(by_word, w))))
     reduced = reduced.filter(F.size("own") >= least)
-    met = reduced.select("doc_id", "block", "line", "own", F.posexplode("own").alias("j", "rank")).join(prefixes, "rank").join(wanted, "k")
+    met = reduced.select("doc_id", "n_lines", "block", "line", "own", F.posexplode("own").alias("j", "rank")).join(prefixes, "rank").join(wanted, "k")
     size = F.size("own")
     met = met.filter(size >= F.col("need")).filter(F.least("i", "j") + F.least(F.col("n") - F.col("i"), size - F.col("j")) >= F.col("need"))
     shared = F.size(F.array_intersect("own", "ranks"))
     # A pair that several words bring up is kept for the first one that block and template share.
     only = F.col("rank") == F.array_min(F.array_intersect("own", "ranks"))
     met = met.filter(only).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
+    if windows:
+        most = _most_in_window(words(F.col("line")), F.col("own_words"), F.col("width"))
+        met = met.withColumn("shared", F.when(F.col("block") < F.col("n_lines"), F.col("shared")).otherwise(most)).filter(F.col("shared") >= F.col("need"))
     return met.select("doc_id", "block", "label", "template", "shared", (F.col("shared") / F.col("n")).alias("containment"), "line")
 
 
 def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, places, base_labels, labels, score) per row of docs.
 
-    places are the (start, label) of the phrases; labels join theirs and those of the met templates, sorted and
-    distinct; score is 1 where a phrase stands, else the largest containment of a met template, else 0. Null texts
+    places are the (start, label) of the phrases; labels join theirs and those of the templates that a line, or a
+    window across line ends, meets, sorted and distinct; score is 1 where a phrase stands, else the largest containment of a met template, else 0. Null texts
     are empty. Rows of one id share the template labels; rows with a null id get none of them.
     """
     text = F.col(text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), words(text).alias("_words"))
     scanned = own.select("doc_id", F.size("_words").cast("bigint").alias("n_words"), phrase_places(F.col("_words"), F.coalesce("_text", F.lit("")), phrases).alias("places"))
-    met = license_blocks(docs, templates=templates, threshold=threshold, id_col=id_col, text_col=text_col).filter("doc_id is not null")
+    met = _met(docs, templates, threshold, id_col, text_col, windows=True).filter("doc_id is not null")
     met = met.groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_most"))
     out = scanned.join(met, "doc_id", "left")
     base = F.array_sort(F.array_distinct(F.col("places.label")))

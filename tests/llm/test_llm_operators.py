@@ -204,6 +204,23 @@ def test_license_join_finds_every_block(spark):
     assert license_blocks(df, templates=()).count() == 0
 
 
+def test_license_notices_across_lines(spark):
+    """Notices wrapped to short lines behind comment marks, with a word put in; scattered words over lines meet none."""
+    rng = random.Random(5)
+    docs, want = [], {}
+    for i, (label, template) in enumerate(licenses.TEMPLATES):
+        w = template.split()
+        w.insert(len(w) // 2, "really")
+        lines = [" ".join(w[at : at + 2]) for at in range(0, len(w), 2)] if len(w) > 5 else w
+        docs.append((i, "\n# ".join([" ".join(random_words(rng, 5, 30)), *lines, " ".join(random_words(rng, 5, 30))])))
+        want[i] = label
+        far = [x for v in w for x in (v, *["filler"] * 30)]
+        docs.append((100 + i, "\n".join(" ".join(far[at : at + 9]) for at in range(0, len(far), 9))))
+    rows = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(label in rows[i]["labels"] and rows[i]["score"] == 1.0 for i, label in want.items())
+    assert all(rows[100 + i]["labels"] == [] and rows[100 + i]["score"] == 0.0 for i in want)
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------------------------
 def exact(rows, queries, k):
     good = {i: np.array(v, float) for i, v in rows if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)}
