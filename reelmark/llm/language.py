@@ -27,22 +27,35 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).encode()
 
 
-def learn_dictionaries(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = 80, most_chars: int = 20_000, dictionary_bytes: int = 32_000) -> dict[str, bytes]:
+def learn_dictionaries(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = 80, dictionary_bytes: int = 32_000) -> dict[str, bytes]:
     """A dictionary per language from a bounded sample of training rows.
 
-    The bound: per language the rows_each rows with the smallest hashes of their id, among rows of at most
-    most_chars characters; of these, evenly cut pieces up to dictionary_bytes. Only ids are ranked; texts of the
-    chosen ids alone reach the driver. The languages come in order of their training rows, commonest first.
+    The bound: per language the rows_each rows with the smallest hashes of their id, of any length; of these, evenly
+    cut pieces up to dictionary_bytes. Only ids are ranked; of the texts of the chosen ids alone, the middle
+    dictionary_bytes reach the driver. The languages come in order of their training rows, commonest first.
     """
     n = F.length(text_col)
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & (n > 0) & (n <= most_chars)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    rows = docs.filter(train & F.col(lang_col).isNotNull() & (n > 0)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= rows_each).select("_id").distinct()
     # At most rows_each ids of each language.
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").filter(train & F.col(lang_col).isNotNull() & (n > 0) & (n <= most_chars))
+    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").filter(train & F.col(lang_col).isNotNull() & (n > 0))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, middles = [], []
+            for text in batch.column(1).to_pylist():
+                own = letters(text)
+                # Of the same parity as the text, so that the middle of the middle is the text's.
+                left = min(len(own), dictionary_bytes + (len(own) - dictionary_bytes) % 2)
+                heads.append(text[:200])
+                middles.append(own[(len(own) - left) // 2 :][:left])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string()), pa.array(middles, pa.binary())], names=["lang", "head", "middle"])
+
     by: dict[str, list[bytes]] = {}
-    for lang, text in sorted(tuple(r) for r in texts.select(lang_col, text_col).collect()):
-        by.setdefault(lang, []).append(letters(text))
+    pieces = texts.select(F.col(lang_col).cast("string"), text_col).mapInArrow(cut, "lang string, head string, middle binary")
+    for lang, _, middle in sorted((r[0], r[1], bytes(r[2])) for r in pieces.collect()):
+        by.setdefault(lang, []).append(middle)
     held = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}  # a row per language
     out = {}
     for lang, own in sorted(by.items(), key=lambda x: (-held.get(x[0], 0), x[0])):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reelmark.llm import licenses
 from reelmark.llm.components import components
 from reelmark.llm.decontaminate import WuManber, find_items
-from reelmark.llm.language import UND, Compressors, identify, learn_dictionaries
+from reelmark.llm.language import UND, Compressors, identify, learn_dictionaries, letters
 from reelmark.llm.licenses import license_blocks, scan_licenses
 from reelmark.llm.line_dedup import PerfectHash, dedup_lines
 from reelmark.llm.near_duplicates import near_duplicate_components, prefix, shingle_set
@@ -316,6 +316,18 @@ def test_language(spark, odd_docs, no_docs):
     assert Compressors({"en": b"x"}, 3, 100).predict("word")[0] == "en"
 
 
+def test_language_of_long_texts_only(spark):
+    texts = {"en": "the house and the garden are where we live with all of them ", "de": "das haus und der garten sind wo wir mit ihnen allen leben "}
+    rows = [(2 * k + j, " ".join(random.Random(k).choices(t.split(), k=6000 if lang == "de" and k < 20 else 8)), lang) for k in range(30) for j, (lang, t) in enumerate(texts.items())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = learn_dictionaries(docs, F.col("doc_id") < 40)
+    assert sorted(learned) == ["de", "en"] and all(len(d) <= 32_100 for d in learned.values())
+    assert all(r["lang_pred"] == "de" for r in identify(docs.filter("doc_id >= 40 and lang = 'de'"), learned).collect())
+    own = letters(max((t for i, t, _ in rows if i < 40), key=len))
+    one = learn_dictionaries(docs.filter(F.length("text") == max(len(t) for _, t, _ in rows)).limit(1), F.lit(True), dictionary_bytes=1001)["de"]
+    assert len(one) == 1001 and one == own[(len(own) - 1001) // 2 :][:1001]
+
+
 def test_dictionary_is_raw_content():
     d = zstandard.ZstdCompressionDict(b"some raw text", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     assert d.as_bytes() == b"some raw text"
