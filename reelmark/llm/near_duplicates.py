@@ -87,18 +87,25 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, sid): the size of each document's set and its id, null for the empty one."""
+    """(doc_id, n, sid, mark): the size of each document's set, its id, null for the empty one, and the text's mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid = [], []
+            n, sid, mark = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text or b"", shingle)
                 n.append(len(s))
                 sid.append(_set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
+                mark.append(_mark(text or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, sid, mark))], names=["doc_id", "n", "sid", "mark"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, mark bigint")
+
+
+def _mark(text: bytes) -> int:
+    """A text's hash as a signed number: rows of one id may hold different texts."""
+    mark = xxhash.xxh3_64_intdigest(text)
+    return mark - (1 << 64) if mark >> 63 else mark
 
 
 def _blocks(sets: list[np.ndarray], sids: list[int], buckets: int) -> pa.RecordBatch:
@@ -298,7 +305,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, t: tuple[int, in
 
 
 def _store_texts(docs: DataFrame, wanted: DataFrame, buckets: int) -> tuple[SparkSession, str]:
-    """Writes the texts of the wanted (doc_id, sid), in buckets by sid, and returns the table's name.
+    """Writes the texts of the wanted (doc_id, mark, sid), in buckets by sid, and returns the table's name.
 
     Texts are compressed before they travel: half the size of what the shuffle makes of them, and less than their sets.
     """
@@ -306,13 +313,14 @@ def _store_texts(docs: DataFrame, wanted: DataFrame, buckets: int) -> tuple[Spar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_mark(x) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary())], names=["doc_id", "mark", "data"])
 
     spark = docs.sparkSession
     path = shared_dir(spark, "texts")
     name = "texts_" + path[-32:]
-    packed = docs.filter("text is not null").mapInArrow(run, "doc_id bigint, data binary")
-    rows = packed.join(wanted, "doc_id").select("sid", "data").repartition(buckets, "sid").dropDuplicates(["sid"])
+    packed = docs.filter("text is not null").mapInArrow(run, "doc_id bigint, mark bigint, data binary")
+    rows = packed.join(wanted, ["doc_id", "mark"]).select("sid", "data").repartition(buckets, "sid").dropDuplicates(["sid"])
     rows.write.option("path", path).bucketBy(buckets, "sid").sortBy("sid").saveAsTable(name)
     return spark, name
 
@@ -328,13 +336,13 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("doc_id is not null")
     t = threshold
     found = written(_sets(docs, shingle), "sets")
-    classes = found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("mark", "doc_id").alias("mark"), F.first("n").alias("n"))
     size = classes.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(2 * parts(spark), size // tokens_a_bucket))
     live = written(_prefixes(_held_tokens(_postings(docs, shingle, buckets)), t), "tokens").withColumn("comp", F.col("sid"))
     now, links, seed, last, few = _apart(live), None, 0, False, False
     live_sids = now.select("sid").distinct()
-    _, name = _store_texts(docs, classes.select("sid", "doc_id").join(live_sids, "sid"), parts(spark))
+    _, name = _store_texts(docs, classes.select("sid", "doc_id", "mark").join(live_sids, "sid"), parts(spark))
     texts = spark.table(name)
     while not last:
         sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("held"), F.max("m").alias("m"))
@@ -355,7 +363,7 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     if links is None:
         best = classes.select("sid", F.col("doc_id").alias("component_id"))
     else:
-        joined = classes.drop("n").join(components(links), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
+        joined = classes.drop("n", "mark").join(components(links), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
         least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         best = joined.join(least, "comp").select("sid", "component_id")
     best = written(best, "classes")

@@ -31,6 +31,7 @@ from .common import parts, written
 U = np.uint64
 GRAM = 16
 RUN = 64
+VARIANT = 40
 
 
 def minimizers(data: bytes, length: int) -> np.ndarray:
@@ -153,7 +154,7 @@ def _shared_anchors(blocks: DataFrame) -> DataFrame:
         order = np.argsort(m, kind="stable")
         v, m = v[order], m[order]
         cuts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(m))
+        ends = np.append(cuts[1:], len(m))[: len(cuts)]
         return pa.table({"mark": pa.array(m[cuts].view(np.int64)), "n": pa.array((ends - cuts).astype(np.int64)), "anchors": pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
 
     return blocks.groupBy("bucket").applyInArrow(run, "mark bigint, n bigint, anchors binary")
@@ -161,16 +162,18 @@ def _shared_anchors(blocks: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, length: int, shards: int) -> DataFrame:
     """(shard, doc_id, pos, data) of documents with a list of shared anchors: runs of up to 64 suffix starts of one
-    minimizer, with the bytes their suffixes need."""
+    minimizer, with the bytes their suffixes need. The place of a text among the several of its id is in pos, from
+    bit VARIANT on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 some = batch.slice(part, 500)
                 ids, pos, shard, data = [], [], [], []
-                for i, text, lists in zip(*(some.column(k).to_pylist() for k in range(3)), strict=True):
-                    if not lists:
+                for i, text, lists, variants in zip(*(some.column(k).to_pylist() for k in range(4)), strict=True):
+                    if not lists or len(text or b"") < length:
                         continue
+                    base = variants.index(_mark(text)) << VARIANT if variants else 0
                     m = minimizers(text, length)
                     shared = np.sort(np.concatenate([np.frombuffer(x, U) for x in lists]))
                     change = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
@@ -181,7 +184,7 @@ def _contexts(docs: DataFrame, length: int, shards: int) -> DataFrame:
                     for s, e, h in zip(starts.tolist(), ends.tolist(), ((values >> U(17)) % U(shards)).tolist(), strict=True):
                         for a in range(s, e, RUN):
                             ids.append(i)
-                            pos.append(a)
+                            pos.append(base + a)
                             shard.append(h)
                             data.append(text[a : min(a + RUN, e) + length - 1])
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(data, pa.binary())], names=["shard", "doc_id", "pos", "data"])
@@ -218,13 +221,17 @@ def _rewrite(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, spans, kept = [], [], [], []
-            for text, ranges, of in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, ranges, of, variants in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                 text = text or b""
-                if of is not None and len(text) >= length:
+                mark = _mark(text) if (of or variants) and len(text) >= length else None
+                if of and mark in of:
                     runs = [(0, len(text))]
                 else:
                     runs = []
-                    for a, b in sorted((r["first"], r["last"]) for r in ranges or ()):
+                    # The ranges of this text alone; no other can be of a text that is too short for any.
+                    base = variants.index(mark) << VARIANT if variants and mark is not None else 0
+                    own = [] if len(text) < length else [(r["first"] - base, r["last"] - base) for r in ranges or () if r["first"] >> VARIANT == base >> VARIANT]
+                    for a, b in sorted(own):
                         if runs and a <= runs[-1][1]:
                             runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
                         else:
@@ -257,23 +264,32 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = written(_shared_anchors(_anchor_blocks(docs, length, buckets)), "anchors")
     keys = written(_marks(docs.filter(F.length("text") >= length)), "marks")
     marks = written(keys.groupBy("mark").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")), "owners")
-    copies = keys.join(marks.filter("c > 1"), "mark").filter("doc_id <> owner").groupBy(F.col("doc_id").alias("copy")).agg(F.min("owner").alias("of"))
+    copies = keys.join(marks.filter("c > 1"), "mark").filter("doc_id <> owner").groupBy(F.col("doc_id").alias("copy")).agg(F.collect_set("mark").alias("of"))
+    # Ids with rows of different texts, if there are any: their marks in order.
+    several = keys.groupBy("doc_id").agg(F.sort_array(F.collect_set("mark")).alias("variants")).filter(F.size("variants") > 1).withColumnRenamed("doc_id", "_v")
+    several = written(several, "several")
     lists = shared.join(marks, "mark").groupBy("owner").agg(F.collect_list("anchors").alias("lists"))
     places = 17 * (shared.agg(F.sum("n")).first()[0] or 0)
     shards = int(max(4 * parts(spark), places // places_a_shard))
     tasks = int(max(parts(spark), shards // 4))
     # Both joins below read one exchange of the documents by id.
-    with_lists = docs.join(lists, F.col("doc_id") == F.col("owner"), "left").select("doc_id", "text", "lists")
+    with_lists = docs.join(lists, F.col("doc_id") == F.col("owner"), "left").join(several, F.col("doc_id") == F.col("_v"), "left").select("doc_id", "text", "lists", "variants")
     dealt = _contexts(with_lists, length, shards).repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "pos")
     ranges = _scan(dealt, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc_id", "_r")
-    out = docs.join(ranges, F.col("doc_id") == F.col("_r"), "left").join(copies, F.col("doc_id") == F.col("copy"), "left")
-    return _rewrite(out.select("doc_id", "text", "ranges", "of"), length)
+    out = docs.join(ranges, F.col("doc_id") == F.col("_r"), "left").join(copies, F.col("doc_id") == F.col("copy"), "left").join(several, F.col("doc_id") == F.col("_v"), "left")
+    return _rewrite(out.select("doc_id", "text", "ranges", "of", "variants"), length)
+
+
+def _mark(text: bytes) -> int:
+    """A text's hash as a signed number."""
+    mark = xxhash.xxh3_64_intdigest(text)
+    return mark - (1 << 64) if mark >> 63 else mark
 
 
 def _marks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([xxhash.xxh3_64_intdigest(t) for t in batch.column(1).to_pylist()], U).view(np.int64)
+            marks = np.array([_mark(t) for t in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks)], names=["doc_id", "mark"])
 
     return docs.mapInArrow(run, "doc_id bigint, mark bigint")

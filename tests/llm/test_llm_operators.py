@@ -49,6 +49,27 @@ def test_lines_one_hot_shard(spark):
     assert key(got) == key(brute.line_dedup(pairs(docs)))
 
 
+def test_repeats_of_one_id_with_different_texts(spark):
+    rng = random.Random(12)
+    copy, shared, plain, short = ("".join(rng.choices("abcdefgh", k=n)) for n in (90, 70, 80, 20))
+    docs = [(1, copy), (2, shared), (5, copy), (5, plain), (5, "x" + shared + "y" * 9), (5, short), (5, None), (6, plain), (7, short + plain[:60])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"]).decode()) for r in remove_repeats(df).collect()]
+    want = [(1, 90, 0, copy), (2, 70, 0, shared), (5, 90, 90, ""), (5, 80, 0, plain), (5, 80, 70, "x" + "y" * 9), (5, 20, 0, short), (5, 0, 0, ""), (6, 80, 80, ""), (7, 80, 60, short)]
+    assert key(got) == key(want)
+
+
+def test_components_of_one_id_with_different_texts(spark):
+    rng = random.Random(13)
+    docs = []
+    for i in range(12):
+        w, other = random_words(rng, 60, 3000), random_words(rng, 60, 3000)
+        docs += [(10 * i, " ".join(w)), (10 * i, " ".join(other)), (10 * i + 1, " ".join([*w[:-1], "end"])), (10 * i + 2, " ".join([*other[:-1], "end"]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicate_components(df).collect()}
+    assert got == {(i, i // 10 * 10) for i, _ in docs}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 5000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
