@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir, removed when the session's JVM ends.
 
-    A temporary folder of this machine is set as the checkpoint folder only where the session names
-    none (tests in local mode).
+    Where the session names none, a temporary folder of this machine is set as the checkpoint folder in local mode
+    (tests); on a cluster, whose executors would each write to their own disk, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reelmark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -33,6 +35,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def fields(df: DataFrame) -> list[str]:
+    """The columns of df as a schema string has them."""
+    return [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema]
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names, in any case."""
+    gone = {n.lower() for n in names}
+    return df.select([column(c) for c in df.columns if c.lower() not in gone])
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions to deal rows over by a key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,26 +5,28 @@ Sets are 64-bit shingle hashes. Documents with equal sets are one class, so copi
 1. The tokens of all classes travel as packed blocks to hash buckets, which count their holders. Tokens of a single
    class fall away there; the others return to their class with their count, which gives the global order, rare first.
 2. A class of which more than the threshold allows is held by no other has no partner and falls away.
-3. Two sets of Jaccard t or more share at least k of their first |x| - ceil(t|x|) + k tokens, for any k. Each set
-   takes the k, and so the prefix, of least estimated cost; a pair is verified if it shares as many prefix tokens
-   as the smaller of its two k.
-4. Sets that share a token are first compared with one pivot of that token, and linked sets merged; then again
-   among sets that are still apart, with other pivots; last, all pairs still apart within a token. So a group
-   of near copies is linked by stars, and no pair that could add a link is left out.
+3. Two sets that share at least c tokens share k of their first |x| - c + k, for any k. Each set takes the k, and so the
+   prefix, of least estimated cost. Pairs come up by the first token they share, where it stands early enough in both
+   (positional filter); they are verified if they share as many prefix tokens as the smaller of their two k.
+4. Sets that share a token are first compared with one pivot of that token, and linked sets merged, in a fixed number of
+   rounds; then all pairs that may link and are still apart. So a group of near copies is linked by stars, and no pair
+   that could add a link is left out. Sets near enough to a text to share the start of its prefix mostly link with it,
+   so the last pass meets few of a group's pairs.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir, written
+from .common import column, parts, quoted, shared_dir, written
 from .components import components
 
 U = np.uint64
@@ -82,24 +84,29 @@ def shingle_set(data: bytes, n: int = 5) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def _set_id(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _set_id(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two signed halves of a set's 128-bit digest: its id, and what tells sets of one id apart."""
+    both = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), seed), np.int64)
+    return int(both[0]), int(both[1])
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, sid, mark): the size of each document's set, its id, null for the empty one, and the text's mark."""
+def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, n, sid, check, mark): the size of each document's set, its id and check, null for the empty one, and the
+    text's mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid, mark = [], [], []
+            n, sid, check, mark = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text or b"", shingle)
+                own = _set_id(s, seed) if len(s) else (None, None)
                 n.append(len(s))
-                sid.append(_set_id(s) if len(s) else None)
+                sid.append(own[0])
+                check.append(own[1])
                 mark.append(_mark(text or b""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, sid, mark))], names=["doc_id", "n", "sid", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, sid, check, mark))], names=["doc_id", "n", "sid", "check", "mark"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, mark bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, check bigint, mark bigint")
 
 
 def _mark(text: bytes) -> int:
@@ -125,19 +132,24 @@ def _blocks(sets: list[np.ndarray], sids: list[int], buckets: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "block"])
 
 
-def _postings(docs: DataFrame, shingle: int, buckets: int, tokens_a_block: int = 2_000_000) -> DataFrame:
-    """(bucket, block): all tokens of each class; a task sends a class once."""
+def _postings(docs: DataFrame, shingle: int, seed: int, buckets: int, tokens_a_block: int = 2_000_000) -> DataFrame:
+    """(bucket, block): all tokens of each class. A block holds a class once, and the buckets tell repeats apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: OrderedDict[int, None] = OrderedDict()  # the classes sent last, so that copies are mostly sent once
         sets, sids, held = [], [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text or b"", shingle)
-                if not len(s) or (sid := _set_id(s)) in seen:
+                if not len(s):
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(sid)
+                sid = _set_id(s, seed)[0]
+                if sid in seen:
+                    seen.move_to_end(sid)
+                    continue
+                seen[sid] = None
+                if len(seen) > 1_000_000:
+                    seen.popitem(last=False)
                 sets.append(s)
                 sids.append(sid)
                 held += len(s)
@@ -194,7 +206,8 @@ def _held_tokens(postings: DataFrame) -> DataFrame:
 
 
 def prefix(n: int, tokens: np.ndarray, holders: np.ndarray, t: tuple[int, int], most: int = 8) -> tuple[np.ndarray, int]:
-    """The tokens of a set's prefix that another set has, rare ones first, and how many of them a pair must share (k).
+    """The places of the tokens of a set's prefix that another set has, rare ones first, and how many of them a pair must
+    share (k).
 
     Of the set's n tokens, `tokens` have two holders or more; the others are rarer and stand before them. With too few
     of them for any partner, the prefix is empty. Costs of a k: a unit per token indexed, one per other holder, and 20
@@ -202,71 +215,96 @@ def prefix(n: int, tokens: np.ndarray, holders: np.ndarray, t: tuple[int, int],
     """
     overlap, m = -(-t[0] * n // t[1]), len(tokens)
     if m < overlap:
-        return tokens[:0], 1
+        return np.zeros(0, np.int64), 1
     order = np.lexsort((tokens, holders))
     ks = np.arange(1, min(most, overlap) + 1)
     others = np.cumsum(holders[order].astype(np.int64) - 1)[m - overlap + ks - 1]
     k = int(ks[np.argmin((m - overlap + ks) + others + 20 * others / ks)])
-    return tokens[order[: m - overlap + k]], k
+    return order[: m - overlap + k], k
 
 
 def _prefixes(held: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(token, sid, n, k, m): the prefix tokens of the classes that may have a partner; m of a class's n tokens are in
-    another one too."""
+    """(sid, n, m, k, tokens, holders): the prefix tokens, rare ones first, of the classes that may have a partner, and
+    how many classes hold each; m of a class's n tokens are in another one too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 some = batch.slice(part, 500)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[] for _ in range(6)]
                 for sid, n, lists in zip(*(some.column(j).to_pylist() for j in range(3)), strict=True):
-                    tokens = np.frombuffer(b"".join([x["tokens"] for x in lists]), np.int64)
-                    own, k = prefix(n, tokens, np.frombuffer(b"".join([x["holders"] for x in lists]), np.int32), t)
-                    for column, value in zip(out, (own, np.full(len(own), sid), np.full(len(own), n), np.full(len(own), k), np.full(len(own), len(tokens))), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["token", "sid", "n", "k", "m"])
+                    tokens, holders = np.frombuffer(b"".join([x["tokens"] for x in lists]), np.int64), np.frombuffer(b"".join([x["holders"] for x in lists]), np.int32)
+                    own, k = prefix(n, tokens, holders, t)
+                    if len(own):
+                        for column, value in zip(out, (sid, n, len(tokens), k, tokens[own], holders[own]), strict=True):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["sid", "n", "m", "k", "tokens", "holders"])
 
     by = held.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "holders")).alias("lists"))
-    return by.mapInArrow(run, "token bigint, sid bigint, n int, k int, m int")
+    return by.mapInArrow(run, "sid bigint, n int, m int, k int, tokens array<bigint>, holders array<int>")
+
+
+def _rows(now: DataFrame, t: tuple[int, int], rows_a_group: int) -> DataFrame:
+    """(token, sid, n, m, pos, comp, groups): each class's tokens that can be the first it shares with a partner, and
+    their places among all its tokens. A token of many holders has its rows dealt into groups."""
+    first = F.expr(f"posexplode(slice(arrays_zip(tokens, holders), 1, m - cast(ceil({t[0]} * n / {t[1]}) as int) + 1)) as (j, x)")
+    rows = now.select("sid", "n", "m", "comp", first)
+    groups = F.expr(f"cast((x.holders + {rows_a_group - 1}) div {rows_a_group} as int)")
+    return rows.select(F.col("x.tokens").alias("token"), "sid", "n", "m", (F.col("n") - F.col("m") + F.col("j")).alias("pos"), "comp", groups.alias("groups"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("sub", F.expr("cast(pmod(xxhash64(sid), groups) as int)"))
+
+
+def _for_each_group(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
 
 
-def _close(n1: str, m1: str, n2: str, m2: str, t: tuple[int, int]) -> str:
-    """What two sets of Jaccard t must meet: they share no more than either has in common with any other set."""
-    return f"{t[1]} * least({m1}, {m2}) >= {t[0]} * ({n1} + {n2} - least({m1}, {m2}))"
+def _close(most: str, n1: str, n2: str, t: tuple[int, int]) -> str:
+    """Whether sets of n1 and n2 tokens that share `most` at most can have Jaccard t."""
+    return f"{t[0] + t[1]} * {most} >= {t[0]} * ({n1} + {n2})"
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """The rows of tokens whose holders are not all in one component."""
-    apart = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    return written(rows.join(apart, "token"), "apart")
+def _may_link(a: tuple[str, str, str], b: tuple[str, str, str], t: tuple[int, int]) -> str:
+    """Of two sets (n, m, pos) whose first common token stands at pos: neither shares more than it has in common with any
+    other set (m), nor more than the tokens from that place on."""
+    return _close(f"least({a[1]}, {b[1]}, {a[0]} - {a[2]}, {b[0]} - {b[2]})", a[0], b[0], t)
 
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs by the prefix tokens they share: as many as the smaller k."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.min("need").alias("need")).filter("hits >= need").select("a", "b", "hits")
+def _enough(pairs: DataFrame, classes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b, hits): the pairs that share as many prefix tokens as the smaller of their k."""
+    x, y = (classes.select(F.col("sid").alias(side), F.struct("n", "m", "k", "tokens").alias(side + "_")) for side in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("need", F.least("a_.k", "b_.k")).withColumn("least", F.expr(f"cast(ceil({t[0]} * (a_.n + b_.n) / {t[0] + t[1]}) as int)"))
+    hits = F.expr("size(array_intersect(slice(a_.tokens, 1, a_.m - least + need), slice(b_.tokens, 1, b_.m - least + need)))")
+    return both.withColumn("hits", hits).filter("hits >= need").select("a", "b", "hits")
 
 
-def _star_pairs(live: DataFrame, seed: int, t: tuple[int, int]) -> DataFrame:
+def _star_pairs(rows: DataFrame, classes: DataFrame, seed: int, t: tuple[int, int]) -> DataFrame:
     """Each class with the pivot, of another component, that it shares most prefix tokens with.
 
     Every other round a token's pivot is the class that is most made of what others have, as the text that a group's
     near copies were edited from is; in the rounds between it is any.
     """
     first = -F.col("m") / F.col("n") if seed % 2 == 0 else F.lit(0.0)
-    pivot = live.groupBy("token").agg(F.min_by(F.struct(F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("k").alias("pk"), F.col("comp").alias("pcomp")), F.struct(first, F.xxhash64("sid", F.lit(seed)))).alias("pivot")).select("token", "pivot.*")
-    near = live.join(pivot, "token").filter("comp <> pcomp").filter(_close("n", "m", "pn", "pm", t))
-    pairs = _enough(near.select(F.col("p").alias("a"), F.col("sid").alias("b"), F.least("k", "pk").alias("need")))
+    chosen = F.min_by(F.struct(*(F.col(c).alias("p" + c) for c in ("sid", "n", "m", "pos", "comp"))), F.struct(first, F.xxhash64("sid", F.lit(seed))))
+    pivot = rows.groupBy("token").agg(chosen.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("groups").alias("groups")).filter("lo <> hi")
+    near = _dealt(rows).join(_for_each_group(pivot.select("token", "pivot.*", "groups")), ["token", "sub"]).filter("comp <> pcomp").filter(_may_link(("n", "m", "pos"), ("pn", "pm", "ppos"), t))
+    pairs = _enough(near.select(F.col("psid").alias("a"), F.col("sid").alias("b")).distinct(), classes, t)
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
 
 
-def _rest_pairs(live: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """All pairs still apart within a token. One side leaves out the token's largest component, so that component
-    is walked only once for each class outside it."""
-    sizes = live.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    x = live.join(main, "token").filter("comp <> main").select("token", F.col("sid").alias("xs"), F.col("n").alias("xn"), F.col("m").alias("xm"), F.col("k").alias("xk"), F.col("comp").alias("xc"), "main")
-    near = x.join(live, "token").filter("xc <> comp and (comp = main or xs < sid)").filter(_close("xn", "xm", "n", "m", t))
-    return _enough(near.select(F.least("xs", "sid").alias("a"), F.greatest("xs", "sid").alias("b"), F.least("xk", "k").alias("need"))).select("a", "b")
+def _rest_pairs(rows: DataFrame, classes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs still apart that may link, by their first common tokens. One side leaves out the token's largest
+    component, so that component is walked only for the classes outside it."""
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("groups").alias("groups"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.max("groups").alias("groups")).filter("comps > 1")
+    dealt = _dealt(rows)
+    outside = dealt.join(_for_each_group(main.drop("comps")), ["token", "sub"]).filter("comp <> main")
+    x = _for_each_group(outside.select("token", "main", "groups", *(F.col(c).alias("x" + c) for c in ("sid", "n", "m", "pos", "comp"))))
+    near = x.join(dealt, ["token", "sub"]).filter("xcomp <> comp and (comp = main or xsid < sid)").filter(_may_link(("n", "m", "pos"), ("xn", "xm", "xpos"), t))
+    return _enough(near.select(F.least("xsid", "sid").alias("a"), F.greatest("xsid", "sid").alias("b")).distinct(), classes, t).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, t: tuple[int, int]) -> DataFrame:
@@ -304,8 +342,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, t: tuple[int, in
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _store_texts(docs: DataFrame, wanted: DataFrame, buckets: int) -> tuple[SparkSession, str]:
-    """Writes the texts of the wanted (doc_id, mark, sid), in buckets by sid, and returns the table's name.
+def _store_classes(docs: DataFrame, classes: DataFrame, buckets: int) -> str:
+    """Writes (sid, n, m, k, tokens, holders, data) in buckets by sid and returns the table's name; data is a text of the
+    class, and (doc_id, mark) in `classes` says which.
 
     Texts are compressed before they travel: half the size of what the shuffle makes of them, and less than their sets.
     """
@@ -316,56 +355,51 @@ def _store_texts(docs: DataFrame, wanted: DataFrame, buckets: int) -> tuple[Spar
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_mark(x) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary())], names=["doc_id", "mark", "data"])
 
-    spark = docs.sparkSession
-    path = shared_dir(spark, "texts")
-    name = "texts_" + path[-32:]
+    path = shared_dir(docs.sparkSession, "classes")
+    name = "classes_" + path[-32:]
     packed = docs.filter("text is not null").mapInArrow(run, "doc_id bigint, mark bigint, data binary")
-    rows = packed.join(wanted, ["doc_id", "mark"]).select("sid", "data").repartition(buckets, "sid").dropDuplicates(["sid"])
+    rows = packed.join(classes, ["doc_id", "mark"]).drop("doc_id", "mark").repartition(buckets, "sid").dropDuplicates(["sid"])
     rows.write.option("path", path).bucketBy(buckets, "sid").sortBy("sid").saveAsTable(name)
-    return spark, name
+    return name
 
 
-def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), tokens_a_bucket: int = 2_000_000) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), tokens_a_bucket: int = 2_000_000, star_rounds: int = 2, rows_a_group: int = 1000) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs.
 
-    Null, empty and wordless texts have no shingles and are their own component. Rows of one id are taken as
-    copies of what each holds and return a row each; rows with a null id take no part and are not returned.
-    Extra columns are ignored.
+    Null, empty and wordless texts have no shingles and are their own component. Ids are whole numbers (text of digits
+    counts as one); rows with a null id, or one that is no number, take no part and are not returned. Repeated rows
+    return a row each; rows of one id with different texts link the id with all that either of them links. An empty table
+    gives no rows. Extra columns, of whatever name, are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("doc_id is not null")
+    docs = docs.select(F.expr(f"try_cast({quoted(id_col)} as bigint)").alias("doc_id"), column(text_col).cast("binary").alias("text")).filter("doc_id is not null")
     t = threshold
-    found = written(_sets(docs, shingle), "sets")
-    classes = found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("mark", "doc_id").alias("mark"), F.first("n").alias("n"))
-    size = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(2 * parts(spark), size // tokens_a_bucket))
-    live = written(_prefixes(_held_tokens(_postings(docs, shingle, buckets)), t), "tokens").withColumn("comp", F.col("sid"))
-    now, links, seed, last, few = _apart(live), None, 0, False, False
-    live_sids = now.select("sid").distinct()
-    _, name = _store_texts(docs, classes.select("sid", "doc_id", "mark").join(live_sids, "sid"), parts(spark))
-    texts = spark.table(name)
-    while not last:
-        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("held"), F.max("m").alias("m"))
-        work, rows = sizes.agg(F.sum((F.col("held") - F.col("m")) * F.col("held")), F.sum("held")).first()
-        if not rows:
-            break
-        # Stars as long as all pairs would be many more than the tokens' rows and stars still find links.
-        last = work <= 4 * rows + 100_000 or few
-        pairs = written(_rest_pairs(now, t) if last else _star_pairs(now, seed, t), "pairs")
-        more = written(_verified(pairs, texts, shingle, t), "links")
-        links = more if links is None else links.union(more)
-        if last:
+    for seed in range(16):
+        found = written(_sets(docs, shingle, seed), "sets")
+        classes = found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("mark", "doc_id").alias("mark"), F.first("n").alias("n"), (F.min("check") < F.max("check")).alias("mixed"))
+        size, mixed = classes.agg(F.sum("n"), F.bool_or("mixed")).first()
+        if not mixed:  # else two different sets have one id: others with the next seed
             break
-        few = 5 * more.count() < pairs.count()
-        comps = written(components(links), "comps")
-        old = now.drop("comp").join(comps.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
-        now, seed = _apart(old.withColumn("comp", F.coalesce("comp", "sid"))), seed + 1
-    if links is None:
-        best = classes.select("sid", F.col("doc_id").alias("component_id"))
-    else:
-        joined = classes.drop("n", "mark").join(components(links), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
-        least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        best = joined.join(least, "comp").select("sid", "component_id")
-    best = written(best, "classes")
-    spark.sql(f"DROP TABLE {name}")
+    buckets = int(max(2 * parts(spark), (size or 0) // tokens_a_bucket))
+    live = _prefixes(_held_tokens(_postings(docs, shingle, seed, buckets)), t)
+    name = _store_classes(docs, live.join(classes.select("sid", "doc_id", "mark"), "sid"), parts(spark))
+    try:
+        best = _linked(spark.table(name), classes.select("sid", "doc_id"), shingle, t, star_rounds, rows_a_group)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     return found.join(best, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _linked(stored: DataFrame, classes: DataFrame, shingle: int, t: tuple[int, int], star_rounds: int, rows_a_group: int) -> DataFrame:
+    """(sid, component_id) of every class: stars first, then the pairs that they left apart."""
+    now, links = stored.withColumn("comp", F.col("sid")), None
+    for seed in range(star_rounds + 1):
+        rows = _rows(now, t, rows_a_group)
+        pairs = _star_pairs(rows, stored, seed, t) if seed < star_rounds else _rest_pairs(rows, stored, t)
+        more = written(_verified(pairs, stored, shingle, t), "links")
+        links = more if links is None else links.union(more)
+        comps = components(links)
+        now = stored.join(comps.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    joined = classes.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+    least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return written(joined.join(least, "comp").select("sid", "component_id"), "classes")
