@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folders made so far, for kept_alone.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir, removed when the session's JVM ends.
 
@@ -22,9 +27,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="reelmark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _MADE.append(path)
     return path
 
 
@@ -32,7 +37,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that `written` made, once nothing reads it any more."""
+    _delete(df.sparkSession, df.scratch)
+
+
+def kept_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make()'s rows, written; what was written on the way to them is deleted then, also if it fails."""
+    since = len(_MADE)
+    out = None
+    try:
+        out = written(make(), label)
+    finally:
+        for path in _MADE[since:]:
+            if out is None or path != out.scratch:
+                _delete(spark, path)
+        del _MADE[since:]
+    return out
 
 
 def quoted(name: str) -> str:
@@ -44,15 +75,22 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def fields(df: DataFrame) -> list[str]:
-    """The columns of df as a schema string has them."""
-    return [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema]
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without its columns of these names, in any case."""
     gone = {n.lower() for n in names}
-    return df.select([column(c) for c in df.columns if c.lower() not in gone])
+    kept = [k for k, c in enumerate(df.columns) if c.lower() not in gone]
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).select([f"c{k}" for k in kept]).toDF(*(df.columns[k] for k in kept))
+
+
+def map_columns(df: DataFrame, run: Callable, added: str, *, keep: Callable[[str], bool] = lambda c: True) -> DataFrame:
+    """df.mapInArrow(run) where run returns df's columns, but those that keep leaves out, and the added ones (a schema).
+
+    In the tasks columns are named c0, c1, ...: a batch is taken by place, so that names may be anything.
+    """
+    kept = [k for k, c in enumerate(df.columns) if keep(c)]
+    schema = [f"c{k} {df.schema[k].dataType.simpleString()}" for k in kept]
+    out = df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, ", ".join([*schema, added]))
+    return out.toDF(*(df.columns[k] for k in kept), *out.columns[len(kept) :])
 
 
 def parts(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,5 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == mark or not sign[0]:
             break
         mark = sign
-        now = written(_small_star(_large_star(now)), "edges")
+        then = written(_small_star(_large_star(now)), "edges")
+        discard(now)
+        now = then
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

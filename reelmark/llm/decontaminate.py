@@ -1,9 +1,10 @@
 """Benchmark decontamination: Wu-Manber multi-pattern search over words.
 
-A window of `width` item words is a pattern; items with fewer words are one shorter pattern. Patterns of one
-length share tables: the shift table maps each block of up to three words inside a pattern to its least distance
-from a pattern's end, every other block lets the search skip length - block + 1 words; a block with shift zero
-selects the bucket of patterns ending in it, and direct comparison confirms.
+A window of `width` item words is a pattern; items with fewer words are one shorter pattern. Words become numbers of a
+vocabulary of the items. Patterns of one length share tables: the shift table, a byte per hash of a block of up to three
+words, holds the least distance of such a block from a pattern's end, and lets the search skip length - block + 1 words at
+blocks of no pattern; a block with shift zero selects, by the hash of the suffix, the bucket of patterns ending in it, and
+direct comparison confirms. Patterns are places in the items' words, so a table takes some 40 bytes a word.
 
 The item table is read in blocks of bounded size, each a broadcast and a pass over the documents; documents are
 never shuffled with patterns.
@@ -13,100 +14,163 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, discard, map_columns, without, written
+
 #: A-Z to a-z; everything that is neither letter, digit nor beyond ASCII to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+STEP, LOW = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
 class WuManber:
-    """Search for word patterns of one length."""
-
-    def __init__(self, length: int, block: int = 3):
-        self.length, self.block = length, min(block, length)
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, set]] = {}
-
-    def add(self, pattern: tuple, owner) -> None:
-        b = self.block
-        for end in range(b, self.length + 1):
-            key, far = pattern[end - b : end], self.length - end
-            self.shift[key] = min(far, self.shift.get(key, far))
-        self.bucket.setdefault(pattern[-b:], {}).setdefault(pattern, set()).add(owner)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
-        """(start, owners) of every place where a pattern stands."""
-        b, length, shift = self.block, self.length, self.shift
+    """Search for word patterns of one length: the `length` words of `words` from each of `starts` on, an owner each."""
+
+    def __init__(self, length: int, words: np.ndarray, starts: np.ndarray, owners: list, block: int = 3):
+        self.length, self.block, self.words = length, min(block, length), words
+        # Equal patterns are one, with all their owners: `firsts` are their places, `whose` their owners.
+        rows = np.lib.stride_tricks.sliding_window_view(words, length)[starts]
+        order = np.lexsort(rows.T[::-1])
+        new = np.ones(len(order), bool)
+        for at in range(1, len(order), 1 << 18):
+            part = rows[order[at - 1 : at + (1 << 18)]]
+            new[at : at + len(part) - 1] = (part[1:] != part[:-1]).any(axis=1)
+        cuts = np.flatnonzero(new)
+        firsts = starts[order[cuts]]
+        whose = [frozenset(owners[k] for k in order[a:b].tolist()) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
+        # Hashes of all blocks, by the place of their last word.
+        self.bits = max(10, int(4 * len(firsts) * (length - self.block + 1)).bit_length())
+        self.shift = bytearray(b"%c" % min(255, length - self.block + 1)) * (1 << self.bits)
+        table = np.frombuffer(self.shift, np.uint8)
+        for end in range(self.block, length + 1):
+            np.minimum.at(table, self._hashes(firsts + end - self.block), min(255, length - end))
+        suffix = self._hashes(firsts + length - self.block)
+        order = np.argsort(suffix, kind="stable")
+        self.suffixes, self.firsts, self.whose = suffix[order], firsts[order], [whose[k] for k in order.tolist()]
+
+    def _hashes(self, at: np.ndarray) -> np.ndarray:
+        """The hashes of the blocks of pattern words that begin at places."""
+        h = np.zeros(len(at), np.uint64)
+        for k in range(self.block):
+            h = (h + self.words[at + k].astype(np.uint64)) * np.uint64(STEP)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def search(self, words: list[int]) -> Iterator[tuple[int, frozenset]]:
+        """(start, owners) of every place of the numbered words where a pattern stands. The number 0 is in no pattern."""
+        b, length, shift, down = self.block, self.length, self.shift, 64 - self.bits
         default, n, end = length - b + 1, len(words), length
         while end <= n:
-            skip = shift.get(tuple(words[end - b : end]), default)
-            if skip:
-                end += skip
+            h = 0
+            for k in range(end - b, end):
+                w = words[k]
+                if not w:
+                    break
+                h = (h + w) * STEP & LOW
+            else:
+                skip = shift[h >> down]
+                if skip:
+                    end += skip
+                    continue
+                at, own = end - length, words[end - length : end]
+                first = int(np.searchsorted(self.suffixes, h >> down))
+                while first < len(self.suffixes) and self.suffixes[first] == h >> down:
+                    if self.words[self.firsts[first] : self.firsts[first] + length].tolist() == own:
+                        yield at, self.whose[first]
+                        break
+                    first += 1
+                end += 1
                 continue
-            at = end - length
-            owners = self.bucket[tuple(words[end - b : end])].get(tuple(words[at:end]))
-            if owners:
-                yield at, owners
-            end += 1
+            # No pattern reaches over a word that is in no item.
+            end = k + 1 + length if k + 1 - b >= end - b else end + default
 
 
-def matchers(items: list[tuple], width: int) -> list[WuManber]:
-    """Tables for (item id, text) rows; a null or wordless text has no pattern."""
-    by_length: dict[int, WuManber] = {}
-    for item, text in items:
-        words = words_of(text or b"")
-        size = min(width, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            by_length.setdefault(size, WuManber(size)).add(tuple(words[k : k + size]), item)
-    return list(by_length.values())
+class Matchers:
+    """The vocabulary of some items and a table per pattern length, for (item id, text) rows; a null or wordless text has
+    no pattern."""
 
-
-def find_items(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    def __init__(self, items: list[tuple], width: int):
+        self.vocabulary: dict[bytes, int] = {}
+        words, starts, owners, at = [], {}, {}, 0
+        for item, text in items:
+            own = words_of(text or b"")
+            size = min(width, len(own))
+            if not size:
+                continue
+            words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], np.int32))
+            n = len(own) - size + 1
+            starts.setdefault(size, []).append(np.arange(at, at + n))
+            owners.setdefault(size, []).extend([item] * n)
+            at += len(own)
+        flat = np.concatenate(words) if words else np.zeros(0, np.int32)
+        self.tables = [WuManber(size, flat, np.concatenate(s), owners[size]) for size, s in starts.items()]
+
+    def search(self, words: list[bytes]) -> tuple[set[int], set]:
+        """(places hit, owners) in a document's words."""
+        hit, found = set(), set()
+        if self.tables:
+            own = [self.vocabulary.get(w, 0) for w in words]
+            for m in self.tables:
+                for at, owners in m.search(own):
+                    hit.update(range(at, at + m.length))
+                    found |= owners
+        return hit, found
+
+
+def find_items(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """Every column of docs, plus n_words, hit_words (places, sorted) and items (ids as strings, sorted).
 
-    Null texts have no words; an item with a null id is looked for under the id "null"; an empty item table hits
-    nothing. Items are taken in blocks of about block_bytes of text, a pass over the documents each. Columns of the added names are replaced.
+    Null and empty texts have no words; an item with a null id is looked for under the id "null", one without words hits
+    nothing, and repeated items are one. Repeated rows are each searched, whatever their ids, which are not read. An empty
+    table gives no rows, an empty item table no hits. Items are taken in blocks of about block_bytes of text, a pass over
+    the documents each; an item is in one block, so a single longer one makes a block of its size. Input columns of the
+    added names, in any case, are replaced; all others stay, whatever their names.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_words", "hit_words", "items")
-    keyed = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
+    docs = without(docs, "n_words", "hit_words", "items")
+    keyed = items.select(F.coalesce(column(item_col).cast("string"), F.lit("null")).alias("item"), column(item_text_col).cast("binary").alias("text"))
     size = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs
+    out, before = docs, None
     for k in range(blocks):
         part = keyed.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about block_bytes
-        out = _search(out, spark.sparkContext.broadcast(matchers([tuple(r) for r in part], width)), text_col, k == 0)
+        tables = docs.sparkSession.sparkContext.broadcast(Matchers([tuple(r) for r in part], width))
+        out = _search(out, tables, text_col, k == 0)
+        if k < blocks - 1:  # the pass is done before the next block's tables are made
+            out = written(out, "hits")
+            tables.destroy()
+            if before is not None:
+                discard(before)
+            before = out
     return out
 
 
 def _search(docs: DataFrame, tables, text_col: str, first: bool) -> DataFrame:
     """A pass with a block's tables; hits add to those of the passes before."""
-    own = docs.columns if first else docs.columns[:-3]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own]
-    schema = ", ".join([*fields, "n_words bigint", "hit_words array<int>", "items array<string>"])
+    added = ("n_words", "hit_words", "items")
+    own = len(docs.columns) - (0 if first else len(added))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = tables.value.search
         for batch in batches:
             n_words, hits, items = [], [], []
             before = [batch.column(k).to_pylist() for k in (-2, -1)] if not first else [[None] * batch.num_rows] * 2
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
             for text, hit, item in zip(texts, *before, strict=True):
                 words = words_of(text or b"")
-                hit, item = set(hit or ()), set(item or ())
-                for m in tables.value:
-                    for at, owners in m.search(words):
-                        hit.update(range(at, at + m.length))
-                        item |= owners
+                more, owners = search(words)
                 n_words.append(len(words))
-                hits.append(sorted(hit))
-                items.append(sorted(item))
-            cols = batch.columns[: len(own)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[: len(own)], "n_words", "hit_words", "items"])
+                hits.append(sorted(more.union(hit or ())))
+                items.append(sorted(owners.union(item or ())))
+            cols = batch.columns[:own]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:own], *added])
 
-    return docs.mapInArrow(run, schema)
+    return map_columns(docs, run, "n_words bigint, hit_words array<int>, items array<string>", keep=lambda c: first or c not in added)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import column, map_columns, without
+
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 UND = "und"
@@ -32,14 +34,18 @@ def learn_dictionaries(docs: DataFrame, train: Column, *, id_col: str = "doc_id"
 
     The bound: per language the rows_each rows with the smallest hashes of their id, of any length; of these, evenly
     cut pieces up to dictionary_bytes. Only ids are ranked; of the texts of the chosen ids alone, the middle
-    dictionary_bytes reach the driver. The languages come in order of their training rows, commonest first.
+    dictionary_bytes reach the driver. Rows that repeat an id with the same text are one piece, rows of one id with different
+    texts one each; null ids are an id; null languages and null or empty texts teach nothing, and an empty table gives no
+    dictionary. Languages come in order of their training rows, commonest first, equals by name. Only the three named
+    columns and those of `train` are read, whatever others are called.
     """
-    n = F.length(text_col)
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & (n > 0)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= rows_each).select("_id").distinct()
-    # At most rows_each ids of each language.
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").filter(train & F.col(lang_col).isNotNull() & (n > 0))
+    taught = docs.filter(train).select(column(id_col).alias("id"), column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"))
+    taught = taught.filter("lang is not null and length(text) > 0").withColumn("h", F.xxhash64("text"))
+    rows = taught.select("id", "lang", "h")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
+    chosen = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= rows_each).select("id", "lang", "h").distinct()
+    # At most rows_each rows of each language; repeats of them are dropped again before they reach the driver.
+    texts = taught.join(F.broadcast(chosen), (taught["id"].eqNullSafe(chosen["id"])) & (taught["lang"] == chosen["lang"]) & (taught["h"] == chosen["h"]), "left_semi").dropDuplicates(["id", "lang", "h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,10 +59,10 @@ def learn_dictionaries(docs: DataFrame, train: Column, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string()), pa.array(middles, pa.binary())], names=["lang", "head", "middle"])
 
     by: dict[str, list[bytes]] = {}
-    pieces = texts.select(F.col(lang_col).cast("string"), text_col).mapInArrow(cut, "lang string, head string, middle binary")
+    pieces = texts.select("lang", "text").mapInArrow(cut, "lang string, head string, middle binary")
     for lang, _, middle in sorted((r[0], r[1], bytes(r[2])) for r in pieces.collect()):
         by.setdefault(lang, []).append(middle)
-    held = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}  # a row per language
+    held = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
     out = {}
     for lang, own in sorted(by.items(), key=lambda x: (-held.get(x[0], 0), x[0])):
         share = max(64, dictionary_bytes // len(own))
@@ -92,20 +98,21 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
     """Every column of docs, plus lang_pred, lang_score and lang_rejected.
 
     Null texts and texts without a letter are `und`, score 0, rejected. A lead under least_lead is rejected too;
-    its best guess stays in lang_pred.
+    its best guess stays in lang_pred. Texts of equal size under two dictionaries (a tie) go to the first of them, with
+    lead 0. Repeated rows are each judged, whatever their ids, which are not read. An empty table gives no rows. Input
+    columns of the three added names, in any case, are replaced; all others stay, whatever their names.
     """
     names = ("lang_pred", "lang_score", "lang_rejected")
-    kept = [c for c in docs.columns if c not in names]
-    docs = docs.select(kept)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    docs = without(docs, *names)
+    at = docs.columns.index(text_col)
     tables = docs.sparkSession.sparkContext.broadcast((dictionaries, level, piece_bytes))  # dictionary_bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Compressors(*tables.value)
         for batch in batches:
-            got = [model.predict(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            got = [model.predict(t) for t in batch.column(at).to_pylist()]
             langs, scores = [g[0] for g in got], [g[1] for g in got]
             bad = [a == UND or b < least_lead for a, b in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string", "lang_score double", "lang_rejected boolean"]))
+    return map_columns(docs, run, "lang_pred string, lang_score double, lang_rejected boolean")

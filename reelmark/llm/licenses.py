@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -152,10 +154,14 @@ def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, thre
 
     places are the (start, label) of the phrases; labels join theirs and those of the templates that a line, or a
     window across line ends, meets, sorted and distinct; score is 1 where a phrase stands, else the largest containment of a met template, else 0. Null texts
-    are empty. Rows of one id share the template labels; rows with a null id get none of them.
+    are empty. Rows of one id, repeated ones too, share the template labels; rows with a null id get none of them. Of
+    places or notices alike in all (ties) each counts. An empty table gives no rows. Extra columns, of whatever name, are
+    ignored.
     """
+    docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    id_col, text_col = "doc_id", "text"
     text = F.col(text_col)
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), words(text).alias("_words"))
+    own = docs.select("doc_id", text.alias("_text"), words(text).alias("_words"))
     scanned = own.select("doc_id", F.size("_words").cast("bigint").alias("n_words"), phrase_places(F.col("_words"), F.coalesce("_text", F.lit("")), phrases).alias("places"))
     met = _met(docs, templates, threshold, id_col, text_col, windows=True).filter("doc_id is not null")
     met = met.groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_most"))

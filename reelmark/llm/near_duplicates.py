@@ -196,7 +196,7 @@ def _held_tokens(postings: DataFrame) -> DataFrame:
         order = np.argsort(sid, kind="stable")
         tok, sid, n, holders = tok[order], sid[order], n[order], holders[order]
         cuts = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(sid))
+        ends = np.append(cuts[1:], len(sid))[: len(cuts)]
         return pa.table({
             "sid": pa.array(sid[cuts]), "n": pa.array(n[cuts]), "tokens": pa.array([tok[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()),
             "holders": pa.array([holders[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()),
@@ -381,7 +381,7 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
         if not mixed:  # else two different sets have one id: others with the next seed
             break
     buckets = int(max(2 * parts(spark), (size or 0) // tokens_a_bucket))
-    live = _prefixes(_held_tokens(_postings(docs, shingle, seed, buckets)), t)
+    live = written(_prefixes(_held_tokens(_postings(docs, shingle, seed, buckets)), t), "prefixes")
     name = _store_classes(docs, live.join(classes.select("sid", "doc_id", "mark"), "sid"), parts(spark))
     try:
         best = _linked(spark.table(name), classes.select("sid", "doc_id"), shingle, t, star_rounds, rows_a_group)

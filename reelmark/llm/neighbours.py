@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import column, written
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ class Router:
         return np.maximum(h @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
-def train_router(sample: np.ndarray, parts: int, *, k: int = 10, wanted: float = 0.95, hidden: int = 128, epochs: int = 30, rate: float = 0.1, seed: int = 3) -> Router:
+def train_router(sample: np.ndarray, parts: int, *, k: int = 10, wanted: float = 0.95, hidden: int = 128, steps: int = 2000, rate: float = 0.1, seed: int = 3) -> Router:
     """A router of a sample of distinct vectors; every ninth is held out to choose the number of probes."""
     held = np.arange(len(sample)) % 9 == 8
     x, y = sample[~held], sample[held]
@@ -123,7 +123,7 @@ def train_router(sample: np.ndarray, parts: int, *, k: int = 10, wanted: float =
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     r = Router(mean, scale, rng.standard_normal((d, hidden)) * (2 / d) ** 0.5, np.zeros(hidden), np.zeros((hidden, parts)), np.zeros(parts), parts)
-    if parts == 1 or len(x) < 2 * parts:
+    if len(x) < 2:
         return r
     graph = neighbour_graph(x, k)
     part = balanced_parts(graph, parts, seed)
@@ -132,9 +132,8 @@ def train_router(sample: np.ndarray, parts: int, *, k: int = 10, wanted: float =
     h = (x - mean) * scale
     weights = (r.w1, r.b1, r.w2, r.b2)
     speed = [np.zeros_like(w) for w in weights]
-    steps = epochs * -(-len(h) // 64)
     done = 0
-    for _ in range(epochs):
+    while done < steps:
         order = rng.permutation(len(h))
         for at in range(0, len(h), 64):
             some = order[at : at + 64]
@@ -144,6 +143,8 @@ def train_router(sample: np.ndarray, parts: int, *, k: int = 10, wanted: float =
             p = np.exp(z - z.max(1, keepdims=True))
             p = (p / p.sum(1, keepdims=True) - target[some]) / len(some)
             back = (p @ r.w2.T) * (z1 > 0)
+            if done == steps:
+                break
             for w, s, g in zip(weights, speed, (h[some].T @ back, back.sum(0), a1.T @ p, p.sum(0)), strict=True):
                 s *= 0.9
                 s -= rate * (1 - done / steps) * (g + 1e-4 * w)
@@ -159,17 +160,24 @@ def train_router(sample: np.ndarray, parts: int, *, k: int = 10, wanted: float =
     return r
 
 
+def taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of the rows with an id and a vector of finite components, not all zero."""
+    v = F.transform(column(vector_col), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 to 0.0
+    inf = float("inf")
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("v", lambda x: x != 0)
+    return vectors.select(column(id_col).cast("bigint").alias("id"), v.alias("v")).filter("id is not null").filter(F.coalesce(fine, F.lit(False)))
+
+
 def vector_classes(vectors: DataFrame, *, id_col: str, vector_col: str, ids_each: int) -> DataFrame:
     """(v, ids, h): the distinct vectors that take part, the smallest ids of each, and a hash.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take none; rows of one id count once,
-    with its smallest vector; null ids are left out.
+    Vectors that are null, empty, zero or hold null or non-finite components take none, nor do those of another length
+    than the commonest (of equals, the shortest); rows of one id count once, with its smallest vector; null ids are left
+    out.
     """
-    v = F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0))  # -0.0 to 0.0
-    inf = float("inf")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).filter("id is not null").filter(F.coalesce(fine, F.lit(False)))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    rows = taking_part(vectors, id_col, vector_col)
+    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d").first()
+    rows = rows.filter(F.size("v") == (length[0] if length else 0)).groupBy("id").agg(F.min("v").alias("v"))
     # Row numbers are cut before the shuffle too, so a common vector sends ids_each rows from a task.
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("rn") <= ids_each)
     return first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v"))
@@ -183,22 +191,24 @@ def _sample(classes: DataFrame, n: int, rows: int) -> np.ndarray:
     return np.array([r[0] for r in got], float)
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4608, rows_a_partition: int = 2048, most_partitions: int = 64, wanted: float = 0.95, rows_a_group: int = 8192, queries_a_group: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_a_partition: int = 36, most_partitions: int = 512, wanted: float = 0.97, least_probes: int = 1, rows_a_group: int = 8192, queries_a_group: int = 2048) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest found of each query among all other ids, by Euclidean distance
     in double precision, nearest first, ties to the smaller id.
 
-    is_query is a condition on `id`. The partitions and the router are learned from sample_rows vectors at most;
-    every vector is indexed. An empty table, or queries without other vectors, give no rows. Vectors of another
-    length than the commonest raise an error.
+    is_query is a condition on `id`. There are about sqrt(n) partitions, a power of two from 2 to most_partitions; they and
+    the router are learned from sample_a_partition distinct vectors a partition (2304 at least), every vector is indexed.
+    A query goes to least_probes partitions, to as many as held-out vectors need for the wanted share of their neighbours,
+    and to as many as hold k others; with least_probes of all partitions the search is exact.
+    Null ids, and vectors that are null, zero, not finite or of another length than the commonest, take no part. Rows that
+    repeat an id count once, with the smallest vector. An empty table, or queries without other vectors, give no rows.
+    Extra columns, of whatever name, are ignored.
     """
     classes = written(vector_classes(vectors, id_col=id_col, vector_col=vector_col, ids_each=k + 1), "classes")
-    n, least, most = classes.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
-    if n and least != most:
-        raise ValueError(f"vectors of {least} to {most} components")
-    sample = _sample(classes, n, sample_rows) if n else np.zeros((0, 1))
-    parts = 1
-    while parts < most_partitions and parts * rows_a_partition < n:
+    n, length = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    parts = 2
+    while parts < most_partitions and parts * parts < n:
         parts *= 2
+    sample = _sample(classes, n, max(2304, sample_a_partition * parts)) if n else np.zeros((0, 1))
     router = classes.sparkSession.sparkContext.broadcast(train_router(sample, parts, k=k, wanted=wanted))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,25 +217,26 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str =
             p = np.argmax(router.value.logits(x), axis=1) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.int32))], names=["v", "ids", "h", "p"])
 
+    placed = written(classes.mapInArrow(assign, "v array<double>, ids array<bigint>, h bigint, p int"), "placed")
+    # A row per partition, of which there are most_partitions at most.
+    held = {r[0]: (r[1], r[2]) for r in placed.groupBy("p").agg(F.count("*"), F.sum(F.size("ids"))).collect()}
+    ids_in = np.array([held.get(p, (0, 0))[1] for p in range(parts)])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = router.value
+        probes = max(r.probes, least_probes)
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            p = np.argsort(-r.logits(x), axis=1)[:, : r.probes].astype(np.int32) if batch.num_rows else np.zeros((0, 1), np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.int32()))], names=["id", "v", "ps"])
+            order = np.argsort(-r.logits(x), axis=1) if batch.num_rows else np.zeros((0, parts), np.int64)
+            enough = (np.cumsum(ids_in[order], axis=1) <= k).sum(axis=1) + 1  # k others beside the query's own row
+            p = [o[: max(probes, e)] for o, e in zip(order.astype(np.int32), enough.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.list_(pa.int32()))], names=["id", "v", "ps"])
 
-    placed = written(classes.mapInArrow(assign, "v array<double>, ids array<bigint>, h bigint, p int"), "placed")
     # A query among more copies than a class lists is found by its own row.
-    v = F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0))
-    asked = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).filter(is_query).filter("id is not null and v is not null")
-    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    inf = float("inf")
-    asked = asked.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("v", lambda x: x != 0))
+    asked = taking_part(vectors, id_col, vector_col).filter(is_query).filter(F.size("v") == (length or 0)).groupBy("id").agg(F.min("v").alias("v"))
     routed = written(asked.mapInArrow(route, "id bigint, v array<double>, ps array<int>"), "routed").select("id", "v", F.explode("ps").alias("p"))
-    # A row per partition, of which there are most_partitions at most.
-    rows = {r[0]: r[1] for r in placed.groupBy("p").count().collect()}
     queries = {r[0]: r[1] for r in routed.groupBy("p").count().collect()}
-    split = [(p, max(1, -(-c // rows_a_group)), max(1, -(-queries.get(p, 0) // queries_a_group))) for p, c in rows.items()]
+    split = [(p, max(1, -(-c // rows_a_group)), max(1, -(-queries.get(p, 0) // queries_a_group))) for p, (c, _) in held.items()]
     splits = F.broadcast(classes.sparkSession.createDataFrame(split, "p int, subs int, qsubs int"))
     # Each query meets each vector of its partitions once: vectors are dealt over subs, queries over qsubs.
     base = placed.join(splits, "p").select("p", F.pmod("h", "subs").cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.col("qsubs") - 1)).alias("qsub"), "v", "ids")

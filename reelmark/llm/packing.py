@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import parts, written
+from .common import column, parts, written
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Marks cut off a word's ends: a run of them is one token part. The apostrophe, which begins contractions, is none.
@@ -44,8 +44,9 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
+        # Special pieces are ids of their own wherever they stand, also in a word.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.entries, self.known, self.words, self.marks = entries, {"": b""}, {"": b""}, {"": b""}
@@ -74,7 +75,7 @@ class WordCache:
         lower = [c.lower() for c in new]
         tails = [c.rstrip(MARKS) for c in lower]
         cores = [c.lstrip(MARKS) for c in tails]
-        plain = [c.isalpha() for c in cores]
+        plain = [c.isalpha() and not any(s in low for s in self.special) for c, low in zip(cores, lower, strict=True)]
         self._joined(list({c for c, ok in zip(cores, plain, strict=True) if ok}.difference(self.words)))
         rows = [(c, t[: len(t) - len(core)], core, low[len(t) :]) for c, low, t, core, ok in zip(new, lower, tails, cores, plain, strict=True) if ok]
         self._each(list({m for _, head, _, tail in rows for m in (head, tail)}.difference(self.marks)), self.marks)
@@ -141,7 +142,52 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text")).mapInArrow(cut, PIECES)
+
+
+class Sums:
+    """Which singles, pairs and triples of the lengths at hand have a given sum.
+
+    A hash table each for pairs and triples: under a sum, the candidates that name a combination, made when the sum is
+    first asked for. Counts only fall, so a candidate found used up is taken out for good.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _left(self, x: int, used: tuple[int, ...]) -> bool:
+        return self.have[x] > used.count(x)
+
+    def single(self, gap: int, used: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        return (gap,) if gap > 0 and self._left(gap, used) else None
+
+    def pair(self, gap: int, used: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """(longer, shorter) with the smallest shorter one."""
+        have = self.have
+        if gap not in self.pairs:
+            low = np.arange(1, max(gap, 0) // 2 + 1)
+            self.pairs[gap] = low[(have[low] > 0) & (have[gap - low] > 0)][::-1].tolist()
+        shorts = self.pairs[gap]
+        while shorts and not (have[shorts[-1]] and have[gap - shorts[-1]]):
+            shorts.pop()
+        return next(((gap - x, x) for x in reversed(shorts) if self._left(x, used) and self._left(gap - x, (*used, x))), None)
+
+    def triple(self, gap: int, used: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """The longest length that a pair completes, and that pair."""
+        if gap not in self.triples:
+            self.triples[gap] = np.flatnonzero(self.have[: max(gap - 1, 0)]).tolist()
+        firsts, k = self.triples[gap], len(self.triples[gap]) - 1
+        while k >= 0:
+            x = firsts[k]
+            two = self.pair(gap - x, (*used, x)) if self._left(x, used) else None
+            if two:
+                return (x, *two)
+            if not self.have[x] or not self.pairs.get(gap - x, [0]):
+                del firsts[k]
+            k -= 1
+        return None
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -164,34 +210,13 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, i
             steps.append((times, list(need.items())))
         return times
 
-    def single(gap: int) -> list[int] | None:
-        return [gap] if have[gap] else None
-
-    def pair(gap: int) -> list[int] | None:
-        low = np.arange(1, gap // 2 + 1)
-        ok = np.flatnonzero((have[low] > 0) & (have[gap - low] > (low == gap - low)))
-        return [int(gap - low[ok[0]]), int(low[ok[0]])] if len(ok) else None
-
-    def triple(gap: int) -> list[int] | None:
-        for c in np.flatnonzero(have[: max(gap - 1, 0)])[::-1]:
-            have[c] -= 1
-            two = pair(gap - int(c))
-            have[c] += 1
-            if two:
-                return [int(c), *two]
-        return None
-
-    for fill in (single, pair, triple):
+    sums = Sums(have)
+    if have[size]:
+        take([size])
+    for fill in (sums.single, sums.pair, sums.triple):
         for length in np.flatnonzero(have)[::-1].tolist():
-            while have[length]:
-                if length == size:
-                    take([length])
-                    continue
-                have[length] -= 1
-                rest = fill(size - length)
-                have[length] += 1
-                if not rest or not take([length, *rest]):
-                    break
+            while have[length] and (rest := fill(size - length, (length,))):
+                take([length, *rest])
     while have.any():
         chosen, gap = [], size
         while gap > 0 and len(fit := np.flatnonzero(have[: gap + 1])):
@@ -253,5 +278,11 @@ def pack(pieces: DataFrame, *, size: int = 2048, rows_a_task: int = 1_000_000) -
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenizes whole documents once and packs the pieces. An empty table gives an empty result."""
+    """Tokenizes whole documents once and packs the pieces: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    Null and empty texts are one piece that holds end_id alone. Rows with a null id are packed under it, and repeated rows
+    give their pieces each; which of several equal pieces (a tie) takes which place is open, but every place is taken
+    once. An empty table gives no rows. Extra columns, of whatever name, are ignored. Special pieces of the tokenizer that
+    stand in a text are the ids that the tokenizer gives them.
+    """
     return pack(written(token_pieces(docs, tokenizer_path, size=size, end_id=end_id, id_col=id_col, text_col=text_col), "pieces"), size=size)

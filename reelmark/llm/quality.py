@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, map_columns, without
+
 BITS = 18
 MULT = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPAN = 1 << 18
@@ -84,8 +86,13 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 6000) -> list[tuple]:
-    """(label, buckets, weights) of a bounded sample: the `rows` labelled training rows with the smallest hashes of their id."""
-    chosen = labels.filter(train & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    """(label, buckets, weights) of a bounded sample: the `rows` labelled training ids with the smallest hashes.
+
+    Of an id with several labels the larger counts, of an id with several texts the one of the smallest hash; so `rows` is
+    a bound whatever repeats. Null ids and labels other than 0 and 1 teach nothing, nor do texts without a word. An empty
+    table gives an empty sample. Only the named columns are read, whatever others are called.
+    """
+    chosen = labels.filter(train & column(label_col).isin(0, 1) & column(id_col).isNotNull()).groupBy(column(id_col).cast("bigint").alias("_id")).agg(F.max(column(label_col)).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,7 +100,8 @@ def sample_features(docs: DataFrame, labels: DataFrame, train: Column, *, id_col
             yield pd.DataFrame({"label": pdf["_label"], "id": pdf["_id"], "buckets": [b.astype(np.int32).tobytes() for b, _ in found], "counts": [c.astype(np.float32).tobytes() for _, c in found]})
 
     # The chosen rows are at most `rows` ids.
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
+    joined = docs.select(column(id_col).cast("bigint").alias("_id"), column(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    joined = joined.groupBy("_id").agg(F.first("_label").alias("_label"), F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     got = joined.mapInPandas(extract, "label int, id bigint, buckets binary, counts binary").collect()
     out = []
     for label, i, b, c in sorted((tuple(r) for r in got), key=lambda r: (r[1], r[2], r[3])):
@@ -132,19 +140,23 @@ def train_model(sample: list[tuple], *, dims: int = 8, epochs: int = 6, rate: fl
 
 
 def score(docs: DataFrame, model: np.ndarray, *, text_col: str = "text") -> DataFrame:
-    """Every column of docs plus quality_score, the probability of label 1. Null and empty texts get the bias alone."""
-    docs = docs.drop("quality_score")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    """Every column of docs plus quality_score, the probability of label 1.
+
+    Null and empty texts get the bias alone. Repeated rows are each scored; an empty table gives no rows. An input column
+    quality_score, in any case, is replaced; all others stay, whatever their names.
+    """
+    docs = without(docs, "quality_score")
+    at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits, bias = shared.value[:-1], float(shared.value[-1])
         for batch in batches:
             out = []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+            for text in batch.column(at).to_pylist():
                 f = features(text)
                 z = bias + (float(logits[f].mean(dtype=np.float64)) if len(f) else 0.0)
                 out.append(1 / (1 + np.exp(-min(max(z, -50.0), 50.0))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "quality_score double"]))
+    return map_columns(docs, run, "quality_score double")

@@ -4,8 +4,8 @@ A string of `length` bytes has a minimizer: the smallest hash among its 16-byte
 equal minimizers, so only places whose minimizer occurs in two different texts can hold a repeat, and all equal
 strings meet in one shard.
 
-1. Copies of whole texts are found by digest; each is removed against its smallest document and takes no further
-   part.
+1. Copies of whole texts are found by 128-bit digests; each is removed against its smallest document and takes no
+   further part.
 2. Minimizers travel as packed blocks to hash buckets; those of a single text fall away.
 3. Around the minimizers that are left, documents send contexts: runs of bytes whose suffixes start at places
    with that minimizer. They are dealt into shards by minimizer and sorted by document.
@@ -18,6 +18,7 @@ strings meet in one shard.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import column, parts, written
 
 U = np.uint64
 GRAM = 16
@@ -97,20 +98,24 @@ class SuffixLevels:
         return [by_suffix[spans[k] : spans[k + 1]] for k in which]
 
 
-def _anchor_blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, block): distinct minimizers of each text with the text's digest, packed; a task sends a text once."""
+def _anchor_blocks(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
+    """(bucket, block): distinct minimizers of each text with the text's mark, packed; copies near each other are sent
+    once, and the buckets tell other repeats apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: OrderedDict[int, None] = OrderedDict()  # the texts sent last
         for batch in batches:
             values, index, marks = [], [], []
             for text in batch.column(0).to_pylist():
                 if not text or len(text) < length:
                     continue
-                mark = xxhash.xxh3_64_intdigest(text)
+                mark = _digest(text, seed)[0]
                 if mark in seen:
+                    seen.move_to_end(mark)
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(mark)
+                seen[mark] = None
+                if len(seen) > 1_000_000:
+                    seen.popitem(last=False)
                 m = minimizers(text, length)
                 own = np.unique(m[np.concatenate([[True], m[1:] != m[:-1]])])
                 values.append(own)
@@ -118,7 +123,7 @@ def _anchor_blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 marks.append(mark)
             out_b, out_d = [], []
             if values:
-                v, i, marks = np.concatenate(values), np.concatenate(index), np.array(marks, U)
+                v, i, marks = np.concatenate(values), np.concatenate(index), np.array(marks, np.int64).view(U)
                 bucket = ((v * U(0x9FB21C651E98DF25)) >> U(32)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
@@ -160,7 +165,7 @@ def _shared_anchors(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, "mark bigint, n bigint, anchors binary")
 
 
-def _contexts(docs: DataFrame, length: int, shards: int) -> DataFrame:
+def _contexts(docs: DataFrame, length: int, seed: int, shards: int) -> DataFrame:
     """(shard, doc_id, pos, data) of documents with a list of shared anchors: runs of up to 64 suffix starts of one
     minimizer, with the bytes their suffixes need. The place of a text among the several of its id is in pos, from
     bit VARIANT on."""
@@ -173,7 +178,7 @@ def _contexts(docs: DataFrame, length: int, shards: int) -> DataFrame:
                 for i, text, lists, variants in zip(*(some.column(k).to_pylist() for k in range(4)), strict=True):
                     if not lists or len(text or b"") < length:
                         continue
-                    base = variants.index(_mark(text)) << VARIANT if variants else 0
+                    base = variants.index(_digest(text, seed)[0]) << VARIANT if variants else 0
                     m = minimizers(text, length)
                     shared = np.sort(np.concatenate([np.frombuffer(x, U) for x in lists]))
                     change = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
@@ -217,13 +222,13 @@ def _scan(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, "doc_id bigint, first bigint, last bigint")
 
 
-def _rewrite(docs: DataFrame, length: int) -> DataFrame:
+def _rewrite(docs: DataFrame, length: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, spans, kept = [], [], [], []
             for text, ranges, of, variants in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                 text = text or b""
-                mark = _mark(text) if (of or variants) and len(text) >= length else None
+                mark = _digest(text, seed)[0] if (of or variants) and len(text) >= length else None
                 if of and mark in of:
                     runs = [(0, len(text))]
                 else:
@@ -251,19 +256,25 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_bytes, n_removed, spans, kept) per row: UTF-8 bytes covered by a `length`-byte string that also
     starts in a document with a smaller id go; spans are the removed ranges [first, last).
 
-    Null texts are empty. Rows of one id are one document to others and are each rewritten; rows with a null id
-    neither count nor return. Extra columns are ignored.
+    Null texts are empty, and texts shorter than `length` lose nothing, however long the others are. Of copies (a tie) the
+    smallest id keeps its text. Rows of one id, repeated ones too, are one document to others and are each rewritten;
+    rows with a null id neither count nor return. An empty table gives no rows. Extra columns, of whatever name, are
+    ignored.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
-    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    docs = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).cast("binary").alias("text")).filter("doc_id is not null")
     texts = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # About one distinct minimizer in 17 bytes.
     buckets = int(max(2 * parts(spark), texts // (17 * anchors_a_bucket)))
-    shared = written(_shared_anchors(_anchor_blocks(docs, length, buckets)), "anchors")
-    keys = written(_marks(docs.filter(F.length("text") >= length)), "marks")
-    marks = written(keys.groupBy("mark").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")), "owners")
+    for seed in range(16):
+        keys = written(_marks(docs.filter(F.length("text") >= length), seed), "marks")
+        marks = written(keys.groupBy("mark").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c"), (F.min("check") < F.max("check")).alias("mixed")), "owners")
+        if marks.filter("mixed").isEmpty():  # else two different texts have one mark: others with the next seed
+            break
+    marks = marks.drop("mixed")
+    shared = written(_shared_anchors(_anchor_blocks(docs, length, seed, buckets)), "anchors")
     copies = keys.join(marks.filter("c > 1"), "mark").filter("doc_id <> owner").groupBy(F.col("doc_id").alias("copy")).agg(F.collect_set("mark").alias("of"))
     # Ids with rows of different texts, if there are any: their marks in order.
     several = keys.groupBy("doc_id").agg(F.sort_array(F.collect_set("mark")).alias("variants")).filter(F.size("variants") > 1).withColumnRenamed("doc_id", "_v")
@@ -274,22 +285,24 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     tasks = int(max(parts(spark), shards // 4))
     # Both joins below read one exchange of the documents by id.
     with_lists = docs.join(lists, F.col("doc_id") == F.col("owner"), "left").join(several, F.col("doc_id") == F.col("_v"), "left").select("doc_id", "text", "lists", "variants")
-    dealt = _contexts(with_lists, length, shards).repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "pos")
+    dealt = _contexts(with_lists, length, seed, shards).repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "pos")
     ranges = _scan(dealt, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc_id", "_r")
     out = docs.join(ranges, F.col("doc_id") == F.col("_r"), "left").join(copies, F.col("doc_id") == F.col("copy"), "left").join(several, F.col("doc_id") == F.col("_v"), "left")
-    return _rewrite(out.select("doc_id", "text", "ranges", "of", "variants"), length)
+    return _rewrite(out.select("doc_id", "text", "ranges", "of", "variants"), length, seed)
+
 
+def _digest(text: bytes, seed: int) -> tuple[int, int]:
+    """Two signed halves of a text's 128-bit digest: its mark, and what tells texts of one mark apart."""
+    both = np.frombuffer(xxhash.xxh3_128_digest(text, seed), np.int64)
+    return int(both[0]), int(both[1])
 
-def _mark(text: bytes) -> int:
-    """A text's hash as a signed number."""
-    mark = xxhash.xxh3_64_intdigest(text)
-    return mark - (1 << 64) if mark >> 63 else mark
 
+def _marks(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, mark, check) of every text."""
 
-def _marks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([_mark(t) for t in batch.column(1).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks)], names=["doc_id", "mark"])
+            both = np.array([_digest(t, seed) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "mark", "check"])
 
-    return docs.mapInArrow(run, "doc_id bigint, mark bigint")
+    return docs.mapInArrow(run, "doc_id bigint, mark bigint, check bigint")

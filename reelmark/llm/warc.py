@@ -16,10 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import column, shared_dir, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -140,13 +141,13 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def revisits(pages: DataFrame, id_col: str, payload: Column, least_bytes: int) -> DataFrame:
-    """(id, digest, refers_to) of the rows whose payload an equal one with a larger id answers for.
+def revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """(_id, _sha, _refers) of the (_id, _body, _sha) rows whose payload an equal one with a larger id answers for.
 
     Digests are narrow rows. A digest with more rows than others is one row on the other side of the join, so
     the adaptive skew join may split it.
     """
-    keys = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"), F.length(payload).alias("_n")).filter(F.col("_n") >= least_bytes)
+    keys = rows.select("_id", "_sha", F.length("_body").alias("_n")).filter(F.col("_n") >= least_bytes)
     last = keys.groupBy("_sha", "_n").agg(F.max("_id").alias("_last"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
     return keys.join(last, ["_sha", "_n"]).filter("_id <> _last").groupBy("_id", "_sha").agg(F.max("_last").alias("_refers"))
 
@@ -154,24 +155,27 @@ def revisits(pages: DataFrame, id_col: str, payload: Column, least_bytes: int) -
 def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 1000, archive_bytes: int = 64 << 20) -> DataFrame:
     """Writes a record per row and returns the archives written: (archive, n_records), a small table.
 
-    Null bodies are empty payloads, null urls empty URIs; rows with equal ids are each written; a null id is
-    written as the id "null" and never answers for others. Further columns are ignored.
+    Null bodies are empty payloads, null urls empty URIs; rows with equal ids are each written, and all but the largest
+    id among equal payloads are revisits; a null id is written as the id "null", is never a revisit and never answers for
+    others. Ids are whole numbers of any size or text, and stay exact. An empty table gives no archive. Further columns,
+    of whatever name, are ignored.
     """
     spark = pages.sparkSession
     out = shared_dir(spark, "warc")
     fs_out, root = _fs(out)
     fs_out.create_dir(root, recursive=True)
-    body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), body.alias("_body"), F.sha1(body).alias("_sha"))
-    refs = revisits(pages.filter(F.col(id_col).isNotNull()), id_col, body, least_bytes)
-    dealt = rows.join(refs, ["_id", "_sha"], "left").sortWithinPartitions("_id", "_url")
+    body = F.coalesce(column(body_col).cast("binary"), F.lit(b""))
+    rows = pages.select(column(id_col).alias("_id"), column(url_col).alias("_url"), body.alias("_body"), F.sha1(body).alias("_sha"))
+    refs = revisits(rows.filter(F.col("_id").isNotNull()), least_bytes)
+    dealt = rows.join(refs, ["_id", "_sha"], "left").sortWithinPartitions("_id", "_url").select("_id", "_url", "_body", "_refers")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         fs, folder = _fs(out)
-        rows = (x for batch in batches for x in zip(batch["_id"], batch["_url"], batch["_body"], batch["_refers"], strict=True))
+        # Arrow keeps numbers beside nulls whole. A slice's bodies are taken out at a time.
+        rows = (x for batch in batches for at in range(0, batch.num_rows, 100) for x in zip(*(c.to_pylist() for c in batch.slice(at, 100).columns), strict=True))
         names, counts, more = [], [], next(rows, None)
         while more:
             name = f"part-{task.partitionId():06d}-{len(names):04d}.warc.gz"
@@ -180,23 +184,23 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
             with fs.open_output_stream(temp, compression=None) as sink:
                 while more and size < archive_bytes:
                     i, url, data, ref = more
-                    data = bytes(data)
-                    urn = "urn:page:null" if pd.isna(i) else f"urn:page:{int(i)}"
-                    member = _gzip(record(urn, url, data, hashlib.sha1(data).hexdigest(), None if pd.isna(ref) else f"urn:page:{int(ref)}"))
+                    urn = "urn:page:null" if i is None else f"urn:page:{i}"
+                    member = _gzip(record(urn, url, data, hashlib.sha1(data).hexdigest(), None if ref is None else f"urn:page:{ref}"))
                     sink.write(member)
                     count, size, more = count + 1, size + len(member), next(rows, None)
             fs.move(temp, f"{folder}/{name}")
             names.append(f"{out}/{name}")
             counts.append(count)
-        yield pd.DataFrame({"archive": names, "n_records": counts}).astype({"archive": "object", "n_records": "int64"})
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["archive", "n_records"])
 
-    return written(dealt.mapInPandas(write, "archive string, n_records bigint"), "warc-list")
+    return written(dealt.mapInArrow(write, "archive string, n_records bigint"), "warc-list")
 
 
-def read_warc(archives: DataFrame, *, path_col: str = "archive", payloads: bool = True) -> DataFrame:
+def read_warc(archives: DataFrame, *, path_col: str = "archive", payloads: bool = True, strict: bool = True) -> DataFrame:
     """A row per record of each archive; with payloads=False the payload column stays null.
 
-    Raises WarcError on broken framing; a payload that differs from its digest has digest_ok false.
+    Raises WarcError on broken framing and where a payload differs from its digest; with strict=False such a record is a
+    row with digest_ok false. A revisit, whose payload is elsewhere, has a null digest_ok.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,6 +210,8 @@ def read_warc(archives: DataFrame, *, path_col: str = "archive", payloads: bool
                 rows, held = [], 0
                 with fs.open_input_stream(at, compression=None) as source:
                     for r in records(source):
+                        if strict and r["digest_ok"] is False:
+                            raise WarcError(f"{path}: the payload of {r['record_id']} differs from its digest")
                         if not payloads:
                             r["payload"] = None
                         rows.append(r | {"archive": path})

@@ -1,6 +1,7 @@
 """The ten operators on odd rows, empty tables and against the brute-force versions."""
 
 import hashlib
+import itertools
 import random
 
 import brute
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 
 from reelmark.llm import licenses
 from reelmark.llm.components import components
-from reelmark.llm.decontaminate import WuManber, find_items
+from reelmark.llm.decontaminate import Matchers, find_items
 from reelmark.llm.language import UND, Compressors, identify, learn_dictionaries, letters
 from reelmark.llm.licenses import license_blocks, scan_licenses
-from reelmark.llm.line_dedup import PerfectHash, dedup_lines
+from reelmark.llm.line_dedup import PerfectHash, dedup_lines, folded, perfect_fold
 from reelmark.llm.near_duplicates import near_duplicate_components, prefix, shingle_set
 from reelmark.llm.neighbours import balanced_parts, nearest, neighbour_graph
-from reelmark.llm.packing import WordCache, pack, pack_documents, plan
+from reelmark.llm.packing import Sums, WordCache, pack, pack_documents, plan
 from reelmark.llm.quality import features, sample_features, score, train_model
 from reelmark.llm.queries import tokenizer_path
 from reelmark.llm.suffix_dedup import SuffixLevels, remove_repeats
@@ -76,6 +77,19 @@ def test_perfect_hash(n):
     assert sorted(PerfectHash.build(keys).index(keys)) == list(range(len(keys)))
 
 
+def test_perfect_hash_of_keys_alike_in_a_half():
+    """128-bit keys that share a half, or both halves swapped; keys that repeat end in an error."""
+    hi = np.repeat(np.array([7, 9], np.uint64), 500)
+    lo = np.tile(np.arange(500, dtype=np.uint64), 2)
+    for a, b in ((hi, lo), (lo, hi), (np.append(hi, np.uint64(3)), np.append(lo, np.uint64(7)))):
+        fold, ph = perfect_fold(a, b)
+        assert sorted(ph.index(folded(a, b, fold))) == list(range(len(a)))
+    with pytest.raises(ValueError, match="distinct"):
+        perfect_fold(np.append(hi, np.uint64(7)), np.append(lo, np.uint64(0)))
+    with pytest.raises(ValueError, match="distinct"):
+        PerfectHash.build(np.array([5, 5, 6], np.uint64), load=3)
+
+
 # --- n-gram Jaccard join ---------------------------------------------------------------------------------------------
 def test_components_odd(odd_docs, no_docs):
     got = [tuple(r) for r in near_duplicate_components(odd_docs).select("doc_id", "n_shingles", "component_id").collect()]
@@ -131,6 +145,37 @@ def test_component_search(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100}
 
 
+def test_ids_that_meet(spark, monkeypatch):
+    """Sets, and texts, that share an id under the first seed are told apart and get others."""
+    from reelmark.llm import near_duplicates, suffix_dedup
+
+    rng = random.Random(21)
+    docs = [(i, " ".join(random_words(rng, 30, 5000))) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    own, digest = near_duplicates._set_id, suffix_dedup._digest
+    monkeypatch.setattr(near_duplicates, "_set_id", lambda s, seed=0: (5, own(s, seed)[1]) if seed == 0 else own(s, seed))
+    monkeypatch.setattr(suffix_dedup, "_digest", lambda t, seed: (5, digest(t, seed)[1]) if seed == 0 else digest(t, seed))
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicate_components(df).collect()} == {(i, i) for i, _ in docs}
+    assert remove_repeats(df).filter("n_removed > 0").count() == 0
+
+
+def test_components_of_a_group_that_stars_do_not_link(spark):
+    """Edits of one text that is not there, far enough apart that many link through others alone; groups are dealt."""
+    rng = random.Random(31)
+    base = random_words(rng, 200, 9000)
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(200), rng.choice([2, 4, 5, 6])):
+            w[k] = "new%d" % rng.randrange(40)
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = key(brute.components(docs))
+    assert 1 < len({c for _, _, c in want}) < 150
+    for rounds in (0, 2):
+        assert key(tuple(r) for r in near_duplicate_components(df, star_rounds=rounds, rows_a_group=7).collect()) == want
+
+
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
 def test_repeats_odd(odd_docs, no_docs):
     out = remove_repeats(odd_docs)
@@ -183,11 +228,27 @@ def test_hits_in_blocks(spark, odd_docs):
 def test_wu_manber_finds_what_a_scan_finds():
     rng = random.Random(4)
     for length in (1, 2, 3, 5, 10):
-        text = [b"%d" % rng.randrange(3) for _ in range(400)]
-        m, wanted = WuManber(length), {tuple(text[k : k + length]) for k in rng.sample(range(390), 4)}
-        for w in wanted:
-            m.add(w, "x")
-        assert [at for at, _ in m.search(text)] == [k for k in range(len(text) - length + 1) if tuple(text[k : k + length]) in wanted]
+        for vocabulary in (3, 8):
+            text = [b"w%d" % rng.randrange(vocabulary) for _ in range(600)]
+            wanted = [text[k : k + length] for k in rng.sample(range(390), 4)]
+            m = Matchers([(k, b" ".join(w)) for k, w in enumerate(wanted)], 10)
+            text[rng.randrange(600)] = b"never"
+            hit = {p for k in range(len(text) - length + 1) if text[k : k + length] in wanted for p in range(k, k + length)}
+            found = {j for k in range(len(text)) for j, w in enumerate(wanted) if text[k : k + length] == w}
+            assert m.search(text) == (hit, found)
+
+
+def test_tables_of_a_large_benchmark():
+    """About 2 MB of items: tables of some 40 bytes a word, not a hundred times the text."""
+    import pickle
+
+    rng = random.Random(3)
+    some = random_words(rng, 3000, 3000)
+    items = [(str(k), " ".join(rng.choices(some, k=300)).encode()) for k in range(1000)]
+    m = Matchers(items, 10)
+    assert len(pickle.dumps(m)) < 30 << 20
+    words = items[17][1].split()
+    assert m.search([b"x", *words[5:16], b"y"]) == (set(range(1, 12)), {"17"})
 
 
 # --- licenses --------------------------------------------------------------------------------------------------------
@@ -262,14 +323,16 @@ def test_nearest_odd(spark):
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4).astype(np.float32)]) for i in range(60)]
     rows += [(100 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(30)] + [(200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [float("nan"), 1.0, 0.0, 0.0]), (204, [float("inf"), 1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), (100, [1.0, 1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], SCHEMA)
-    got = [tuple(r) for r in nearest(df, F.col("id") % 10 == 0, k=10).collect()]
+    got = [tuple(r) for r in nearest(df, F.col("id") % 10 == 0, k=10, least_probes=512).collect()]
     want = exact(rows, [i for i in {i for i, _ in rows if i is not None} if i % 10 == 0], 10)
     assert [(a, b, c) for a, b, c, _ in sorted(got)] == [(a, b, c) for a, b, c, _ in sorted(want)]
     assert np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)], atol=0, rtol=1e-15)
+    routed = nearest(df, F.col("id") % 10 == 0, k=10).groupBy("query_id").count().collect()
+    assert len(routed) == len({r[0] for r in want}) and all(r[1] == 10 for r in routed)
     assert nearest(df.limit(0), F.col("id") % 10 == 0).count() == 0
     assert nearest(df.filter("vec_id = 10"), F.col("id") % 10 == 0).count() == 0
-    with pytest.raises(ValueError, match="components"):
-        nearest(df.union(spark.createDataFrame([(900, [1.0], "x", 0)], SCHEMA)), F.col("id") % 10 == 0)
+    odd = nearest(df.union(spark.createDataFrame([(900, [1.0], "x", 0)], SCHEMA)), F.col("id") % 10 == 0, least_probes=512)
+    assert sorted(tuple(r) for r in odd.collect()) == sorted(got)
 
 
 def test_recall_with_many_partitions(spark):
@@ -277,7 +340,7 @@ def test_recall_with_many_partitions(spark):
     centres = rng.standard_normal((40, 16)) * 3
     x = centres[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 16))
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    out = nearest(df, F.col("id") % 50 == 0, k=10, rows_a_partition=200, rows_a_group=50, queries_a_group=10)
+    out = nearest(df, F.col("id") % 50 == 0, k=10, rows_a_group=50, queries_a_group=10)
     got = {(r["query_id"], r["id"]) for r in out.collect()}
     want = {(q, i) for q, _, i, _ in exact(list(enumerate(x.tolist())), range(0, 3000, 50), 10)}
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
@@ -375,7 +438,6 @@ def test_packing_odd(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     want = []
     for i, text in pairs(odd_docs):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -408,12 +470,44 @@ def test_plan_uses_every_piece():
     assert plan({10: 3, 20: 1, 30: 3, 7: 1, 13: 1}, 40)[0] == (3, [(30, 1), (10, 1)])
 
 
+def test_special_pieces_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", "(<|endoftext|>).", "<|ENDOFTEXT|> <|startoftext|>x", "endoftext <| endoftext |>"]
+    rows = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), tokenizer_path()).collect()
+    import zlib
+
+    want = [(i, zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], np.uint32).tobytes())) for i, x in enumerate(texts)]
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in rows) == want
+    assert t.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+
+
+def test_sums_of_lengths():
+    """Singles, pairs and triples are found as long as their lengths are there, and no longer."""
+    rng = random.Random(2)
+    for _ in range(200):
+        have = np.zeros(31, np.int64)
+        for x in rng.sample(range(1, 31), 8):
+            have[x] = rng.randint(1, 2)
+        sums = Sums(have)
+        for _ in range(30):
+            gap, used = rng.randint(1, 30), (rng.choice(np.flatnonzero(have).tolist()),)
+            pool = [x for x in np.flatnonzero(have).tolist() for _ in range(int(have[x]) - used.count(x))]
+            for n, find in ((1, sums.single), (2, sums.pair), (3, sums.triple)):
+                got = find(gap, used)
+                assert (got is not None) == any(sum(c) == gap for c in itertools.combinations(pool, n))
+                assert got is None or (len(got) == n and sum(got) == gap and all(got.count(x) <= pool.count(x) for x in got))
+            x = rng.choice(np.flatnonzero(have).tolist())
+            if have.sum() > 3:
+                have[x] -= 1
+
+
 def test_word_cache():
     import pyarrow as pa
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     odd = ["", "  a\tb c", "İstanbul İ, i̇x", "it's they'll don't, o'x'", "...!!, ,;a", "각 가", "½x²y_z Ⅷ", "<|endoftext|>", "ﬁn ﬀ.", "中文字符。日本", "(abc) \"de\" f--g %%%", "_x_", "'s, ('s)", "x y z\x85w"]
     flat, at = WordCache(tokenizer_path(), entries=5).encode(pa.array(odd))
     assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [e.ids for e in t.encode_batch(odd, add_special_tokens=False)]
@@ -438,6 +532,27 @@ def test_warc_round_trip(spark):
     assert read_warc(write_warc(df.limit(0))).count() == 0
 
 
+def test_warc_of_large_ids(spark):
+    """Ids beyond 2^53 stay exact, also beside a null id."""
+    big, body = 1 << 60, "z" * 2000
+    pages = [(big + k, "u", body) for k in range(4)] + [(None, "u", body), (None, "u", "other"), (big + 9, "u", "other")]
+    rows = read_warc(write_warc(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1))).collect()
+    got = sorted((r["record_id"], r["record_type"], r["refers_to"] or "") for r in rows)
+    last = f"urn:page:{big + 3}"
+    assert got == sorted([(f"urn:page:{big + k}", "revisit", last) for k in range(3)] + [(last, "response", ""), (f"urn:page:{big + 9}", "response", "")] + [("urn:page:null", "response", "")] * 2)
+
+
+def test_a_damaged_payload_is_an_error(spark, tmp_path):
+    import gzip
+
+    good = record("urn:page:1", "u", b"body", hashlib.sha1(b"body").hexdigest())
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good.replace(b"body", b"b0dy")))
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "archive string")
+    assert [r["digest_ok"] for r in read_warc(archives, strict=False).collect()] == [False]
+    with pytest.raises(Exception, match="differs from its digest"):
+        read_warc(archives).collect()
+
+
 def test_broken_archives(tmp_path):
     import io
     import zlib
@@ -452,3 +567,73 @@ def test_broken_archives(tmp_path):
     for bad in (gz(good)[:-20], gz(good[:-2]), gz(good.replace(b"Content-Length: 4", b"Content-Length: 4").replace(b"body", b"bo")), gz(b"no header")):
         with pytest.raises(WarcError):
             list(records(io.BytesIO(bad)))
+
+
+# --- names, long texts, the shared folder ----------------------------------------------------------------------------
+def test_odd_column_names(spark):
+    """Columns named like internal ones, like added ones in another case, and with a backtick."""
+    names = ["doc_id", "text", "lang", "_id", "_doc", "_drop", "_text", "id", "h", "rn", "LANG_PRED", "N_Lines", "Hit_Words", "Quality_Score", "a`b", "sid", "token"]
+    rows = [(i, f"some text of number {i}\nand a common line of all", "en", *["x"] * (len(names) - 3)) for i in range(4)]
+    df = spark.createDataFrame(rows, ", ".join("`" + n.replace("`", "``") + ("` bigint" if n == "doc_id" else "` string") for n in names))
+    items = spark.createDataFrame([(1, "a common line of all", "x")], "item_id bigint, text string, item string")
+    labels = spark.createDataFrame([(0, 1, "x"), (1, 0, "x")], "doc_id bigint, quality int, _label string")
+    learned = learn_dictionaries(df, F.col("doc_id") < 3)
+    assert sorted(learned) == ["en"]
+    outs = {
+        "lang_pred": identify(df, learned), "n_lines": dedup_lines(df), "hit_words": find_items(df, items), "quality_score": score(df, train_model(sample_features(df, labels, F.lit(True)))),
+    }
+    for added, out in outs.items():
+        lower = [c.lower() for c in out.columns]
+        assert lower.count(added) == 1 and {"_id", "_doc", "_drop", "a`b"} <= set(out.columns) and out.count() == 4
+    for out in (near_duplicate_components(df), remove_repeats(df), scan_licenses(df), pack_documents(df, tokenizer_path())):
+        assert out.count() == 4
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(1, f"word{k}") for k in range(50)] + [(2, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id bigint, quality int")
+    assert [s[0] for s in sample_features(docs, labels, F.lit(True), rows=2)] == [1, 0]
+
+
+def test_texts_over_a_megabyte(spark):
+    """One text of 1.5 MB, its copy, and a near copy, through every text operator."""
+    rng = random.Random(17)
+    w = random_words(rng, 220_000, 60_000)
+    near = [*w[:100_000], "changed", *w[100_001:]]
+    docs = [(1, " ".join(w)), (2, " ".join(w)), (3, " ".join(near)), (4, "short text of a few words")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicate_components(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    removed = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in remove_repeats(df).drop("kept").collect()}
+    assert removed[1][1] == 0 and removed[2][0] == removed[2][1] and 0 < removed[3][0] - removed[3][1] <= len("changed")
+    items = spark.createDataFrame([(9, " ".join(near[99_995:100_005]))], "item_id bigint, text string")
+    assert {r["doc_id"]: r["hit_words"] for r in find_items(df, items).collect()} == {1: [], 2: [], 3: list(range(99_995, 100_005)), 4: []}
+    dropped = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(df).collect()}
+    assert dropped == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert scan_licenses(df).count() == 4
+    assert score(df, np.zeros((1 << 18) + 1, np.float32)).filter("quality_score = 0.5").count() == 4
+    assert identify(df, {"en": b"short text", "de": b"kurzer satz"}).count() == 4
+    check_sequences(pack_documents(df, tokenizer_path()).collect(), 2048)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from reelmark.llm.common import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context), "x")
+
+
+def test_intermediate_tables_go(spark):
+    from pathlib import Path
+
+    from reelmark.llm.common import kept_alone
+
+    docs = spark.createDataFrame([(i, f"line of number {i % 3}") for i in range(9)], "doc_id bigint, text string")
+    out = kept_alone(spark, lambda: dedup_lines(docs), "kept")
+    root = Path(out.scratch.removeprefix("file:")).parent
+    before = {p.name for p in root.iterdir()}
+    kept_alone(spark, lambda: dedup_lines(docs), "again")
+    assert [n for n in {p.name for p in root.iterdir()} - before if not n.startswith("again")] == []
+    assert out.count() == 9

@@ -89,7 +89,6 @@ def test_pipeline(spark, small):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     want = []
     for i, text in plain_pipeline(spark, small):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
@@ -102,6 +101,24 @@ def test_pipeline(spark, small):
     assert all(sum(n for _, n in own) <= 2048 and [o for o, _ in sorted(own)] == list(np.cumsum([0, *(n for _, n in sorted(own))])[:-1]) for own in by.values())
 
 
+def test_packing_query(spark, small):
+    """The registered query's pieces, place by place; and hardly more sequences than the tokens need."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    want = []
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        want += [(r["doc_id"], k, at, len(p := ids[at : at + 2048]), zlib.crc32(np.array(p, np.uint32).tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    rows = queries.op9_best_fit_packing(spark, small).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in own) <= 2048 and [o for o, _ in sorted(own)] == list(np.cumsum([0, *(n for _, n in sorted(own))])[:-1]) for own in by.values())
+    assert len(by) <= -(-sum(w[3] for w in want) // 2048) + 2
+
+
 def test_stages_on_odd_rows(spark, small, odd_docs, no_docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language", "lines", "near_duplicates", "benchmark", "packing"]
