@@ -1,59 +1,5 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed training sequences; the stages are in reelmark.llm.pipeline."""
 
-from __future__ import annotations
+from reelmark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from reelmark.llm.common import held_out, table, written
-from reelmark.llm.decontaminate import find_items
-from reelmark.llm.language import identify, learn_dictionaries
-from reelmark.llm.line_dedup import dedup_lines
-from reelmark.llm.near_duplicates import near_duplicate_components
-from reelmark.llm.packing import pack_documents
-from reelmark.llm.queries import tokenizer_path
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language can't be told: no letter, or a narrow lead."""
-    found = identify(docs, learn_dictionaries(docs, ~held_out("doc_id", 4, 2)))
-    return found.filter(~F.col("lang_rejected")).select(docs.columns)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that a document with a smaller id has, and documents of which nothing but white space is left.
-    n_chars follows the text."""
-    kept = dedup_lines(docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    size = F.length("text").cast("bigint")
-    return kept.withColumns({c: size for c in docs.columns if c == "n_chars"}).select(docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays. Rows without an id stay."""
-    gone = near_duplicate_components(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
-    found = find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("hit_words") == 0).select(docs.columns)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token pieces of the documents into sequences of 2048."""
-    return pack_documents(docs, tokenizer_path(), size=2048, end_id=0)
-
-
-STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("packing", packing)]
-
-#: Tokenizers, compressors and trained dictionaries have no SQL; tests hold the rows against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token pieces of the documents that every stage kept, with their place in the packed sequences."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
