@@ -21,6 +21,5 @@ TAG_THRESHOLD = 0.5
 DEFAULT_FPS = 30.0
 SAUCER_WORDS = ("saucer", "plate", "tray", "dish")
 CUP_WORDS = ("cup", "mug")
-TAG_STATISTIC = {"eva": "late", "cup50": "late", "aria": "max"}
 CLIP_SUFFIXES = ("mp4", "mov", "avi")
 SUCCESS, FAILURE, SPLIT = "success", "failure", "split"

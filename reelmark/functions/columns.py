@@ -131,7 +131,3 @@ def to_camera(xyz: Column | str, transform: Column | str) -> Column:
 
     det = sum((r[0][j] * cofactor(0, j) for j in range(3)), F.lit(0.0))
     return F.when(det != 0, F.array(*[sum((cofactor(j, i) * d[j] for j in range(3)), F.lit(0.0)) / F.nullif(det, F.lit(0.0)) for i in range(3)]))
-
-
-#: Width by which displacements are scaled.
-WIDTH = FRAME_WIDTH

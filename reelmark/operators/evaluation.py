@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import FAILURE, SPLIT, SUCCESS
+from ..functions import tag_from
 
 
 def accuracy(df: DataFrame, keys: Sequence[str], predicted: str, actual: str) -> DataFrame:
@@ -51,6 +52,42 @@ def prevalence(df: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
     return df.filter(F.col(tag).isNotNull()).groupBy(*keys).agg(n.alias("n"), (n - bad).alias("n_success"), bad.alias("n_failure"), (bad / n).alias("failure_share"))
 
 
+def seg_only_prevalence(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """prevalence() of the tags by the box score alone, over rows that have one."""
+    return prevalence(df.withColumn("_tag", tag_from(score)), keys, "_tag")
+
+
+def headline(verdicts: DataFrame) -> DataFrame:
+    """One row of fusion.verdicts(): episodes, with_models, n_success, n_failure, failure_share, and of the episodes with
+    both signals full_n, full_success, full_failure. Without a tag an episode is neither."""
+    ok, bad = F.col("tag") == SUCCESS, F.col("tag") == FAILURE
+    both = (F.col("n_models") > 0) & F.col("seg_score").isNotNull()
+    ns, nf = F.count_if(ok), F.count_if(bad)
+    return verdicts.agg(
+        F.count("*").alias("episodes"), F.count_if(F.col("n_models") > 0).alias("with_models"), ns.alias("n_success"), nf.alias("n_failure"), (nf / F.greatest(ns + nf, F.lit(1))).alias("failure_share"),
+        F.count_if(both).alias("full_n"), F.count_if(both & ok).alias("full_success"), F.count_if(both & bad).alias("full_failure"),
+    )
+
+
+def scores_by_label(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
+    """(keys, label, n, mean, least, most): what a chart of scores under each label shows, over rows that have both."""
+    rows = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    return rows.groupBy(*keys, label).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.min(score).alias("least"), F.max(score).alias("most"))
+
+
+def prevalence_bars(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, tag, n, share): the bars of summary() rows, one for each tag."""
+    total = F.nullif(F.col("n_success") + F.col("n_failure"), F.lit(0))
+    bars = F.array(*[F.struct(F.lit(t).alias("tag"), F.col(c).alias("n"), (F.col(c) / total).alias("share")) for t, c in ((SUCCESS, "n_success"), (FAILURE, "n_failure"))])
+    return summaries.select(*keys, F.explode(bars).alias("b")).select(*keys, "b.*")
+
+
+def in_use(df: DataFrame, keys: Sequence[str], mode: str, tracks: str) -> DataFrame:
+    """(keys, modes, n_tracks): the distinct modes, sorted, and how many distinct ids the arrays of ids hold."""
+    ids = F.size(F.array_distinct(F.flatten(F.collect_set(tracks))))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(mode)).alias("modes"), ids.cast("bigint").alias("n_tracks"))
+
+
 def summary(df: DataFrame, keys: Sequence[str], *, tag: str, late_tag: str, max_tag: str, label: str, score: str) -> DataFrame:
     """Per group: n, tags, failure share, successes by either statistic, accuracy and AUROC over the labelled rows."""
     right = F.when(F.col(label).isNotNull(), (F.col(tag) == F.col(label)).cast("double"))

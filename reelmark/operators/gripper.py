@@ -136,15 +136,15 @@ def bimanual_features(frames: DataFrame, *, arms: tuple[str, str] = ("left", "ri
     per_run = seq.whole(["episode", "_run"])
     wide = wide.withColumns({"_len": F.when(F.col("handover"), F.count("*").over(per_run)), "_start": F.when(F.col("handover"), F.min("pos").over(per_run))})
     wide = wide.withColumn("_first", F.col("handover") & (F.col("pos") == F.col("_start")))
-    best = F.max(F.when(F.col("_first"), F.struct(F.col("_len"), (-F.col("_start")).alias("_neg"))))
+    # A run's middle frame is one of it, so the best run and the distance there are one conditional maximum.
+    middle = F.col("handover") & (F.col("pos") == F.floor((2 * F.col("_start") + F.col("_len")) / 2))
+    best = F.max(F.when(middle, F.struct(F.col("_len"), (-F.col("_start")).alias("_neg"), F.col("pos").alias("_at"), "distance")))
     per = wide.groupBy("episode").agg(
         F.avg(F.col("both").cast("double")).alias("both_holding_fraction"), best.alias("_best"), F.max("fps").alias("_fps"), F.count_if("_first").alias("n_handover_candidates"),
         F.min("distance").alias("min_hand_distance_m"), F.max("any").alias("any_hold"), F.sum("slips").alias("total_slips"), F.greatest(F.max("l_hold_end"), F.max("r_hold_end")).alias("last_hold_end_frame"),
-        F.map_from_entries(F.collect_list(F.when(F.col("handover"), F.struct("pos", "distance")))).alias("_at"),
     )
-    length, start = F.col("_best._len"), -F.col("_best._neg")
-    frame = F.floor((2 * start + length) / 2).cast("int")
+    length, frame = F.col("_best._len"), F.col("_best._at").cast("int")
     return per.select(
         "episode", "both_holding_fraction", (F.coalesce(length, F.lit(0)) / F.col("_fps")).alias("longest_handover_s"), "n_handover_candidates", frame.alias("handover_frame"),
-        F.coalesce(length > 0, F.lit(False)).alias("handover_detected"), "min_hand_distance_m", F.try_element_at("_at", frame).alias("hand_distance_at_handover_m"), "any_hold", "total_slips", "last_hold_end_frame",
+        F.coalesce(length > 0, F.lit(False)).alias("handover_detected"), "min_hand_distance_m", F.col("_best.distance").alias("hand_distance_at_handover_m"), "any_hold", "total_slips", "last_hold_end_frame",
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import frame_cap, positions, stride_sample
+
 from ..constants import DEFAULT_FPS
 
 
@@ -48,6 +50,28 @@ def bulk_episodes(frames: DataFrame) -> DataFrame:
     return seqs.select("episode", F.size("frame").alias("total_frames"), episode_rate(F.col("frame")).alias("fps"), F.col("frame").alias("frames"), F.col("image").alias("images"))
 
 
+def sampled_frames(frames: DataFrame, episodes: DataFrame, key: str, order: str, *, stride: int = 1, most: int = 0) -> DataFrame:
+    """Sampled frames with their place in the sample and their episode's attributes: every stride-th by `order`, which
+    stays as the source index, the first `most` of them. The job fails at an episode of which no frame is left."""
+    sampled = positions(frame_cap(stride_sample(frames, order, stride), [key], order, most), [key], order, pos="sample", n="n_sampled")
+    whole = frames.select(key).distinct().join(sampled, key, "left").join(episodes, key, "left")
+    checked = F.when(F.col("sample").isNotNull(), F.col("sample")).otherwise(F.raise_error(F.concat(F.lit("no frames sampled in episode "), F.col(key).cast("string"))).cast("int"))
+    return whole.withColumn("sample", checked)
+
+
+def clips_of(traces: DataFrame, clips: DataFrame, *, key: str = "episode", clip: str = "clip") -> DataFrame:
+    """Every trace with the clip whose file's stem is its episode; null where there is none."""
+    return traces.join(clips.withColumnRenamed(clip, key), key, "left")
+
+
+def exactly_one(**given: object) -> str:
+    """The name of the one option that is given; an error if none or several are."""
+    names = [n for n, v in given.items() if v is not None]
+    if len(names) != 1:
+        raise ValueError(f"exactly one of {', '.join(sorted(given))} must be given, not {', '.join(names) or 'none'}")
+    return names[0]
+
+
 def skip_completed(todo: DataFrame, done: DataFrame, key: str, *, force: bool = False, complete: str | None = None) -> DataFrame:
     """The rows whose key isn't among those done; with `complete`, only rows marked so count as done; force skips none."""
     if force:

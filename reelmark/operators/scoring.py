@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -64,8 +64,22 @@ def run_counters(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
+def pack_masks(pixels: DataFrame, keys: Sequence[str], *, y: str = "y", x: str = "x", on: str = "on") -> DataFrame:
+    """(keys, height, width, mask) of a row per pixel: rows of bits, high bit first, the last byte filled up with zeros.
+    A mask's bits are put together in the JVM; a missing pixel is off."""
+    size = pixels.groupBy(*keys).agg((F.max(y) + 1).alias("height"), (F.max(x) + 1).alias("width"), F.collect_set(F.when(F.col(on), F.struct(y, x))).alias("_on"))
+    places = F.transform("_on", lambda p: p[y] * F.col("width") + p[x])
+    n_bytes = F.ceil(F.col("height") * F.col("width") / 8).cast("int")
+    byte = lambda b: F.lpad(F.hex(F.aggregate(F.filter("_places", lambda p: F.floor(p / 8) == b), F.lit(0.0), lambda a, p: a + 128 / F.pow(F.lit(2), p % 8)).cast("bigint")), 2, "0")
+    out = size.withColumn("_places", places)
+    return out.select(*keys, "height", "width", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n_bytes - 1), byte), "")).alias("mask"))
+
+
 def unpack_masks(masks: DataFrame, *, packed: str = "mask", height: str = "height", width: str = "width") -> DataFrame:
-    """Adds area, centroid_x, centroid_y of bit-packed masks (rows of bits, high bit first); no centre without a pixel."""
+    """Adds area, centroid_x, centroid_y of bit-packed masks (rows of bits, high bit first); no centre without a pixel.
+
+    Bits are taken apart by numpy, a mask at a time in Arrow batches: Spark's functions have no bits of binaries.
+    """
     import numpy as np
 
     @F.pandas_udf("area bigint, centroid_x double, centroid_y double")

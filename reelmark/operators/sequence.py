@@ -100,12 +100,6 @@ def next_position(condition: Column, keys: Sequence[str], order: str, pos: str =
     return F.first(F.when(condition, F.col(pos)), ignorenulls=True).over(from_here(keys, order))
 
 
-def run_starts(flag: Column, keys: Sequence[str], order: str) -> Column:
-    """A number that grows by one at each change of a flag."""
-    w = ordered(keys, order)
-    return F.sum(F.coalesce((F.col(flag) if isinstance(flag, str) else flag).cast("int"), F.lit(0))).over(w)
-
-
 def islands(df: DataFrame, keys: Sequence[str], order: str, flag: str, *, aggs: Sequence[Column] = ()) -> DataFrame:
     """The runs of frames whose flag holds: keys, run_start, run_end (exclusive), run_length, and more aggregates.
 

@@ -72,6 +72,42 @@ def audit_markdown(audit: DataFrame) -> Iterator[str]:
     yield from markdown(audit.select("episode", "label", "vlm_p_done_late", "seg_seg_score", "geo_any_hold", "fused_score", "pred_fused").orderBy("episode"))
 
 
+def verdict_markdown(verdicts: DataFrame, scores: DataFrame, models: Sequence[str], *, title: str) -> Iterator[str]:
+    """The report of final_verdicts(), line by line, with a column for each model of the scores (episode, model, score)."""
+    h = ev.headline(verdicts).first()
+    yield f"# {title}: final verdict"
+    yield f"{h['episodes']} episodes, {h['with_models']} with model scores ({', '.join(models)}), the rest by boxes alone"
+    yield f"**{h['n_success']} success / {h['n_failure']} failure: {100 * h['failure_share']:.0f}% failure**"
+    if h["full_n"]:
+        yield f"On the {h['full_n']} episodes with all signals: {h['full_success']} success / {h['full_failure']} failure"
+    yield ""
+    wide = verdicts.join(ev.pivot_cells(scores, "episode", "model", models, "score"), "episode", "left")
+    yield from markdown(wide.select("episode", "label", "seg_score", *models, "final", "votes", "tag").orderBy("episode"))
+
+
+def split_markdown(rests: DataFrame, attempts: DataFrame, episode: str) -> Iterator[str]:
+    """The report of one episode of split_attempts(), line by line."""
+    rest, own = rests.filter(F.col("episode") == episode), attempts.filter(F.col("episode") == episode)
+    r = rest.agg(F.count("*").alias("n"), F.count_if("on").alias("on")).first()
+    kinds = att.transitions(rest, ["episode"]).agg(F.count_if(F.col("kind") == "return").alias("returns")).first()
+    t = own.agg(F.count("*").alias("n"), F.count_if(F.col("tag") == "success").alias("ok"), F.count_if(F.col("tag") == "failure").alias("bad")).first()
+    yield f"# {episode}: split into attempts"
+    yield f"**{t['n']} attempts: {t['ok']} success / {t['bad']} failure**, {kinds['returns']} returns, {r['n']} rests ({r['on']} on the target)"
+    yield ""
+    yield from markdown(own.select("attempt", "start_at", "settle_at", "carry_s", "seg", "vlm", "tag").orderBy("attempt"))
+
+
+def report_markdown(rows: DataFrame, models: Sequence[str], boxes: DataFrame | None = None) -> Iterator[str]:
+    """The report of report_rows(), line by line: summaries, tags by boxes alone of (dataset, episode, seg_score) rows, and
+    the episodes' votes."""
+    yield from markdown(report_summary(rows).orderBy("dataset", "model"))
+    if boxes is not None:
+        yield ""
+        yield from markdown(ev.seg_only_prevalence(boxes, ["dataset"], "seg_score").orderBy("dataset"))
+    yield ""
+    yield from markdown(report_consensus(rows, models).orderBy("dataset", "episode"))
+
+
 def final_verdicts(seg: DataFrame, models: DataFrame, *, statistic: str = "late", model: str = "model_dir") -> DataFrame:
     """A row per episode: box score, mean of the models' scores, final score, tag and votes; label of the box trace, else
     of a model's. statistic is late or max."""

@@ -12,10 +12,10 @@ COUNTED = FRAMES + """, counted AS (
 STATS = """SELECT ep, count(*) AS n, round(avg(p) FILTER (idx >= n - q), 6) AS p_done_late, round(max(p) FILTER (idx = n - 1), 6) AS p_done_final,
   round(max(p), 6) AS p_done_max, round(avg(p) FILTER (idx >= n - q) - avg(p) FILTER (idx < q), 6) AS p_done_rise FROM counted GROUP BY ep"""
 LATE = "late AS (SELECT ep, avg(p) FILTER (idx >= n - q) AS late FROM counted GROUP BY ep)"
-ORDER_SIGNAL = "seg AS (SELECT o_custkey AS ep, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0 END) AS seg_score FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1)"
-CUSTOMER = "geo AS (SELECT CAST(c_custkey AS BIGINT) AS ep, c_acctbal > 0 AS any_hold FROM customer WHERE c_custkey % 5 <> 0)"
+ORDER_SIGNAL = "seg AS (SELECT o_custkey AS ep, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0 END) AS seg_score FROM orders GROUP BY 1)"
+CUSTOMER = "geo AS (SELECT CAST(c_custkey AS BIGINT) AS ep, c_acctbal > 0 AS any_hold FROM customer)"
 MODELS = "models AS (SELECT ep, kind AS model, avg(p) AS score FROM frames GROUP BY 1, 2)"
-TAGS = MODELS + ", tags AS (SELECT *, CASE WHEN score > 0.6 THEN 'success' ELSE 'failure' END AS tag FROM models WHERE ep % 4 <> 0 OR model <> 'view')"
+TAGS = MODELS + ", tags AS (SELECT *, CASE WHEN score > 0.6 THEN 'success' ELSE 'failure' END AS tag FROM models)"
 DOCS = """docs AS (
   SELECT d.doc_id, lang, source, CAST(n_chars AS DOUBLE) AS n_chars, CAST(len(string_split(text, ' ')) AS DOUBLE) AS n_words, quality,
          CASE WHEN quality = 1 THEN 'success' ELSE 'failure' END AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id
@@ -65,6 +65,22 @@ ended AS (
 )"""
 
 
+def _arm(tag: str, obs: str, cmd: str) -> str:
+    """Holds of one arm: frames (ep, idx, holding, x) and holds with their ending."""
+    return f"""{tag}0 AS (SELECT ep, idx, k, p, ({obs})::DOUBLE AS obs, ({cmd})::DOUBLE AS cmd FROM frames),
+{tag}1 AS (SELECT *, count(*) OVER (PARTITION BY ep) AS n, count(cmd) OVER (PARTITION BY ep) > 0 AS usable, coalesce(abs(obs - lag(obs, 3) OVER (PARTITION BY ep ORDER BY idx)) < 0.01, false) AS settled FROM {tag}0),
+{tag}2 AS (SELECT *, (CASE WHEN usable THEN coalesce(cmd < 0.5, false) ELSE obs < 0.5 END) AND obs < 0.5 AND obs > 0.01 AND settled AS raw FROM {tag}1),
+{tag}3 AS (SELECT *, idx - row_number() OVER (PARTITION BY ep, raw ORDER BY idx) AS r FROM {tag}2),
+{tag}h AS (SELECT ep, min(idx) AS s, max(idx) + 1 AS e, max(n) AS n, bool_or(usable) AS usable FROM {tag}3 WHERE raw GROUP BY ep, r HAVING count(*) >= 6),
+{tag}e AS (SELECT h.ep, h.s, h.e, CASE WHEN h.e >= h.n THEN NULL WHEN h.usable AND bool_or(coalesce(f.cmd >= 0.5, false)) THEN 'release' WHEN bool_or(f.obs <= 0.006) THEN 'slip' ELSE 'ambiguous' END AS ending
+  FROM {tag}h h LEFT JOIN {tag}2 f ON f.ep = h.ep AND f.idx >= h.e AND f.idx < h.e + 10 GROUP BY h.ep, h.s, h.e, h.n, h.usable),
+{tag}f AS (SELECT f.ep, f.idx, f.k, f.p, h.ep IS NOT NULL AS holding FROM {tag}2 f LEFT JOIN {tag}h h ON f.ep = h.ep AND f.idx >= h.s AND f.idx < h.e)"""
+
+
+LEFT = _arm("l", "CASE WHEN (idx // 12) % 2 = 1 THEN 0.9 WHEN k % 29 = 0 THEN 0.001 WHEN k % 31 = 0 THEN 0.008 ELSE 0.02 END", "CASE WHEN ep % 10 = 0 OR kind = 'error' THEN NULL WHEN (idx // 12) % 2 = 1 AND k % 3 = 0 THEN 0.9 ELSE 0.1 END")
+RIGHT = _arm("r", "CASE WHEN (idx // 15) % 2 = 1 THEN 0.9 WHEN k % 23 = 0 THEN 0.001 ELSE 0.03 END", "NULL")
+
+
 def _auroc(source: str, key: str, score: str, positive: str) -> str:
     return f"""SELECT {key}, count(*) FILTER ({positive}) AS n_pos, count(*) FILTER (NOT {positive}) AS n_neg,
   round((sum(CASE WHEN {positive} THEN rk ELSE 0 END) - count(*) FILTER ({positive}) * (count(*) FILTER ({positive}) + 1) / 2.0) / nullif(count(*) FILTER ({positive})::DOUBLE * count(*) FILTER (NOT {positive}), 0), 6) AS auroc
@@ -138,12 +154,12 @@ ORACLE_SQL = {
       SELECT ep, block, count(*) FILTER (hit) AS n_found, max(idx) FILTER (hit AND rn = 1) AS best_id, max(k::DOUBLE) FILTER (hit AND rn = 1) AS best_score FROM r GROUP BY ep, block""",
     "saucer_locf": f"""WITH {COUNTED}, {SEG}, l AS (SELECT *, last_value(bx IGNORE NULLS) OVER w AS lx, last_value(by_ IGNORE NULLS) OVER w AS ly, last_value(bx IGNORE NULLS) OVER a AS zx, last_value(by_ IGNORE NULLS) OVER a AS zy
         FROM boxes WINDOW w AS (PARTITION BY ep ORDER BY idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY ep ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-      SELECT ep, idx, round(coalesce(lx, zx) - 25, 6) AS x0, round(coalesce(ly, zy) + 25, 6) AS y1,
-        cx BETWEEN coalesce(lx, zx) - 25 AND coalesce(lx, zx) + 25 AND cy BETWEEN coalesce(ly, zy) - 25 AND coalesce(ly, zy) + 25 AS inside, lx IS NULL AS no_box_yet FROM l""",
+      SELECT ep, idx, round(coalesce(lx, zx) - 37.5, 6) AS x0, round(coalesce(ly, zy) + 37.5, 6) AS y1,
+        cx BETWEEN coalesce(lx, zx) - 37.5 AND coalesce(lx, zx) + 37.5 AND cy BETWEEN coalesce(ly, zy) - 37.5 AND coalesce(ly, zy) + 37.5 AS inside, lx IS NULL AS no_box_yet FROM l""",
     "cup_on_saucer": f"""WITH {COUNTED}, {SEG}, v AS (SELECT ep, idx, bx, by_ FROM boxes WHERE bx IS NOT NULL), z AS (SELECT ep, arg_max(bx, idx) AS zx, arg_max(by_, idx) AS zy FROM v GROUP BY ep),
       l AS (SELECT b.ep, b.idx, b.n, b.q, b.kind <> 'error' AS there, b.cx, b.cy, coalesce(v.bx, z.zx) AS x, coalesce(v.by_, z.zy) AS y
             FROM boxes b ASOF LEFT JOIN v ON b.ep = v.ep AND b.idx >= v.idx LEFT JOIN z ON b.ep = z.ep),
-      g AS (SELECT ep, max(n) AS n, avg(CASE WHEN there THEN 1.0::DOUBLE ELSE 0.0 END) AS present, avg(CASE WHEN there AND cx BETWEEN x - 60 AND x + 60 AND cy BETWEEN y - 60 AND y + 60 THEN 1.0::DOUBLE ELSE 0.0 END) AS s FROM l WHERE idx >= n - q GROUP BY ep)
+      g AS (SELECT ep, max(n) AS n, avg(CASE WHEN there THEN 1.0::DOUBLE ELSE 0.0 END) AS present, avg(CASE WHEN there AND cx BETWEEN x - 90 AND x + 90 AND cy BETWEEN y - 90 AND y + 90 THEN 1.0::DOUBLE ELSE 0.0 END) AS s FROM l WHERE idx >= n - q GROUP BY ep)
       SELECT ep, n, true AS saucer_tracked, round(present, 6) AS cup_present_end, round(s, 6) AS cup_on_saucer, round(s, 6) AS seg_score, 'cup_on_saucer' AS seg_mode FROM g""",
     "fallback_displacement": f"""WITH {COUNTED}, f AS (SELECT ep, idx, n, q, CASE WHEN kind <> 'error' THEN value END AS x, CASE WHEN kind <> 'error' THEN k::DOUBLE END AS y FROM counted),
       g AS (SELECT ep, avg(CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0 END) FILTER (idx >= n - q) AS present, avg(x) FILTER (idx >= n - q) - avg(x) FILTER (idx < q) AS dx, avg(y) FILTER (idx >= n - q) - avg(y) FILTER (idx < q) AS dy FROM f GROUP BY ep),
@@ -162,6 +178,39 @@ ORACLE_SQL = {
         round(coalesce(longest, 0) / 20.0, 6) AS longest_hold_s, round(width, 6) AS hold_width_median, coalesce(slips, 0) AS n_slips, coalesce(releases, 0) AS n_releases, coalesce(amb, 0) AS n_ambiguous_ends,
         first_slip AS first_slip_frame, usable AS cmd_gripper_available FROM a LEFT JOIN w ON a.ep = w.ep LEFT JOIN e ON a.ep = e.ep""",
     "both_holding": f"WITH {FRAMES} SELECT ep, round(avg(CASE WHEN p < 0.85 AND k < 60 THEN 1.0 ELSE 0.0 END), 6) AS both_fraction, count(*) FILTER (p < 0.85) AS n_left, count(*) FILTER (k < 60) AS n_right FROM frames GROUP BY ep",
+    "bimanual": f"""WITH {FRAMES}, {LEFT}, {RIGHT}, b AS (
+        SELECT l.ep, l.idx, l.holding AND r.holding AS two, l.holding OR r.holding AS any_, abs(l.p - l.k / 100.0) AS d FROM lf l JOIN rf r ON l.ep = r.ep AND l.idx = r.idx),
+      h AS (SELECT ep, idx, d, idx - row_number() OVER (PARTITION BY ep ORDER BY idx) AS g FROM b WHERE two AND d < 0.3),
+      u AS (SELECT ep, min(idx) AS s, count(*) AS n FROM h GROUP BY ep, g),
+      v AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY n DESC, s) AS rn, count(*) OVER (PARTITION BY ep) AS runs FROM u),
+      w AS (SELECT v.ep, v.n, v.runs, (2 * v.s + v.n) // 2 AS mid, h.d FROM v JOIN h ON v.ep = h.ep AND h.idx = (2 * v.s + v.n) // 2 WHERE rn = 1),
+      e AS (SELECT ep, count(*) FILTER (ending = 'slip') AS slips, max(e) AS last FROM (SELECT * FROM le UNION ALL SELECT * FROM re) GROUP BY ep),
+      t AS (SELECT ep, avg(CASE WHEN two THEN 1.0 ELSE 0.0 END) AS share, min(d) AS least, bool_or(any_) AS any_hold FROM b GROUP BY ep)
+      SELECT t.ep, round(share, 6) AS both_holding_fraction, round(coalesce(n, 0) / 20.0, 6) AS longest_handover_s, coalesce(runs, 0) AS n_handover_candidates, CAST(mid AS BIGINT) AS handover_frame, n IS NOT NULL AS handover_detected,
+        round(least, 6) AS min_hand_distance_m, round(w.d, 6) AS hand_distance_at_handover_m, any_hold, coalesce(slips, 0) AS total_slips, last AS last_hold_end_frame FROM t LEFT JOIN w ON t.ep = w.ep LEFT JOIN e ON t.ep = e.ep""",
+    "nan_fields": f"""WITH {FRAMES}, {LEFT}, {RIGHT}, a AS (SELECT 'left' AS arm, ep, obs, cmd FROM l0 UNION ALL SELECT 'right', ep, obs, cmd FROM r0),
+      m AS (SELECT DISTINCT ep, arm || '.' || field AS f FROM a, (VALUES ('obs_gripper'), ('cmd_gripper'), ('obs_ee_pose'), ('cmd_ee_pose')) v(field) WHERE (field = 'cmd_gripper' AND cmd IS NULL) OR (field LIKE '%pose' AND obs < 0.01))
+      SELECT e.ep, coalesce(string_agg(f, ',' ORDER BY f), '') AS nan_fields FROM (SELECT DISTINCT ep FROM frames) e LEFT JOIN m ON e.ep = m.ep GROUP BY e.ep""",
+    "arm_motion": f"""WITH {FRAMES}, s AS (SELECT ep, idx, value, p AS x, k / 100.0 AS y, lag(p) OVER w AS x0, lag(k / 100.0) OVER w AS y0, lead(p) OVER w AS x1, lead(k / 100.0) OVER w AS y1, count(*) OVER (PARTITION BY ep) AS n FROM frames WINDOW w AS (PARTITION BY ep ORDER BY idx)),
+      g AS (SELECT *, sqrt((x - x0) ** 2 + (y - y0) ** 2) AS step, CASE WHEN n = 1 THEN NULL WHEN x0 IS NULL THEN sqrt((x1 - x) ** 2 + (y1 - y) ** 2) WHEN x1 IS NULL THEN sqrt((x - x0) ** 2 + (y - y0) ** 2) ELSE sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 2 END AS grad FROM s)
+      SELECT ep, round(avg(grad) * 20, 6) AS ee_speed_mean, round(max(grad) * 20, 6) AS ee_speed_max, round(coalesce(sum(step), 0), 6) AS ee_path_length_m, round(avg(value / 1000), 6) AS track_err_mean, round(max(value / 1000), 6) AS track_err_max FROM g GROUP BY ep""",
+    "motion_states": f"""WITH {COUNTED}, {SEG}, m AS (SELECT ep, cx, cy, coalesce(abs(cx - lag(cx) OVER w) / 0.5 < 200, true) AS still, last_value(bx IGNORE NULLS) OVER u AS bx, last_value(by_ IGNORE NULLS) OVER u AS by_
+        FROM boxes WINDOW w AS (PARTITION BY ep ORDER BY idx), u AS (PARTITION BY ep ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+      i AS (SELECT ep, still, CASE WHEN bx IS NULL THEN NULL WHEN cx BETWEEN bx - 37.5 AND bx + 37.5 AND cy BETWEEN by_ - 37.5 AND by_ + 37.5 THEN 1.0 ELSE 0.0 END AS inside FROM m)
+      SELECT ep, count(*) FILTER (still) AS n_still, CAST(sum(inside) AS DOUBLE) AS n_inside, count(inside) AS n_known FROM i GROUP BY ep""",
+    "prefix_traces": f"WITH {FRAMES} SELECT ep, idx, count(*) OVER w AS n, round(sum(p) OVER w, 6) AS total FROM frames WINDOW w AS (PARTITION BY ep ORDER BY idx ROWS UNBOUNDED PRECEDING)",
+    "first_top_tokens": f"""WITH {FRAMES}, h AS (SELECT kind, ep, string_agg(CAST(k AS VARCHAR), ',' ORDER BY idx) AS tokens FROM frames WHERE k > 95 GROUP BY 1, 2), f AS (SELECT kind, min(ep) AS ep FROM h GROUP BY 1)
+      SELECT h.kind AS dataset, 'm' AS model, CAST(h.ep AS BIGINT) AS episode, tokens FROM h JOIN f ON h.kind = f.kind AND h.ep = f.ep""",
+    "veto_list": "SELECT count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS episodes FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal <= 0",
+    "seg_only_prevalence": f"""WITH {ORDER_SIGNAL} SELECT c_mktsegment AS dataset, count(*) AS n, count(*) FILTER (seg_score >= 0.5) AS n_success, count(*) FILTER (seg_score < 0.5) AS n_failure, round(avg(CASE WHEN seg_score < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS failure_share
+      FROM seg JOIN customer ON ep = c_custkey GROUP BY 1""",
+    "verdict_headline": f"""WITH {FRAMES}, {MODELS}, {ORDER_SIGNAL}, v AS (SELECT ep, avg(score) AS m FROM models GROUP BY ep),
+      j AS (SELECT m, seg_score, CASE WHEN m IS NULL THEN seg_score WHEN seg_score IS NULL THEN m ELSE (m + seg_score) / 2 END >= 0.5 AS ok FROM v FULL JOIN seg ON v.ep = seg.ep)
+      SELECT count(*) AS episodes, count(m) AS with_models, count(*) FILTER (ok) AS n_success, count(*) FILTER (NOT ok) AS n_failure, round(count(*) FILTER (NOT ok) / count(ok)::DOUBLE, 6) AS failure_share,
+        count(*) FILTER (m IS NOT NULL AND seg_score IS NOT NULL) AS full_n, count(*) FILTER (m IS NOT NULL AND seg_score IS NOT NULL AND ok) AS full_success, count(*) FILTER (m IS NOT NULL AND seg_score IS NOT NULL AND NOT ok) AS full_failure FROM j""",
+    "scores_by_label": f"WITH {DOCS} SELECT source, label, count(*) AS n, round(avg(n_chars), 6) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM docs GROUP BY 1, 2",
+    "sampled_scan": f"""WITH {FRAMES}, s AS (SELECT ep, idx, p, row_number() OVER (PARTITION BY ep ORDER BY idx) - 1 AS sample FROM frames WHERE idx % 5 = 0)
+      SELECT s.ep, idx, round(p, 6) AS p, sample, count(*) OVER (PARTITION BY s.ep) AS n_sampled, c_mktsegment FROM s LEFT JOIN customer ON s.ep = c_custkey WHERE sample < 12""",
     "handover": f"""WITH {FRAMES}, h AS (SELECT ep, idx, idx - row_number() OVER (PARTITION BY ep ORDER BY idx) AS r FROM frames WHERE p < 0.85 AND k < 60 AND abs(value - k) < 250),
       u AS (SELECT ep, min(idx) AS s, max(idx) + 1 AS e FROM h GROUP BY ep, r), v AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY e - s DESC, s) AS rn, count(*) OVER (PARTITION BY ep) AS n FROM u)
       SELECT ep, n AS n_handovers, e - s AS longest, (s + e) // 2 AS frame FROM v WHERE rn = 1""",
@@ -195,11 +244,11 @@ ORACLE_SQL = {
     "role_changes": """SELECT a.role AS before, b.role, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) a
       JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) b ON a.conv_id = b.conv_id AND b.rn = a.rn + 1 WHERE a.role <> b.role GROUP BY 1, 2""",
     "group_to_sequence": """SELECT conv_id, count(*) AS n, string_agg(role, '>' ORDER BY turn) AS roles, round(30.0 / greatest(1, CASE WHEN count(*) > 1 THEN list(turn ORDER BY turn)[2] - min(turn) ELSE 30 END), 6) AS fps FROM conversations GROUP BY conv_id""",
-    "ragged_pad": """WITH w AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN [] ELSE string_split(text, ' ')[1 : turn % 4] END AS w FROM conversations),
+    "ragged_pad": """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
       m AS (SELECT *, max(len(w)) OVER (PARTITION BY conv_id) AS width FROM w)
       SELECT conv_id, max(width) AS width, string_agg(array_to_string(list_transform(range(1, width + 1), lambda i: coalesce(w[i], '_')), ' '), '|' ORDER BY turn) AS rows FROM m WHERE width > 0 GROUP BY conv_id""",
     "skip_completed": """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT (EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O'))""",
-    "missing_models": f"WITH {FRAMES} SELECT DISTINCT ep, kind AS model FROM frames EXCEPT SELECT ep, kind FROM frames WHERE idx % 2 = 0",
+    "missing_models": f"WITH {FRAMES} SELECT DISTINCT ep, kind AS model FROM frames EXCEPT SELECT ep, kind FROM frames WHERE p > 0.75",
     "preset_filters": """SELECT 'brass' AS preset, p_partkey, p_brand FROM part WHERE regexp_matches(p_type, 'BRASS|STEEL|COPPER') AND regexp_full_match(p_brand, 'Brand#[123][123]')
       UNION ALL SELECT 'large', p_partkey, p_brand FROM part WHERE p_size > 40 AND p_brand = 'Brand#11'""",
     "prefix_limit": "SELECT c_name, CAST(c_custkey AS BIGINT) AS c_custkey FROM customer WHERE c_name LIKE 'Customer#0000001%' ORDER BY c_name LIMIT 20",

@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import any_word, first_filled, in_box, known, label_of, mean_present, nan_to_null, norm, pad_box, split_prompts, tag_above, tag_from, to_camera
+from ..functions import any_word, first_filled, in_box, known, label_of, mean_present, nan_to_null, norm, pad_box, slow_tag, split_prompts, tag_above, tag_from, to_camera
 from ..operators import attempts as att
 from ..operators import confidence as conf
 from ..operators import detections as det
 from ..operators import evaluation as ev
 from ..operators import fusion, gripper, loading, presets
 from ..operators import sequence as seq
+from . import audit
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 EP = ["ep"]
@@ -48,10 +49,10 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def seg_frames(spark: SparkSession, sf_dir: str, half: float = 25.0) -> DataFrame:
-    """Every frame a cup at (value, k), every view a saucer box of a half width around it."""
+    """Every frame a cup at (value, k), every view a saucer box of a half width around it, widened as the audit does."""
     f = frames(spark, sf_dir)
     x, y = F.col("value"), F.col("k").cast("double")
-    box = F.when(F.col("kind") == "view", pad_box(x - half, y - half, x + half, y + half, 0.0))
+    box = F.when(F.col("kind") == "view", pad_box(x - half, y - half, x + half, y + half))
     return f.select("ep", "idx", "kind", x.alias("cup_x"), y.alias("cup_y"), box.alias("box"), "p")
 
 
@@ -129,12 +130,12 @@ def task_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer, the share of filled orders."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 3 <> 0")
+    o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").alias("ep")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("seg_score"))
 
 
 def customer_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("bigint").alias("ep"), (F.col("c_acctbal") > 0).alias("any_hold"), "c_mktsegment")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("ep"), (F.col("c_acctbal") > 0).alias("any_hold"), "c_mktsegment")
 
 
 def late_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +143,9 @@ def late_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.spine({"vlm": late_signal(spark, sf_dir), "seg": order_signal(spark, sf_dir), "geo": customer_signal(spark, sf_dir)}, "ep")
-    first = F.when(F.col("vlm").isNotNull(), "vlm").when(F.col("seg").isNotNull(), "seg").otherwise("geo")
+    signals = {"vlm": late_signal(spark, sf_dir), "seg": order_signal(spark, sf_dir), "geo": customer_signal(spark, sf_dir)}
+    rows = fusion.spine({n: d.withColumn("name", F.lit(n)) for n, d in signals.items()}, "ep")
+    first = fusion.first_record(dict.fromkeys(signals, "name"))
     return rounded(rows.select("ep", "vlm.late", "seg.seg_score", "geo.any_hold", first.alias("first_signal")))
 
 
@@ -168,7 +170,7 @@ def final_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_scores(spark, sf_dir).filter("ep % 4 <> 0 or model <> 'view'").withColumn("tag", tag_above("score", 0.6))
+    return model_scores(spark, sf_dir).withColumn("tag", tag_above("score", 0.6))
 
 
 def consensus_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +209,7 @@ def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("model"), (F.col("l_discount") * 10).alias("late"), (F.col("l_tax") * 12).alias("peak"),
         F.when(q > 30, "success").when(q < 20, "failure").alias("label"),
     )
-    stat = F.when(F.col("dataset") == "A", F.col("peak")).otherwise(F.col("late"))
+    stat = slow_tag(F.when(F.col("dataset") == "A", "max").otherwise("late"), "late", "peak")
     rows = rows.withColumns({"tag": tag_above(stat), "tag_late": tag_above("late"), "tag_max": tag_above("peak")})
     return rounded(ev.summary(rows, ["dataset", "model"], tag="tag", late_tag="tag_late", max_tag="tag_max", label="label", score="late"))
 
@@ -221,8 +223,9 @@ def feature_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame of largest k of each episode and kind; of equals, the first."""
     f = frames(spark, sf_dir)
-    best = F.max_by(F.struct("idx", "p"), F.struct(F.col("k"), -F.col("idx")))
-    return rounded(f.groupBy("ep", "kind").agg(F.max("k").alias("k"), best.alias("b")).select("ep", "kind", "k", "b.idx", "b.p"))
+    objects = F.array_sort(F.collect_list(F.struct("idx", F.col("k").alias("score"), "p")))
+    b = det.best_detection(F.col("objects"))
+    return rounded(f.groupBy("ep", "kind").agg(objects.alias("objects")).select("ep", "kind", b["score"].alias("k"), b["idx"].alias("idx"), b["p"].alias("p")))
 
 
 def prompt_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,6 +299,36 @@ def both_holding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gripper.both_hands(left, right, EP, "idx").groupBy("ep").agg(F.avg(F.col("both").cast("double")).alias("both_fraction"), F.count_if("l_holding").alias("n_left"), F.count_if("r_holding").alias("n_right")))
 
 
+def two_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean frames of two arms: the one of gripper_frames() at p on an axis, another without commands at k / 100."""
+    g = gripper_frames(spark, sf_dir).select(F.col("ep").alias("episode"), F.col("idx").alias("frame_idx"), "obs", "cmd", "fps", "p", "k")
+    other = F.when(F.floor(F.col("frame_idx") / 15) % 2 == 1, 0.9).when(F.col("k") % 23 == 0, 0.001).otherwise(0.03)
+    zero = F.lit(0.0)
+    left = g.select("episode", F.lit("left").alias("arm"), "frame_idx", "obs", "cmd", "fps", F.array("p", zero, zero).alias("camera_xyz"))
+    right = g.select("episode", F.lit("right").alias("arm"), "frame_idx", other.alias("obs"), F.lit(None).cast("double").alias("cmd"), "fps", F.array(F.col("k") / 100.0, zero, zero).alias("camera_xyz"))
+    return left.unionByName(right)
+
+
+def bimanual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gripper.bimanual_features(two_arms(spark, sf_dir)).withColumnRenamed("episode", "ep"))
+
+
+def nan_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fields of which arm miss a value somewhere in an episode."""
+    f = two_arms(spark, sf_dir)
+    axes = {f"{a}_{x}": F.when(F.col("obs") < 0.01, None).otherwise(F.get("camera_xyz", F.lit(i))) for a in ("obs", "cmd") for i, x in enumerate("xyz")}
+    found = gripper.missing_fields(f.withColumns(axes))
+    return found.select(F.col("episode").alias("ep"), F.array_join("nan_fields", ",").alias("nan_fields"))
+
+
+def arm_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, speed and tracking error of a hand at (p, k / 100, 0) whose command is at (p, k / 100, value / 1000)."""
+    f = frames(spark, sf_dir)
+    pose = {"obs_x": F.col("p"), "obs_y": F.col("k") / 100.0, "obs_z": F.lit(0.0), "cmd_x": F.col("p"), "cmd_y": F.col("k") / 100.0, "cmd_z": F.col("value") / 1000.0, "fps": F.lit(20.0)}
+    moved = gripper.add_kinematics(f.withColumns(pose), EP, "idx")
+    return rounded(moved.groupBy("ep").agg(*gripper.motion_features()))
+
+
 def handover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per episode, runs of frames in which both readings are low and near: number, first longest, its middle frame."""
     f = frames(spark, sf_dir).withColumn("near", (F.col("p") < 0.85) & (F.col("k") < 60) & (F.abs(F.col("value") - F.col("k")) < 250))
@@ -382,6 +415,13 @@ def attempt_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumns({"still": still, "inside": inside, "dt": F.lit(0.5)})
 
 
+def motion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cup at (value, k) moving against a saucer at (0, k): frames at rest, and frames in the latest box."""
+    f = seg_frames(spark, sf_dir).withColumns({"saucer_x": F.lit(0.0), "saucer_y": F.col("cup_y"), "dt": F.lit(0.5)})
+    m = att.motion(f, EP, "idx", speed=200.0)
+    return rounded(m.groupBy("ep").agg(F.count_if("still").alias("n_still"), F.sum("inside").alias("n_inside"), F.count("inside").alias("n_known")))
+
+
 def rest_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = att.rests(attempt_frames(spark, sf_dir), EP, "idx", score="p")
     moves = att.transitions(rest, EP)
@@ -392,6 +432,42 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(att.attempts(att.rests(attempt_frames(spark, sf_dir), EP, "idx", score="p"), EP))
 
 
+def prefix_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve up to each frame: its length and sum."""
+    t = seq.prefix_trace(frames(spark, sf_dir), EP, "idx", "p")
+    return rounded(t.select("ep", "idx", F.size("trace").alias("n"), F.aggregate("trace", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+def first_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds as data sets: the first episode with tokens, the k over 95 of its frames in order."""
+    f = frames(spark, sf_dir).groupBy(F.col("kind").alias("dataset"), F.lit("m").alias("model"), F.col("ep").alias("episode"))
+    rows = f.agg(F.array_sort(F.collect_list(F.when(F.col("k") > 95, F.struct("idx", "k")))).alias("t"))
+    got = audit.first_top_tokens(rows.withColumn("top_tokens", F.transform("t", lambda x: x["k"].cast("string"))))
+    return got.select("dataset", "model", F.col("episode").cast("bigint").alias("episode"), F.array_join("top_tokens", ",").alias("tokens"))
+
+
+def veto_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled episodes that the record vetoes: how many, and which."""
+    rows = customer_signal(spark, sf_dir).select(F.col("ep").alias("episode"), F.col("any_hold").alias("geo_any_hold"), F.when(F.col("c_mktsegment") == "BUILDING", "success").alias("label"))
+    return rounded(audit.vetoes(rows).select("n", F.array_join(F.transform("episodes", lambda e: e.cast("string")), ",").alias("episodes")))
+
+
+def seg_only_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market segments as data sets: tags by the box score alone."""
+    rows = order_signal(spark, sf_dir).join(customer_signal(spark, sf_dir), "ep").withColumnRenamed("c_mktsegment", "dataset")
+    return rounded(ev.seg_only_prevalence(rows, ["dataset"], "seg_score"))
+
+
+def verdict_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final verdicts in one row: episodes, those with model scores, and the failures of all and of those."""
+    return rounded(ev.headline(fusion.verdicts(model_scores(spark, sf_dir), order_signal(spark, sf_dir), key="ep")))
+
+
+def scores_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chart's table of scores under each label, per source."""
+    return rounded(ev.scores_by_label(scored_documents(spark, sf_dir), ["source"], "label", "n_chars"))
+
+
 def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation whose role differs from the one before, as transitions."""
     c = table(spark, sf_dir, "conversations")
@@ -408,8 +484,8 @@ def group_to_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ragged_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's first words as its row: padded to the widest of its conversation."""
-    c = table(spark, sf_dir, "conversations").withColumn("w", F.slice(F.split("text", " "), 1, (F.col("turn") % 4).cast("int")))
+    """Each turn's words as its row: padded to the longest of its conversation."""
+    c = table(spark, sf_dir, "conversations").withColumn("w", F.split("text", " "))
     g = loading.pad_ragged(c, ["conv_id"], "turn", "w")
     filled = F.transform("rows", lambda r: F.array_join(r, " ", "_"))
     return rounded(g.select("conv_id", "width", F.array_join(filled, "|").alias("rows")))
@@ -422,9 +498,15 @@ def skip_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episode and kind pairs without an event on even positions."""
-    f = frames(spark, sf_dir)
-    return rounded(loading.missing_pairs(f.withColumnRenamed("kind", "model"), f.filter("idx % 2 = 0").withColumnRenamed("kind", "model"), ["ep", "model"]))
+    """Episode and kind pairs without a frame of high p."""
+    f = frames(spark, sf_dir).withColumnRenamed("kind", "model")
+    return rounded(loading.missing_pairs(f, f.filter("p > 0.75"), ["ep", "model"]))
+
+
+def sampled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth frame of an episode, twelve at most, with the customer it belongs to; an episode always has one."""
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("ep"), "c_mktsegment")
+    return rounded(loading.sampled_frames(frames(spark, sf_dir).select("ep", "idx", "p"), who, "ep", "idx", stride=5, most=12))
 
 
 def preset_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +554,7 @@ QUERIES = {f.__name__: f for f in (
     vlm_late_features, curve_array_features, stride_sample, frame_cap, median_calibrated_tags, prevalence, softmax_pyes, logprob_pyes, top_tokens, token_surfaces, class_mean_gap,
     task_labels, signal_outer_join, calibrated_fusion, report_left_join, final_verdict, consensus_pivot, vote_string, agreement_matrix, auroc_by_lang, accuracy_by_source, roc_points,
     group_summary, feature_separation, best_detection, prompt_objects, saucer_locf, cup_on_saucer, fallback_displacement, mask_centroids, hold_runs, longest_run, settled_frames, hold_ends,
-    both_holding, handover, p5_median, gradient_speed, path_length, tracking_error, camera_frame, nan_missing, interp_resample, held_asof, forward_window, even_pick, prefer_populated,
-    progress_axis, rest_transitions, attempts, role_changes, group_to_sequence, ragged_pad, skip_completed, missing_models, preset_filters, prefix_limit, prompt_words, sidecar_offsets,
+    both_holding, bimanual, handover, p5_median, gradient_speed, path_length, tracking_error, camera_frame, nan_missing, nan_fields, arm_motion, interp_resample, held_asof, forward_window, even_pick, prefer_populated,
+    progress_axis, motion_states, rest_transitions, attempts, prefix_traces, first_top_tokens, veto_list, seg_only_prevalence, verdict_headline, scores_by_label, role_changes, group_to_sequence, ragged_pad, skip_completed, missing_models, sampled_scan, preset_filters, prefix_limit, prompt_words, sidecar_offsets,
     json_extract, run_counters, null_skipping_mean,
 )}

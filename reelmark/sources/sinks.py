@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,19 @@ def write_traces(df: DataFrame, path: str, *, kind: str = "json", key: str = "ep
     without_blobs(df).write.partitionBy(key).format(kind).mode("overwrite").save(path)
 
 
+def write_episodes(df: DataFrame, path: str, *, key: str = "episode", kind: str = "parquet") -> None:
+    """The rows in `path`/data, and then, in `path`/complete, (key, complete) of every episode written. Markers follow the
+    data, so an episode without one was not written whole; loading.skip_completed() takes them as they are."""
+    df.write.mode("overwrite").format(kind).save(f"{path}/data")
+    done = df.sparkSession.read.format(kind).schema(df.schema).load(f"{path}/data")
+    done.select(key).distinct().withColumn("complete", F.lit(True)).write.mode("overwrite").parquet(f"{path}/complete")
+
+
+def mask_text(mask: str = "mask") -> Column:
+    """A packed mask as base64 text, for traces that hold no bytes; unbase64 is the way back."""
+    return F.base64(mask)
+
+
 def mask_files(masks: DataFrame, folder: str, *, key: str = "episode", order: Sequence[str] = ("frame_idx", "object_id"), mask: str = "mask") -> DataFrame:
     """Writes each episode's masks one after another into <episode>.bin and returns the index (key, order, mask_offset,
     mask_nbytes). Tasks stream their rows; a file is open only while its episode's rows come by."""
