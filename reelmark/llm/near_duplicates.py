@@ -172,8 +172,9 @@ def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
     return tok.view(np.int64).ravel(), sids, sizes, counts
 
 
-def _held_tokens(postings: DataFrame) -> DataFrame:
-    """(sid, n, tokens, holders): for each class, its tokens of this bucket that another class has too."""
+def _held_tokens(postings: DataFrame, shares: int) -> DataFrame:
+    """(part, block): for each class, its tokens of this bucket that another class has too, and their holders. A bucket
+    sends a block to each share of the classes."""
 
     def run(table: pa.Table) -> pa.Table:
         blocks = [_unpack(b) for b in table.column("block").to_pylist()]
@@ -192,17 +193,28 @@ def _held_tokens(postings: DataFrame) -> DataFrame:
         _, group, count = np.unique(tok, return_inverse=True, return_counts=True)
         holders = count[group]
         more = holders > 1
-        tok, sid, n, holders = tok[more], sid[more], n[more], holders[more].astype(np.int32)
-        order = np.argsort(sid, kind="stable")
-        tok, sid, n, holders = tok[order], sid[order], n[order], holders[order]
-        cuts = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(sid))[: len(cuts)]
-        return pa.table({
-            "sid": pa.array(sid[cuts]), "n": pa.array(n[cuts]), "tokens": pa.array([tok[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()),
-            "holders": pa.array([holders[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()),
-        })
-
-    return postings.groupBy("bucket").applyInArrow(run, "sid bigint, n bigint, tokens binary, holders binary")
+        tok, sid, n, holders = tok[more], sid[more], n[more], holders[more]
+        part = (_mix(sid.view(U)) % U(shares)).astype(np.int32)
+        order = np.lexsort((sid, part))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=shares))])
+        at = np.flatnonzero(np.diff(cuts))
+        data = []
+        for k in at:
+            o = order[cuts[k] : cuts[k + 1]]
+            own, begin = np.unique(sid[o], return_index=True)
+            size = np.array([len(own), len(o)], np.int64)
+            lengths = np.diff(np.append(begin, len(o)))
+            data.append(b"".join(x.tobytes() for x in (size, own, n[o[begin]].astype(np.int64), lengths.astype(np.int64), tok[o], holders[o].astype(np.int32))))
+        return pa.table({"part": pa.array(at.astype(np.int32)), "block": pa.array(data, pa.binary())})
+
+    return postings.groupBy("bucket").applyInArrow(run, "part int, block binary")
+
+
+def _unpack_held(block: bytes) -> tuple[np.ndarray, ...]:
+    """(sid, n, token, holders) of every held token of a block."""
+    m, k = np.frombuffer(block, np.int64, 2).tolist()
+    sid, n, lengths = (np.frombuffer(block, np.int64, m, 16 + 8 * m * j) for j in range(3))
+    return np.repeat(sid, lengths), np.repeat(n, lengths), np.frombuffer(block, np.int64, k, 16 + 24 * m), np.frombuffer(block, np.int32, k, 16 + 24 * m + 8 * k)
 
 
 def prefix(n: int, tokens: np.ndarray, holders: np.ndarray, t: tuple[int, int], most: int = 8) -> tuple[np.ndarray, int]:
@@ -227,22 +239,22 @@ def _prefixes(held: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(sid, n, m, k, tokens, holders): the prefix tokens, rare ones first, of the classes that may have a partner, and
     how many classes hold each; m of a class's n tokens are in another one too."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                some = batch.slice(part, 500)
-                out: list[list] = [[] for _ in range(6)]
-                for sid, n, lists in zip(*(some.column(j).to_pylist() for j in range(3)), strict=True):
-                    tokens, holders = np.frombuffer(b"".join([x["tokens"] for x in lists]), np.int64), np.frombuffer(b"".join([x["holders"] for x in lists]), np.int32)
-                    own, k = prefix(n, tokens, holders, t)
-                    if len(own):
-                        for column, value in zip(out, (sid, n, len(tokens), k, tokens[own], holders[own]), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["sid", "n", "m", "k", "tokens", "holders"])
-
-    by = held.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "holders")).alias("lists"))
-    return by.mapInArrow(run, "sid bigint, n int, m int, k int, tokens array<bigint>, holders array<int>")
+    def run(table: pa.Table) -> pa.Table:
+        blocks = [_unpack_held(b) for b in table.column("block").to_pylist()]
+        sid, n, tok, holders = (np.concatenate([b[j] for b in blocks]) for j in range(4))
+        order = np.argsort(sid, kind="stable")
+        sid, n, tok, holders = sid[order], n[order], tok[order], holders[order]
+        cuts = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]]))
+        out: list[list] = [[] for _ in range(6)]
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sid)], strict=True):
+            own, k = prefix(int(n[a]), tok[a:z], holders[a:z], t)
+            if len(own):
+                for column, value in zip(out, (sid[a], n[a], z - a, k, tok[a:z][own], holders[a:z][own]), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        return pa.table([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["sid", "n", "m", "k", "tokens", "holders"])
+
+    return held.groupBy("part").applyInArrow(run, "sid bigint, n int, m int, k int, tokens array<bigint>, holders array<int>")
 
 
 def _rows(now: DataFrame, t: tuple[int, int], rows_a_group: int) -> DataFrame:
@@ -381,7 +393,7 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
         if not mixed:  # else two different sets have one id: others with the next seed
             break
     buckets = int(max(2 * parts(spark), (size or 0) // tokens_a_bucket))
-    live = written(_prefixes(_held_tokens(_postings(docs, shingle, seed, buckets)), t), "prefixes")
+    live = written(_prefixes(_held_tokens(_postings(docs, shingle, seed, buckets), buckets), t), "prefixes")
     name = _store_classes(docs, live.join(classes.select("sid", "doc_id", "mark"), "sid"), parts(spark))
     try:
         best = _linked(spark.table(name), classes.select("sid", "doc_id"), shingle, t, star_rounds, rows_a_group)
