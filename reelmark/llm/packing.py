@@ -40,7 +40,7 @@ class WordCache:
     about `entries` chunks and twice as many words.
     """
 
-    def __init__(self, path: str, entries: int = 700_000):
+    def __init__(self, path: str, entries: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
