@@ -118,7 +118,7 @@ def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """The pieces of each document: its ids and then end_id, cut every `size` ids. Null texts are empty: one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
