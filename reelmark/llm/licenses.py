@@ -1,23 +1,26 @@
 """License notices by an exact set-similarity join of text blocks with templates; DataFrame functions only.
 
-A block is a line, or a text of several lines; a template is a license notice; both are sets of words. A line meets
-a template if it holds at least the threshold's share of the template's words, however far apart. A text of several
-lines does if a window of consecutive words holds as many, across line ends; a window is as long as the template's
-share lets a text be that has all its words.
+A block is a window of consecutive words, across line ends; a template is a license notice; both are sets of words. A
+block meets a template if it holds at least the threshold's share of the template's words. A template's blocks are as
+long as that share lets a text be that has all its words, so words scattered over a long text meet nothing.
 
 1. The document counts of the template words, over all documents, give one global order, rare words first. No
-   other word can be shared, so blocks are reduced to these words before they are ordered.
-2. A template of n words of which need must be met is indexed under its n - need + 1 first words. Only documents
-   with an indexed word are cut into blocks; a block's words join the index (prefix filter).
-3. A block of fewer than need template words falls away (length filter), and so does one that at the places of
-   the shared word cannot reach need any more (positional filter).
-4. What is left is verified by intersecting the sets, and the text of several lines by its windows.
+   other word can be shared, so blocks are reduced to these words.
+2. A template of n words of which need must be met is indexed under its n - need + 1 first words: a block that meets it
+   holds one of them. Blocks are cut around each place of an indexed word alone (prefix filter).
+3. A place around which fewer than need words stand falls away (length filter), and so does one that at the places
+   of the shared word cannot reach need any more (positional filter).
+4. What is left is verified window by window.
 
 Phrases that must stand word for word are looked for besides, in the document's words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_, or_
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,88 +85,94 @@ def word_order(docs: DataFrame, vocabulary: list[str], text_col: str) -> list[st
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block, label, template, shared, containment, line): every line of a text and every template of which
-    it holds at least the threshold's share of distinct words. Blocks count from 0.
+class Template(NamedTuple):
+    """A notice as the join takes it: its distinct words, rare ones first, and how long its blocks are."""
 
-    Null and empty texts have no block with words; templates without words meet nothing. Repeated rows each give
-    their matches; rows with a null id do too. Extra columns are ignored.
-    """
-    return _met(docs, templates, threshold, id_col, text_col, windows=False)
+    label: str
+    notice: str
+    words: list[str]
+    need: int
+    width: int
 
+    @property
+    def prefix(self) -> list[str]:
+        return self.words[: len(self.words) - self.need + 1]
 
-def _most_in_window(own: Column, template: Column, width: Column) -> Column:
-    """The most distinct words of the template in any `width` consecutive words of `own`."""
-    places = F.filter(F.transform(own, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: F.array_contains(template, e["w"]))
 
-    def most(p: Column) -> Column:
-        def held(first: Column, j: Column) -> Column:
-            return F.size(F.array_distinct(F.transform(F.filter(F.slice(p, j + 1, width), lambda e: e["i"] < first["i"] + width), lambda e: e["w"])))
+def _prepared(docs: DataFrame, templates, threshold: tuple[int, int], text_col: str) -> tuple[list[Template], list[str]]:
+    """The templates that have words, and their words in the global order."""
+    share, of = threshold
+    notices = docs.sparkSession.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, t string")
+    own = {r["k"]: r["w"] for r in notices.select("k", words(F.col("t")).alias("w")).collect() if r["w"]}
+    order = word_order(docs, sorted({w for ws in own.values() for w in ws}), text_col) if own else []
+    rank = {w: k for k, w in enumerate(order)}
+    out = []
+    for k, ws in own.items():
+        distinct = sorted(set(ws), key=rank.__getitem__)
+        out.append(Template(*templates[k], distinct, -(-share * len(distinct) // of), -(-of * len(ws) // share)))
+    return out, order
+
 
-        return F.array_max(F.transform(p, held))
+def _may_meet(text: Column, t: Template) -> Column:
+    """Whether a text holds letters enough for a template's words; told without cutting it into words."""
+    lower = F.lower(text)
+    held = [F.contains(lower, F.lit(w)) for w in t.words]
+    if t.need == len(held):
+        return reduce(and_, held)
+    return reduce(or_, held[: len(t.prefix)]) & (reduce(add, [h.cast("int") for h in held]) >= t.need)
 
-    # The places are bound as a variable, so that they are found once and not at every place.
-    return F.get(F.transform(F.array(places), most), F.lit(0))
 
+def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, label, template, shared, containment, block): every window of words that begins with a word of a
+    template and holds at least the threshold's share of its distinct words. start counts words from 0; a block is
+    the window's words, fewer at the text's end.
 
-def _met(docs: DataFrame, templates, threshold: tuple[int, int], id_col: str, text_col: str, *, windows: bool) -> DataFrame:
-    """The rows of license_blocks; with windows, besides them those of texts of several lines as one block, whose
-    number is that of the lines."""
+    Null and empty texts have no block; templates without words meet nothing. Repeated rows each give their matches; rows
+    with a null id do too. Extra columns are ignored.
+    """
     spark = docs.sparkSession
-    sets = []
-    one = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, t string") if templates else None
-    if one is not None:
-        sets = [(r["k"], list(dict.fromkeys(r["w"])), -(-threshold[1] * len(r["w"]) // threshold[0])) for r in one.select("k", words(F.col("t")).alias("w")).collect() if r["w"]]
-    vocabulary = sorted({w for _, own, _ in sets for w in own})
-    order = word_order(docs, vocabulary, text_col) if vocabulary else []
-    rank = {w: k for k, w in enumerate(order)}
-    index, verify = [], []
-    for k, own, width in sets:
-        ranks = sorted(rank[w] for w in own)
-        need = -(-threshold[0] * len(ranks) // threshold[1])
-        verify.append((k, *templates[k], need, len(ranks), ranks, own, width))
-        index += [(r, k, i) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    schema = "k int, label string, template string, need int, n int, ranks array<int>, own_words array<string>, width int"
-    # Both tables have a row per template word at most.
-    wanted = F.broadcast(spark.createDataFrame(verify, schema))
-    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, k int, i int"))
-    first = _strings([order[r] for r in sorted({r for r, _, _ in index})])
-    by_word = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)]) if rank else F.expr("map('', 0)")
-    least = min((v[3] for v in verify), default=1)
-    text = F.col(text_col)
-    lines = F.split(text, "\n")
-    cut = F.concat(lines, F.when(F.size(lines) > 1, F.array(text)).otherwise(_strings([]))) if windows else lines
-    lines = docs.filter(F.arrays_overlap(words(text), first)).select(F.col(id_col).alias("doc_id"), F.size(lines).alias("n_lines"), F.posexplode(cut).alias("block", "line"))
-    reduced = lines.withColumn("own", F.array_sort(F.transform(F.array_intersect(words(F.col("line")), _strings(order)), lambda w: F.element_at(by_word, w))))
-    reduced = reduced.filter(F.size("own") >= least)
-    met = reduced.select("doc_id", "n_lines", "block", "line", "own", F.posexplode("own").alias("j", "rank")).join(prefixes, "rank").join(wanted, "k")
-    size = F.size("own")
-    met = met.filter(size >= F.col("need")).filter(F.least("i", "j") + F.least(F.col("n") - F.col("i"), size - F.col("j")) >= F.col("need"))
-    shared = F.size(F.array_intersect("own", "ranks"))
-    # A pair that several words bring up is kept for the first one that block and template share.
-    only = F.col("rank") == F.array_min(F.array_intersect("own", "ranks"))
-    met = met.filter(only).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
-    if windows:
-        most = _most_in_window(words(F.col("line")), F.col("own_words"), F.col("width"))
-        met = met.withColumn("shared", F.when(F.col("block") < F.col("n_lines"), F.col("shared")).otherwise(most)).filter(F.col("shared") >= F.col("need"))
-    return met.select("doc_id", "block", "label", "template", "shared", (F.col("shared") / F.col("n")).alias("containment"), "line")
+    docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    ready, order = _prepared(docs, templates, threshold, "text") if templates else ([], [])
+    index = [(w, i, t.label, t.notice, t.words, t.prefix, len(t.words), t.need, t.width) for t in ready for i, w in enumerate(t.prefix)]
+    # A row per template word at most.
+    indexed = F.broadcast(spark.createDataFrame(index, "word string, i int, label string, template string, own array<string>, prefix array<string>, n int, need int, width int"))
+    reach = max((t.width for t in ready), default=1)
+    first = _strings(sorted({row[0] for row in index}))
+    possible = reduce(or_, (_may_meet(F.col("text"), t) for t in ready), F.lit(False))
+    own = docs.filter(possible).select("doc_id", words(F.col("text")).alias("w"))
+    places = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda e: F.array_contains(first, e["word"]))
+    before = lambda e: F.least(e["at"], F.lit(reach - 1))
+    cut = F.transform(places, lambda e: F.struct(e["at"], e["word"], before(e).alias("mid"), F.slice("w", e["at"] - before(e) + 1, before(e) + reach).alias("around")))
+    met = own.select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*").join(indexed, "word")
+
+    low = F.greatest(F.col("mid") - F.col("width") + 1, F.lit(0))
+    ranked = F.array_intersect(_strings(order), F.slice("around", low + 1, F.col("mid") + F.col("width") - low))
+    met = met.withColumn("ranked", ranked).filter(F.size("ranked") >= F.col("need"))
+    j = F.array_position("ranked", F.col("word")) - 1
+    met = met.filter(F.least(F.col("i"), j) + F.least(F.col("n") - F.col("i"), F.size("ranked") - j) >= F.col("need"))
+
+    # A window is verified at its first indexed word alone.
+    starts = F.filter(F.sequence(low, F.col("mid")), lambda s: F.array_contains(F.col("own"), F.get("around", s)) & ~F.arrays_overlap(F.slice("around", s + 1, F.col("mid") - s), "prefix"))
+    windows = F.transform(starts, lambda s: F.struct((F.col("at") - F.col("mid") + s).cast("bigint").alias("start"), F.slice("around", s + 1, F.col("width")).alias("words")))
+    found = met.select("doc_id", "label", "template", "own", "n", "need", F.explode(windows).alias("b"))
+    found = found.withColumn("shared", F.size(F.array_intersect("own", "b.words"))).filter(F.col("shared") >= F.col("need"))
+    return found.select("doc_id", F.col("b.start").alias("start"), "label", "template", "shared", (F.col("shared") / F.col("n")).alias("containment"), F.array_join("b.words", " ").alias("block"))
 
 
 def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, places, base_labels, labels, score) per row of docs.
 
-    places are the (start, label) of the phrases; labels join theirs and those of the templates that a line, or a
-    window across line ends, meets, sorted and distinct; score is 1 where a phrase stands, else the largest containment of a met template, else 0. Null texts
-    are empty. Rows of one id, repeated ones too, share the template labels; rows with a null id get none of them. Of
+    places are the (start, label) of the phrases; labels join theirs and those of the templates that a block of words
+    meets, sorted and distinct; score is 1 where a phrase stands, else the largest containment, else 0. Null texts are
+    empty. Rows of one id, repeated ones too, share the template labels; rows with a null id get none of them. Of
     places or notices alike in all (ties) each counts. An empty table gives no rows. Extra columns, of whatever name, are
     ignored.
     """
     docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
-    id_col, text_col = "doc_id", "text"
-    text = F.col(text_col)
+    text = F.col("text")
     own = docs.select("doc_id", text.alias("_text"), words(text).alias("_words"))
     scanned = own.select("doc_id", F.size("_words").cast("bigint").alias("n_words"), phrase_places(F.col("_words"), F.coalesce("_text", F.lit("")), phrases).alias("places"))
-    met = _met(docs, templates, threshold, id_col, text_col, windows=True).filter("doc_id is not null")
+    met = license_blocks(docs, templates=templates, threshold=threshold).filter("doc_id is not null")
     met = met.groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_most"))
     out = scanned.join(met, "doc_id", "left")
     base = F.array_sort(F.array_distinct(F.col("places.label")))

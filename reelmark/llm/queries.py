@@ -127,14 +127,18 @@ places AS (
   WHERE x.w[x.i : x.i + len(y.p) - 1] = y.p
 ), base AS (
   SELECT doc_id, count(*) AS n, min(start) AS a, max(start) AS b, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), notices AS (
+  SELECT label, regexp_extract_all(lower(t), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM (VALUES {_rows(licenses.TEMPLATES)}) v(label, t)
 ), templates AS (
-  SELECT label, list_distinct(regexp_extract_all(lower(t), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM (VALUES {_rows(licenses.TEMPLATES)}) v(label, t)
-), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+  SELECT label, list_distinct(t) AS t, CAST(ceil(10 * len(t) / 9) AS BIGINT) AS width FROM notices
+), possible AS (
+  SELECT doc_id, w, label, t, width FROM w, templates WHERE 10 * len(list_intersect(list_distinct(w), t)) >= 9 * len(t)
+), blocks AS (
+  SELECT doc_id, label, t, list_distinct(w[i : i + width - 1]) AS own
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM possible) WHERE list_contains(t, w[i])
 ), met AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(len(list_intersect(w, t)) AS DOUBLE) / len(t)) AS most
-  FROM lines, templates WHERE 10 * len(list_intersect(w, t)) >= 9 * len(t) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(len(list_intersect(own, t)) AS DOUBLE) / len(t)) AS most
+  FROM blocks WHERE 10 * len(list_intersect(own, t)) >= 9 * len(t) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.a AS first_word, b.b AS last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

@@ -276,19 +276,21 @@ def test_license_join_finds_every_block(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     want = []
     for i, t in docs:
-        for k, line in enumerate((t or "").split("\n")):
-            own = set(brute.words(line))
-            for label, template in licenses.TEMPLATES:
-                w = set(brute.words(template))
-                if 10 * len(own & w) >= 9 * len(w):
-                    want.append((i, k, label, template, len(own & w)))
-    got = [(r["doc_id"], r["block"], r["label"], r["template"], r["shared"]) for r in license_blocks(df).collect()]
+        w = brute.words(t or "")
+        for label, template in licenses.TEMPLATES:
+            own = set(brute.words(template))
+            width = -(-10 * len(brute.words(template)) // 9)
+            for at, word in enumerate(w):
+                block = w[at : at + width]
+                if word in own and 10 * len(own.intersection(block)) >= 9 * len(own):
+                    want.append((i, at, label, template, len(own.intersection(block)), " ".join(block)))
+    got = [(r["doc_id"], r["start"], r["label"], r["template"], r["shared"], r["block"]) for r in license_blocks(df).collect()]
     assert key(got) == key(want) and len(want) > 100
     assert license_blocks(df, templates=()).count() == 0
 
 
 def test_license_notices_across_lines(spark):
-    """Notices wrapped to short lines behind comment marks, with a word put in; scattered words over lines meet none."""
+    """Notices wrapped to short lines behind comment marks, with a word put in; scattered words, over lines or in one, meet none."""
     rng = random.Random(5)
     docs, want = [], {}
     for i, (label, template) in enumerate(licenses.TEMPLATES):
@@ -299,9 +301,10 @@ def test_license_notices_across_lines(spark):
         want[i] = label
         far = [x for v in w for x in (v, *["filler"] * 30)]
         docs.append((100 + i, "\n".join(" ".join(far[at : at + 9]) for at in range(0, len(far), 9))))
+        docs.append((200 + i, " ".join(far)))
     rows = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert all(label in rows[i]["labels"] and rows[i]["score"] == 1.0 for i, label in want.items())
-    assert all(rows[100 + i]["labels"] == [] and rows[100 + i]["score"] == 0.0 for i in want)
+    assert all(rows[k + i]["labels"] == [] and rows[k + i]["score"] == 0.0 for i in want for k in (100, 200))
 
 
 # --- nearest neighbours ----------------------------------------------------------------------------------------------
