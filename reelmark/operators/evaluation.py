@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..constants import FAILURE, SPLIT, SUCCESS
 from ..functions import tag_from
+from .ranges import cut_points, running_sums
 
 
 def accuracy(df: DataFrame, keys: Sequence[str], predicted: str, actual: str) -> DataFrame:
@@ -21,13 +21,13 @@ def accuracy(df: DataFrame, keys: Sequence[str], predicted: str, actual: str) ->
 def auroc(df: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
     """(keys, n_pos, n_neg, auroc): the share of positive-negative pairs ranked right, ties half; null without pairs.
 
-    Rows are first summed by score, so a window walks distinct scores, not rows, and no pair is ever made. Sums are
-    whole numbers until the last division.
+    Rows are first summed by score, so running sums walk distinct scores, not rows, range by range, and no pair is ever
+    made. Sums are whole numbers until the last division. Scores are numbers.
     """
     pos = F.col(positive).cast("boolean")
-    by = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*keys, score).agg(F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    rows = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
+    by = rows.groupBy(*keys, score).agg(F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
+    ranked = running_sums(by, keys, score, {"_below": "_n"}, own=False, cuts=cut_points(rows, score))
     wins = F.sum(F.col("_p").cast("decimal(38,0)") * (2 * F.col("_below") + F.col("_n")))
     out = ranked.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), wins.cast("double").alias("_w"))
     pairs = 2.0 * F.col("n_pos") * F.col("n_neg")
@@ -35,13 +35,12 @@ def auroc(df: DataFrame, keys: Sequence[str], score: str, positive: str) -> Data
 
 
 def roc_points(df: DataFrame, keys: Sequence[str], score: str, positive: str, tie: str) -> DataFrame:
-    """(keys, point, fpr, tpr): a point per row from the highest score down, ties by `tie`, after a first one at (0, 0)."""
+    """(keys, point, fpr, tpr): a point per row from the highest score down, ties by `tie`, after a first one at (0, 0).
+    Scores and ties are numbers or times; groups are walked range by range."""
     pos = F.col(positive).cast("int")
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keys)
-    rows = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    pts = rows.select(*keys, F.row_number().over(w).cast("bigint").alias("point"), (F.sum(1 - pos).over(so_far) / F.greatest(F.sum(1 - pos).over(all_), F.lit(1))).alias("fpr"), (F.sum(pos).over(so_far) / F.greatest(F.sum(pos).over(all_), F.lit(1))).alias("tpr"))
+    rows = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).select(*keys, score, tie, F.lit(1).alias("_one"), pos.alias("_p"), (1 - pos).alias("_n"))
+    walked = running_sums(rows, keys, score, {"_point": "_one", "_tp": "_p", "_fp": "_n"}, tie=tie, descending=True)
+    pts = walked.select(*keys, F.col("_point").alias("point"), *((F.col(x) / F.greatest(F.col(x + "_all"), F.lit(1))).alias(name) for x, name in (("_fp", "fpr"), ("_tp", "tpr"))))
     zero = rows.select(*keys).distinct().select(*keys, F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return zero.unionByName(pts)
 

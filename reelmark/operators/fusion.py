@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import SUCCESS, TAG_THRESHOLD
 from ..functions import mean_present, tag_above, tag_from
 from .evaluation import consensus, votes
+from .ranges import median
 
 
 def spine(signals: dict[str, DataFrame], key: str) -> DataFrame:
@@ -31,7 +32,7 @@ def spine(signals: dict[str, DataFrame], key: str) -> DataFrame:
 
 def calibration(df: DataFrame, late: str, default: float = TAG_THRESHOLD) -> DataFrame:
     """One row (threshold): the exact median of the scores, the default without any."""
-    return df.agg(F.coalesce(F.median(late), F.lit(default)).alias("threshold"))
+    return median(df, late).select(F.coalesce("median", F.lit(default)).alias("threshold"))
 
 
 def with_threshold(df: DataFrame, threshold: DataFrame | float) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import attempts as att
 from ..operators import confidence as conf
 from ..operators import detections as det
 from ..operators import evaluation as ev
-from ..operators import fusion, gripper, loading, presets
+from ..operators import fusion, gripper, loading, presets, ranges
 from ..operators import sequence as seq
 from . import audit
 
@@ -352,7 +352,7 @@ def gradient_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label, in order of id, as the positions of a hand."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(a) for i, a in enumerate("xyz")])
-    e = e.withColumn("step", seq.step_length(["x", "y", "z"], ["label"], "vec_id"))
+    e = ranges.step_lengths(e, ["x", "y", "z"], ["label"], "vec_id")
     return rounded(e.groupBy("label").agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"), F.max("step").alias("longest_step"), F.count("*").alias("n")))
 
 
@@ -530,7 +530,9 @@ def prompt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sidecar_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(seq.running_offset(table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").alias("nbytes")), ["source"], "doc_id", "nbytes"))
+    """Where each document's bytes start in the file of its source."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").alias("nbytes"))
+    return rounded(ranges.running_sums(d, ["source"], "doc_id", {"offset": "nbytes"}, own=False).drop("offset_all"))
 
 
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
