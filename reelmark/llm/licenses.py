@@ -18,7 +18,7 @@ Phrases that must stand word for word are looked for besides, in the document's
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_, or_
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -113,13 +113,14 @@ def _prepared(docs: DataFrame, templates, threshold: tuple[int, int], text_col:
     return out, order
 
 
-def _may_meet(text: Column, t: Template) -> Column:
-    """Whether a text holds letters enough for a template's words; told without cutting it into words."""
-    lower = F.lower(text)
-    held = [F.contains(lower, F.lit(w)) for w in t.words]
-    if t.need == len(held):
-        return reduce(and_, held)
-    return reduce(or_, held[: len(t.prefix)]) & (reduce(add, [h.cast("int") for h in held]) >= t.need)
+def _may_meet(text: Column, ready: list[Template]) -> Column:
+    """Whether a text holds letters enough for some template's words; told without cutting it into words, and
+    lower-casing it once: a lambda's variable holds the result."""
+
+    def enough(lower: Column) -> Column:
+        return reduce(or_, (reduce(or_, [F.contains(lower, F.lit(w)) for w in t.prefix]) & (F.size(F.filter(_strings(t.words), lambda w: F.contains(lower, w))) >= t.need) for t in ready), F.lit(False))
+
+    return F.exists(F.array(F.lower(text)), enough)
 
 
 def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,8 +139,7 @@ def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int
     indexed = F.broadcast(spark.createDataFrame(index, "word string, i int, label string, template string, own array<string>, prefix array<string>, n int, need int, width int"))
     reach = max((t.width for t in ready), default=1)
     first = _strings(sorted({row[0] for row in index}))
-    possible = reduce(or_, (_may_meet(F.col("text"), t) for t in ready), F.lit(False))
-    own = docs.filter(possible).select("doc_id", words(F.col("text")).alias("w"))
+    own = docs.filter(_may_meet(F.col("text"), ready)).select("doc_id", words(F.col("text")).alias("w"))
     places = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda e: F.array_contains(first, e["word"]))
     before = lambda e: F.least(e["at"], F.lit(reach - 1))
     cut = F.transform(places, lambda e: F.struct(e["at"], e["word"], before(e).alias("mid"), F.slice("w", e["at"] - before(e) + 1, before(e) + reach).alias("around")))
