@@ -307,6 +307,20 @@ def test_license_notices_across_lines(spark):
     assert all(rows[k + i]["labels"] == [] and rows[k + i]["score"] == 0.0 for i in want for k in (100, 200))
 
 
+def test_whole_notices(spark):
+    """A notice with other line ends is found as a whole; with a third of its distinct words lost, it is not."""
+    rng = random.Random(7)
+    docs = []
+    for i, (_, notice) in enumerate(licenses.NOTICES):
+        w = notice.split()
+        distinct = sorted(set(brute.words(notice)))
+        lost = set(rng.sample(distinct, len(distinct) // 3))
+        for base, left in ((0, w), (100, [x for x in w if not lost.intersection(brute.words(x))])):
+            docs.append((base + i, " ".join(random_words(rng, 9, 30)) + "\n" + "\n * ".join(" ".join(left[at : at + 7]) for at in range(0, len(left), 7))))
+    found = license_blocks(spark.createDataFrame(docs, "doc_id bigint, text string"), templates=licenses.NOTICES).select("doc_id", "label").distinct().collect()
+    assert sorted((r[0], r[1]) for r in found) == [(i, label) for i, (label, _) in enumerate(licenses.NOTICES)]
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------------------------
 def exact(rows, queries, k):
     good = {i: np.array(v, float) for i, v in rows if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)}
