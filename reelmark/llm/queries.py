@@ -93,12 +93,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import collapse_runs, longest_repetition, repeat_tail, words
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # A lambda's variable holds the words, so that they are cut out of a text once.
+    repeated = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.array_join(repeat_tail(w, F.floor(h / 10)), " ")), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, repeated).otherwise(F.col("text")).alias("text"))
+    out = collapse_runs(docs).withColumn("best", longest_repetition(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def _rows(pairs) -> str:
     """SQL rows of (phrase or label, text) pairs."""
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in pairs)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_license_scans, op5_nearest_neighbours, op6_jaccard_join, op7_suffix_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_license_scans, op5_nearest_neighbours, op6_jaccard_join, op7_suffix_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc, op13_periodic_runs)}
+
+#: CRC-32 in SQL: of the list of bytes b, with the table in crc_table.t.
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))
+)"""
+CRC = "xor(list_reduce({b}, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295), 4294967295)"
+#: The bytes of a text as numbers.
+BYTES = "list_transform(range(CAST(strlen({s}) AS BIGINT)), lambda k: CAST(('0x' || hex(encode({s}))[2 * k + 1 : 2 * k + 2]) AS BIGINT))"
 
 ORACLE_SQL = {
     "op3_line_dedup": r"""
@@ -201,5 +221,36 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
        CASE WHEN m.last <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN m.last <> p.page_id THEN m.last END AS refers_to
 FROM p LEFT JOIN m ON p.h = m.h AND p.n >= 1000
+""",
+    # A window of k words, k at least the period, stands again in a run after just the period.
+    "op13_periodic_runs": rf"""
+WITH RECURSIVE {CRC_TABLE},
+own AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC.format(b="list_transform(range(CAST(strlen(CAST(doc_id AS VARCHAR)) AS BIGINT)), lambda k: CAST(ascii(CAST(doc_id AS VARCHAR)[k + 1]) AS BIGINT))")} AS h FROM documents, crc_table
+), seeded AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM own),
+d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM seeded
+), grams(doc_id, n, k, hs) AS (
+  SELECT doc_id, n, 1, list_transform(w, lambda x: hash(x)) FROM d WHERE n >= 24
+  UNION ALL SELECT doc_id, n, 2 * k, list_transform(range(1, len(hs) - k + 1), lambda i: hash(hs[i], hs[i + k])) FROM grams WHERE n >= 3 * k
+), gaps AS (
+  SELECT doc_id, k, i - lag(i) OVER (PARTITION BY doc_id, k, x ORDER BY i) AS q
+  FROM (SELECT doc_id, k, unnest(hs) AS x, unnest(range(len(hs))) AS i FROM grams WHERE k >= 8)
+), periods AS (SELECT DISTINCT doc_id, q FROM gaps WHERE q <= k AND (k = 8 OR 2 * q > k)),
+alike AS (
+  SELECT doc_id, q, i FROM (SELECT p.doc_id, p.q, d.w, unnest(range(p.q, d.n)) AS i FROM periods p JOIN d ON p.doc_id = d.doc_id WHERE 3 * p.q <= d.n) WHERE w[i + 1] = w[i - q + 1]
+), stretches AS (
+  SELECT doc_id, q, min(i) - q AS s, count(*) + q AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS r FROM alike) GROUP BY doc_id, q, r
+), runs AS (SELECT doc_id, s, n, min(q) AS q FROM stretches WHERE n >= greatest(24, 3 * q) GROUP BY doc_id, s, n),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS t, arg_min(struct_pack(s := s, n := n, q := q), struct_pack(e := -CAST(n AS DOUBLE) / q, s := s, q := q)) AS b FROM runs GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (
+  SELECT x.doc_id, string_agg(x.x, ' ' ORDER BY x.i) AS t
+  FROM (SELECT d.doc_id, unnest(d.w) AS x, unnest(range(d.n)) AS i FROM d SEMI JOIN runs ON d.doc_id = runs.doc_id) x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id
+)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, CAST(l.b.s AS BIGINT) AS start, CAST(l.b.n AS BIGINT) AS length, CAST(l.b.q AS BIGINT) AS period,
+       CAST(1000 * l.b.n // l.b.q AS BIGINT) AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, array_to_string(d.w, ' '))) AS collapsed_sha256
+FROM d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
 }
