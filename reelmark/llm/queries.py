@@ -93,6 +93,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import letter_runs, spelling_variants, without_one, word_counts
+
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(letter_runs(F.col("text"))).alias("run"))
+    runs = runs.withColumn("h", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary")))
+    word = F.when(F.col("h") % 97 == 0, without_one(F.col("run"), F.col("h") % F.length("run"))).otherwise(F.col("run"))
+    out = spelling_variants(word_counts(runs.select(word.alias("word"))))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import collapse_runs, longest_repetition, repeat_tail, words
 
@@ -110,7 +120,7 @@ def _rows(pairs) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in pairs)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_license_scans, op5_nearest_neighbours, op6_jaccard_join, op7_suffix_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_license_scans, op5_nearest_neighbours, op6_jaccard_join, op7_suffix_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc, op11_spelling_variants, op13_periodic_runs)}
 
 #: CRC-32 in SQL: of the list of bytes b, with the table in crc_table.t.
 CRC_TABLE = """crc_table AS (
@@ -221,6 +231,26 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
        CASE WHEN m.last <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN m.last <> p.page_id THEN m.last END AS refers_to
 FROM p LEFT JOIN m ON p.h = m.h AND p.n >= 1000
+""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, r, count(*) AS n, CAST(doc_id AS VARCHAR) || ':' || r AS s
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) GROUP BY doc_id, r
+), hashed AS (SELECT r, n, {CRC.format(b=BYTES.format(s="s"))} AS h FROM runs, crc_table),
+w AS (
+  SELECT w, CAST(sum(n) AS BIGINT) AS n, length(w) AS l FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(r, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS w FROM hashed)
+  WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3
+), cut AS (SELECT w, n, l, i, left(w, i - 1) || substring(w, i + 1) AS c FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM w)),
+near AS (
+  SELECT a.w, b.w AS o, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.i = b.i AND a.w <> b.w
+  UNION SELECT a.w, b.w, b.n FROM cut a JOIN w b ON a.c = b.w
+  UNION SELECT b.w, a.w, a.n FROM cut a JOIN w b ON a.c = b.w
+), best AS (SELECT w, count(*) AS n_near, arg_min(o, struct_pack(n := -n, o := o)) AS o, max(n) AS m FROM near GROUP BY w),
+formed AS (SELECT w.w, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.o END AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n FROM w LEFT JOIN best b ON w.w = b.w),
+walk(w, x) AS (SELECT w, w FROM formed UNION ALL SELECT k.w, f.form FROM walk k JOIN formed f ON k.x = f.w WHERE f.form IS NOT NULL),
+roots AS (SELECT k.w, k.x AS root FROM walk k JOIN formed f ON k.x = f.w WHERE f.form IS NULL)
+SELECT f.w AS word, f.form, r.root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n FROM formed f JOIN roots r ON f.w = r.w
 """,
     # A window of k words, k at least the period, stands again in a run after just the period.
     "op13_periodic_runs": rf"""

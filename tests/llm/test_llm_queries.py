@@ -28,7 +28,7 @@ def test_sql(spark, small, con, name):
 def test_names():
     import __spark_entry__ as e
 
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in (*range(1, 11), 13)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in (*range(1, 12), 13)]
     assert "pipeline" in e.queries() and set(queries.QUERIES) <= set(e.queries())
 
 

@@ -14,16 +14,12 @@ from reelmark.llm.periodic_runs import CommonPrefixes, collapse_runs, next_small
 
 def plain_runs(w, least=24, times=3):
     """Every period in turn: stretches of words alike with those before, but those that a shorter period has whole."""
-    found = {}
+    found, codes = {}, np.unique(np.array(w, object), return_inverse=True)[1] if w else np.zeros(0, int)
     for q in range(1, len(w) // times + 1):
-        i = q
-        while i < len(w):
-            a = i
-            while i < len(w) and w[i] == w[i - q]:
-                i += 1
-            if i > a and i - a + q >= max(least, times * q):
-                found.setdefault((a - q, i - a + q), q)
-            i += 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], codes[q:] == codes[:-q], [0]]).astype(int))).tolist()
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            if b - a + q >= max(least, times * q):
+                found.setdefault((a, b - a + q), q)
     return sorted((s, n, q) for (s, n), q in found.items())
 
 
