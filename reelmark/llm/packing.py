@@ -72,7 +72,8 @@ class WordCache:
     def _learn(self, new: list[str]) -> None:
         if len(self.words) > 2 * self.entries:
             self.words = {"": b""}
-        lower = [c.lower() for c in new]
+        # The tokenizer lower-cases letter by letter; str.lower() would make a capital sigma at a word's end another letter.
+        lower = [c.replace("Σ", "σ").lower() for c in new]
         tails = [c.rstrip(MARKS) for c in lower]
         cores = [c.lstrip(MARKS) for c in tails]
         plain = [c.isalpha() and not any(s in low for s in self.special) for c, low in zip(cores, lower, strict=True)]
@@ -118,29 +119,34 @@ def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, slice_bytes: int) -> Iterator[Iterator[tuple[int | None, np.ndarray]]]:
+    """Of batches (id, text), slice by slice, each id and its text's unsigned 32-bit token ids with end_id behind them."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if _WORKER.get("path") != tokenizer_path:
+        _WORKER.update(path=tokenizer_path, cache=WordCache(tokenizer_path))
+    cache, end = _WORKER["cache"], np.array([end_id], np.uint32)
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+        for a, b in _slices(texts, slice_bytes):
+            flat, bounds = cache.encode(texts[a:b])
+            yield ((i, np.append(flat[x:y], end)) for i, x, y in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """The pieces of each document: its ids and then end_id, cut every `size` ids. Null texts are empty: one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if _WORKER.get("path") != tokenizer_path:
-            _WORKER.update(path=tokenizer_path, cache=WordCache(tokenizer_path))
-        cache = _WORKER["cache"]
-        end = np.array([end_id], np.uint32)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-            for a, b in _slices(texts, slice_bytes):
-                out: list[tuple] = []
-                flat, bounds = cache.encode(texts[a:b])
-                for i, x, y in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = np.append(flat[x:y], end).tobytes()
-                    for piece, at in enumerate(range(0, len(own), 4 * size)):
-                        part = own[at : at + 4 * size]
-                        out.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for texts in encoded(batches, tokenizer_path, end_id, slice_bytes):
+            out: list[tuple] = []
+            for i, tokens in texts:
+                own = tokens.tobytes()
+                for piece, at in enumerate(range(0, len(own), 4 * size)):
+                    part = own[at : at + 4 * size]
+                    out.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text")).mapInArrow(cut, PIECES)
 
