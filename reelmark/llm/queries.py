@@ -103,6 +103,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiered_packing import pack_in_tiers
+
+    return pack_in_tiers(table(spark, sf_dir, "documents"), tokenizer_path(), tiers=(256, 512, 1024, 2048), end_id=1)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import collapse_runs, longest_repetition, repeat_tail, words
 
@@ -120,7 +126,7 @@ def _rows(pairs) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in pairs)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_license_scans, op5_nearest_neighbours, op6_jaccard_join, op7_suffix_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc, op11_spelling_variants, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_license_scans, op5_nearest_neighbours, op6_jaccard_join, op7_suffix_dedup, op8_decontaminate, op9_best_fit_packing, op10_warc, op11_spelling_variants, op12_tiered_packing, op13_periodic_runs)}
 
 #: CRC-32 in SQL: of the list of bytes b, with the table in crc_table.t.
 CRC_TABLE = """crc_table AS (
