@@ -5,12 +5,13 @@ block meets a template if it holds at least the threshold's share of the templat
 long as that share lets a text be that has all its words, so words scattered over a long text meet nothing.
 
 1. The document counts of the template words, over all documents, give one global order, rare words first. No
-   other word can be shared, so blocks are reduced to these words.
-2. A template of n words of which need must be met is indexed under its n - need + 1 first words: a block that meets it
-   holds one of them. Blocks are cut around each place of an indexed word alone (prefix filter).
-3. A place around which fewer than need words stand falls away (length filter), and so does one that at the places
-   of the shared word cannot reach need any more (positional filter).
-4. What is left is verified window by window.
+   other word can be shared, so what follows sees these words alone.
+2. Texts are cut into segments of words that overlap by the longest block, so that a row is bounded whatever the text.
+   A template of n words of which need must be met is indexed under its n - need + 1 first words: a block that meets it
+   holds one of them, so a segment meets a template by the first of these words that it holds (prefix filter).
+3. A segment that holds fewer than need of a template's words falls away (length filter), and so does one that from the
+   place of the shared word on, in both orders, cannot reach need any more (positional filter).
+4. Of the segments left, the windows that begin with a template's word are verified one by one.
 
 Phrases that must stand word for word are looked for besides, in the document's words.
 """
@@ -171,13 +172,14 @@ def _may_meet(text: Column, ready: list[Template]) -> Column:
     return F.exists(F.array(F.lower(text)), enough)
 
 
-def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text", segment_words: int = 512) -> DataFrame:
     """(doc_id, start, label, template, shared, containment, block): every window of words that begins with a word of a
     template and holds at least the threshold's share of its distinct words. start counts words from 0; a block is
     the window's words, fewer at the text's end.
 
     Null and empty texts have no block; templates without words meet nothing. Repeated rows each give their matches; rows
-    with a null id do too. Extra columns are ignored.
+    with a null id do too. Extra columns are ignored. A text is cut into words whole, however long, and met by segments of
+    segment_words words.
     """
     spark = docs.sparkSession
     docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
@@ -187,24 +189,24 @@ def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int
     indexed = F.broadcast(spark.createDataFrame(index, "word string, i int, label string, template string, own array<string>, prefix array<string>, n int, need int, width int"))
     reach = max((t.width for t in ready), default=1)
     first = _strings(sorted({row[0] for row in index}))
+
     own = docs.filter(_may_meet(F.col("text"), ready)).select("doc_id", words(F.col("text")).alias("w"))
-    places = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda e: F.array_contains(first, e["word"]))
-    before = lambda e: F.least(e["at"], F.lit(reach - 1))
-    cut = F.transform(places, lambda e: F.struct(e["at"], e["word"], before(e).alias("mid"), F.slice("w", e["at"] - before(e) + 1, before(e) + reach).alias("around")))
-    met = own.select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*").join(indexed, "word")
-
-    low = F.greatest(F.col("mid") - F.col("width") + 1, F.lit(0))
-    ranked = F.array_intersect(_strings(order), F.slice("around", low + 1, F.col("mid") + F.col("width") - low))
-    met = met.withColumn("ranked", ranked).filter(F.size("ranked") >= F.col("need"))
+    count = F.floor((F.size("w") - 1) / segment_words).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count), lambda k: F.struct((k * segment_words).alias("base"), F.slice("w", k * segment_words + 1, segment_words + reach - 1).alias("w")))
+    segments = own.filter(F.size("w") > 0).select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.base", "s.w")
+    segments = segments.withColumn("ranked", F.array_intersect(_strings(order), F.col("w"))).filter(F.size("ranked") >= min((t.need for t in ready), default=1))
+
+    met = segments.withColumn("word", F.explode(F.array_intersect("ranked", first))).join(indexed, "word")
+    met = met.filter(~F.arrays_overlap("ranked", F.slice("prefix", F.lit(1), F.col("i"))) & (F.size(F.array_intersect("own", "ranked")) >= F.col("need")))
     j = F.array_position("ranked", F.col("word")) - 1
     met = met.filter(F.least(F.col("i"), j) + F.least(F.col("n") - F.col("i"), F.size("ranked") - j) >= F.col("need"))
 
-    # A window is verified at its first indexed word alone.
-    starts = F.filter(F.sequence(low, F.col("mid")), lambda s: F.array_contains(F.col("own"), F.get("around", s)) & ~F.arrays_overlap(F.slice("around", s + 1, F.col("mid") - s), "prefix"))
-    windows = F.transform(starts, lambda s: F.struct((F.col("at") - F.col("mid") + s).cast("bigint").alias("start"), F.slice("around", s + 1, F.col("width")).alias("words")))
-    found = met.select("doc_id", "label", "template", "own", "n", "need", F.explode(windows).alias("b"))
-    found = found.withColumn("shared", F.size(F.array_intersect("own", "b.words"))).filter(F.col("shared") >= F.col("need"))
-    return found.select("doc_id", F.col("b.start").alias("start"), "label", "template", "shared", (F.col("shared") / F.col("n")).alias("containment"), F.array_join("b.words", " ").alias("block"))
+    shared = lambda s: F.size(F.array_intersect(F.col("own"), F.slice("w", s + 1, F.col("width"))))
+    starts = F.filter(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(segment_words)) - 1), lambda s: F.array_contains("own", F.get("w", s)))
+    verified = F.filter(F.transform(starts, lambda s: F.struct(s.alias("s"), shared(s).alias("shared"))), lambda e: e["shared"] >= F.col("need"))
+    found = met.withColumn("e", F.explode(verified))
+    block = F.array_join(F.slice("w", F.col("e.s") + 1, F.col("width")), " ")
+    return found.select("doc_id", (F.col("base") + F.col("e.s")).cast("bigint").alias("start"), "label", "template", F.col("e.shared").alias("shared"), (F.col("e.shared") / F.col("n")).alias("containment"), block.alias("block"))
 
 
 def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -307,6 +307,17 @@ def test_license_notices_across_lines(spark):
     assert all(rows[k + i]["labels"] == [] and rows[k + i]["score"] == 0.0 for i in want for k in (100, 200))
 
 
+def test_license_above_a_long_table(spark):
+    """A notice whose words, one of them an indexed one, come up again all over a text of megabytes."""
+    head = "Licensed under the Apache License, Version 2.0\n"
+    docs = [(1, head + "0 " * 300_000), (2, "2.0 license " * 400_000 + head), (3, "0 " * 500_000), (4, "license version apache 0 " * 100 + "x " * 1000 + head + "under " * 3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in scan_licenses(df).collect()}
+    assert {i: (r["n_words"], r["labels"], r["score"]) for i, r in rows.items()} == {1: (300_008, ["apache-2.0"], 1.0), 2: (1_200_008, ["apache-2.0"], 1.0), 3: (500_000, [], 0.0), 4: (4408, ["apache-2.0"], 1.0)}
+    starts = {(r["doc_id"], r["start"]) for r in license_blocks(df).select("doc_id", "start").collect()}
+    assert (1, 0) in starts and (2, 1_200_000) in starts and (4, 1400) in starts and all(i != 3 for i, _ in starts)
+
+
 def test_whole_notices(spark):
     """A notice with other line ends is found as a whole; with a third of its distinct words lost, it is not."""
     rng = random.Random(7)
@@ -626,7 +637,8 @@ def test_texts_over_a_megabyte(spark):
     assert {r["doc_id"]: r["hit_words"] for r in find_items(df, items).collect()} == {1: [], 2: [], 3: list(range(99_995, 100_005)), 4: []}
     dropped = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(df).collect()}
     assert dropped == {1: 0, 2: 1, 3: 0, 4: 0}
-    assert scan_licenses(df).count() == 4
+    scanned = {r["doc_id"]: (r["n_words"], r["places"], r["labels"]) for r in scan_licenses(df).collect()}
+    assert scanned == {i: (len(brute.words(t)), [], []) for i, t in docs}
     assert score(df, np.zeros((1 << 18) + 1, np.float32)).filter("quality_score = 0.5").count() == 4
     assert identify(df, {"en": b"short text", "de": b"kurzer satz"}).count() == 4
     check_sequences(pack_documents(df, tokenizer_path()).collect(), 2048)
