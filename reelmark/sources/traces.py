@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,14 @@ __all__ = ["TRACES", "read_bulk_frames", "read_catalog", "read_clips", "read_epi
 TRACES = {"seg": SEG_TRACE, "vlm": VLM_TRACE, "geo": GEO_TRACE}
 
 
-def stem(path: str = "path"):
+def stem(path: str | Column = "path") -> Column:
     """A file's name without folders and last suffix."""
-    return F.regexp_extract(F.col(path), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def file_path() -> Column:
+    """The path of a row's file as it is called: Spark gives it with blanks and others percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def _present(spark: SparkSession, path: str) -> bool:
@@ -41,7 +46,7 @@ def read_traces(spark: SparkSession, path: str, kind: str, *, strict: bool = Fal
     else:
         bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
         raw = reader.option("mode", "PERMISSIVE").schema(bad).json(path)
-    out = raw.withColumn("episode", stem("_metadata.file_path"))
+    out = raw.withColumn("episode", stem(file_path()))
     if not strict:
         out = out.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return out.withColumn("label", label_of("label", "task_name")) if {"label", "task_name"} <= set(schema.names) else out
@@ -52,7 +57,7 @@ def read_model_traces(spark: SparkSession, root: str, *, strict: bool = True) ->
     if not _present(spark, f"{root}/*/*.json"):
         return spark.createDataFrame([], T.StructType([*parsed(VLM_TRACE).fields, T.StructField("model_dir", T.StringType())]))
     rows = spark.read.option("multiLine", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED").schema(VLM_TRACE).json(f"{root}/*/*.json")
-    return rows.withColumns({"episode": stem("_metadata.file_path"), "model_dir": F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1), "label": label_of("label", "task_name")})
+    return rows.withColumns({"episode": stem(file_path()), "model_dir": F.regexp_extract(file_path(), r"([^/]+)/[^/]+$", 1), "label": label_of("label", "task_name")})
 
 
 def read_episode_store(spark: SparkSession, root: str) -> DataFrame:
@@ -65,7 +70,7 @@ def read_episode_store(spark: SparkSession, root: str) -> DataFrame:
     if path is None:
         return spark.createDataFrame([], T.StructType([T.StructField("episode", T.StringType()), *parsed(EPISODE_ATTRIBUTES).fields]))
     rows = spark.read.option("multiLine", True).schema(EPISODE_STORE).json(path)
-    parts = F.split("_metadata.file_path", "/")
+    parts = F.split(file_path(), "/")
     rows = rows.select(F.element_at(parts, -2).alias("episode"), F.element_at(parts, -3).alias("_in"), "attributes.*")
     if path == paths[1]:
         rows = rows.filter(F.col("_in") == rows.select(F.min("_in")).scalar())
