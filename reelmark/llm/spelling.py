@@ -2,7 +2,8 @@
 
 One edit leaves a half of a word as it is: its first half still begins the other word, or its second half still ends it. So
 automata hold the two segments of every word, and every word is scanned: a segment found counts if it stands at the word's
-start (first halves) or end (second halves) and the lengths of the two words differ by one at most; the words are then compared.
+start (first halves) or end (second halves) and the lengths of the two words differ by one at most; the words are then compared,
+those that met in one segment all at once.
 
 The segments are dealt over shards by what they say, and a word is sent to those shards alone that may hold one of its
 segments: lengths that fit leave two possible first halves and two second ones. A segment that very many words have is
@@ -12,9 +13,10 @@ no pair of words leaves a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import ne
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,36 +57,80 @@ def one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """The code points of words of one length, a row of each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+
+
+def _edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of code points, which of a and which of b are exactly one edit apart; b may be wider or narrower by one."""
+    short = min(a.shape[1], b.shape[1])
+    ahead = a[:, None, :short] == b[None, :, :short]
+    if a.shape[1] == b.shape[1]:
+        return ahead.sum(2) == short - 1
+    behind = a[:, None, a.shape[1] - short :] == b[None, :, b.shape[1] - short :]
+    alike = np.logical_and.accumulate(ahead, 2).sum(2) + np.logical_and.accumulate(behind[:, :, ::-1], 2).sum(2)
+    return alike >= short
+
+
 class Halves:
     """An automaton over halves: side 0 begins its word, side 1 ends it."""
 
-    def __init__(self, held: Iterator[tuple[int, str, str, int]]):
+    #: Up to so many pairs of one segment are compared one by one, more of them by columns; and numbers held by the latter.
+    FEW, CELLS = 32, 4_000_000
+
+    def __init__(self, held: Iterable[tuple[int, str, str, int]]):
         from ahocorasick import Automaton
 
         self.owners: dict[str, dict[tuple[int, int], list[tuple[str, int]]]] = {}
         for side, segment, word, n in held:
-            self.owners.setdefault(segment, {}).setdefault((side, len(word)), []).append((word, n))
+            self.owners.setdefault(segment, {}).setdefault((int(side), len(word)), []).append((word, n))
         self.automaton = Automaton()
         for segment, by in self.owners.items():
-            self.automaton.add_word(segment, (len(segment), by))
+            for own in by.values():
+                own.sort(key=lambda x: (-x[1], x[0]))
+            self.automaton.add_word(segment, (len(segment), segment))
         if self.owners:
             self.automaton.make_automaton()
 
-    def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """The words (and their counts) one edit from this one that have a half held here. A word both of whose halves are in
-        place is given by its first half alone."""
-        if not self.owners:
+    def near(self, words: Iterable[str]) -> dict[str, tuple[int, tuple[int, str]]]:
+        """By word, for those with words one edit away of which a half is held here: how many these are, and the one of largest
+        count, as (-count, word). Words are distinct. A word both of whose halves are in place counts by its first half alone."""
+        # The words that a segment is found in where its owners' lengths fit.
+        met: dict[tuple[str, int, int, int], list[str]] = {}
+        for word in words if self.owners else ():
+            n = len(word)
+            for end, (length, segment) in self.automaton.iter(word):
+                for side in [0] * (end + 1 == length) + [1] * (end + 1 == n):
+                    for other in (n - 1, n, n + 1):
+                        if (side, other) in self.owners[segment]:
+                            met.setdefault((segment, side, other, n), []).append(word)
+        out: dict[str, tuple[int, tuple[int, str]]] = {}
+        for (segment, side, other, _), own in met.items():
+            held = self.owners[segment][side, other]
+            for word, count, first in self._verified(own, held, side, other // 2):
+                best = (-held[first][1], held[first][0])
+                before = out.get(word)
+                out[word] = (count, best) if before is None else (before[0] + count, min(before[1], best))
+        return out
+
+    def _verified(self, words: list[str], held: list[tuple[str, int]], side: int, half: int) -> Iterator[tuple[str, int, int]]:
+        """(word, how many of held are near, the first of them) of words that have any."""
+        if len(words) * len(held) <= self.FEW:
+            for word in words:
+                found = [k for k, (other, _) in enumerate(held) if one_edit(other, word) and not (side and word.startswith(other[:half]))]
+                if found:
+                    yield word, len(found), found[0]
             return
-        n = len(word)
-        for end, (length, by) in self.automaton.iter(word):
-            sides = [0] * (end + 1 == length) + [1] * (end + 1 == n)
-            for side in sides:
-                for other in (n - 1, n, n + 1):
-                    for candidate, count in by.get((side, other), ()):
-                        if side and word.startswith(candidate[: len(candidate) // 2]):
-                            continue
-                        if one_edit(candidate, word):
-                            yield candidate, count
+        mine, theirs = _codes(words), _codes([w for w, _ in held])
+        step = max(1, self.CELLS // theirs.size)
+        for k in range(0, len(words), step):
+            some = mine[k : k + step]
+            hit = _edits(some[:, half:], theirs[:, half:]) if not side else _edits(some[:, : some.shape[1] - theirs.shape[1] + half], theirs[:, :half])
+            if side:
+                hit &= ~(some[:, None, :half] == theirs[None, :, :half]).all(2)
+            for row in np.flatnonzero(hit.any(1)).tolist():
+                yield words[k + row], int(hit[row].sum()), int(hit[row].argmax())
 
 
 def _sides(word: str) -> Column:
@@ -127,15 +173,11 @@ def near_words(words: DataFrame, *, a_shard: int = 200_000, a_segment: int = 20_
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["side"].notna()
-        halves = Halves(pdf.loc[own, ["side", "segment", "word", "n"]].itertuples(index=False, name=None))
-        out = []
-        for word in pdf.loc[~own, "word"].unique():
-            near = list(halves.near(word))
-            if near:
-                out.append((word, len(near), *min(near, key=lambda x: (-x[1], x[0]))))
-        return pd.DataFrame(out, columns=["word", "n_near", "near", "near_n"])
-
-    found = rows.groupBy("shard").applyInPandas(scan, "word string, n_near bigint, near string, near_n bigint")
+        found = Halves(pdf.loc[own, ["side", "segment", "word", "n"]].itertuples(index=False, name=None)).near(pdf.loc[~own, "word"].unique())
+        return pd.DataFrame([(word, n, best, -count) for word, (n, (count, best)) in found.items()], columns=["word", "n_near", "near", "near_n"])
+
+    # So many partitions, whatever their bytes: the work is in the comparisons.
+    found = rows.repartition(shards, "shard").groupBy("shard").applyInPandas(scan, "word string, n_near bigint, near string, near_n bigint")
     best = F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), F.col("near")))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", "b.near", "b.near_n")
 

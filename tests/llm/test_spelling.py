@@ -53,13 +53,16 @@ def test_one_edit():
         assert one_edit(a, b) == (distance(a, b) == 1)
 
 
-def test_halves_find_every_near_word_once():
+@pytest.mark.parametrize("few", [0, 32, 10**9])
+def test_halves_find_every_near_word_once(monkeypatch, few):
+    monkeypatch.setattr(Halves, "FEW", few)
+    monkeypatch.setattr(Halves, "CELLS", 100)
     rng = random.Random(2)
     counts = random_counts(rng, 250)
     halves = Halves((s, h, w, n) for w, n in counts.items() for s, h in enumerate((w[: len(w) // 2], w[len(w) // 2 :])))
-    for w in counts:
-        assert sorted(halves.near(w)) == sorted((o, n) for o, n in counts.items() if distance(o, w) == 1)
-    assert list(Halves(iter(())).near("nothing")) == []
+    want = {w: [(-n, o) for o, n in counts.items() if distance(o, w) == 1] for w in counts}
+    assert halves.near(counts) == {w: (len(near), min(near)) for w, near in want.items() if near}
+    assert Halves(()).near(["nothing"]) == {}
 
 
 @pytest.mark.parametrize(("a_shard", "a_segment"), [(200_000, 20_000), (50, 3)])
