@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 from typing import Protocol
 
 import pandas as pd
@@ -66,13 +68,26 @@ def run_counters(results: DataFrame) -> DataFrame:
 
 def pack_masks(pixels: DataFrame, keys: Sequence[str], *, y: str = "y", x: str = "x", on: str = "on") -> DataFrame:
     """(keys, height, width, mask) of a row per pixel: rows of bits, high bit first, the last byte filled up with zeros.
-    A mask's bits are put together in the JVM; a missing pixel is off."""
-    size = pixels.groupBy(*keys).agg((F.max(y) + 1).alias("height"), (F.max(x) + 1).alias("width"), F.collect_set(F.when(F.col(on), F.struct(y, x))).alias("_on"))
-    places = F.transform("_on", lambda p: p[y] * F.col("width") + p[x])
-    n_bytes = F.ceil(F.col("height") * F.col("width") / 8).cast("int")
-    byte = lambda b: F.lpad(F.hex(F.aggregate(F.filter("_places", lambda p: F.floor(p / 8) == b), F.lit(0.0), lambda a, p: a + 128 / F.pow(F.lit(2), p % 8)).cast("bigint")), 2, "0")
-    out = size.withColumn("_places", places)
-    return out.select(*keys, "height", "width", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n_bytes - 1), byte), "")).alias("mask"))
+
+    A missing pixel is off, and so is one whose `on` is null; rows of one pixel are on if one of them is. Bits are put together
+    in the JVM: pixels are summed up to bytes before they are shuffled, and a mask is its bytes in order with the gaps between
+    them as runs of zeros, so the work is linear in the pixels and bytes.
+    """
+    size = pixels.groupBy(*keys).agg((F.max(y) + 1).cast("bigint").alias("height"), (F.max(x) + 1).cast("bigint").alias("width"))
+    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    lit = pixels.filter(F.col(on)).select(*renamed, F.col(y).alias("_y"), F.col(x).alias("_x"))
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    at = F.col("_y") * F.col("width") + F.col("_x")
+    lit = lit.join(size, reduce(and_, same, F.lit(True))).select(*keys, F.floor(at / 8).cast("int").alias("_byte"), F.get(F.array(*(F.lit(128 >> i) for i in range(8))), (at % 8).cast("int")).alias("_bit"))
+    found = lit.groupBy(*keys, "_byte").agg(F.bit_or("_bit").alias("_bits"))
+    byte = F.struct("_byte", F.lpad(F.hex("_bits"), 2, "0").alias("_hex"))
+    rows = found.select(*keys, byte.alias("_b")).unionByName(size.select(*keys, F.lit(None).cast("struct<_byte:int,_hex:string>").alias("_b"), "height", "width"), allowMissingColumns=True)
+    per = rows.groupBy(*keys).agg(F.max("height").alias("height"), F.max("width").alias("width"), F.array_sort(F.collect_list("_b")).alias("_bytes"))
+    n = F.ceil(F.col("height") * F.col("width") / 8).cast("int")
+    gap = lambda b, i: F.repeat(F.lit("00"), b["_byte"] - F.when(i > 0, F.get("_bytes", i - 1)["_byte"]).otherwise(-1) - 1)
+    text = F.array_join(F.transform("_bytes", lambda b, i: F.concat(gap(b, i), b["_hex"])), "")
+    rest = F.repeat(F.lit("00"), n - 1 - F.coalesce(F.get("_bytes", F.size("_bytes") - 1)["_byte"], F.lit(-1)))
+    return per.select(*keys, "height", "width", F.unhex(F.concat(text, rest)).alias("mask"))
 
 
 def unpack_masks(masks: DataFrame, *, packed: str = "mask", height: str = "height", width: str = "width") -> DataFrame:

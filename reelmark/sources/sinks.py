@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,31 +37,51 @@ def mask_text(mask: str = "mask") -> Column:
 
 
 def mask_files(masks: DataFrame, folder: str, *, key: str = "episode", order: Sequence[str] = ("frame_idx", "object_id"), mask: str = "mask") -> DataFrame:
-    """Writes each episode's masks one after another into <episode>.bin and returns the index (key, order, mask_offset,
-    mask_nbytes). Tasks stream their rows; a file is open only while its episode's rows come by."""
+    """Writes each episode's masks one after another into <episode>.bin, once, and returns the index (key, order, mask_offset,
+    mask_nbytes) as it is written beside them, in <folder>/index.
+
+    Tasks stream their rows; a file is open only while its episode's rows come by. It is written under a name of the attempt's
+    own and gets its name when it is whole, so attempts of one task, repeated or at a time, leave one and the same file.
+    A null mask has no bytes. Rows come to the writers as the offsets' window deals them, by episode: one shuffle.
+    """
+    from .stores import file_system
+
     size = F.coalesce(F.length(mask), F.lit(0)).cast("bigint")
     index = running_offset(masks.withColumn("mask_nbytes", size), [key], F.struct(*order), "mask_nbytes", "mask_offset")
-    rows = index.select(F.col(key).cast("string").alias(key), *order, "mask_offset", "mask_nbytes", mask).repartition(key).sortWithinPartitions(key, *order)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+    rows = index.select(F.col(key).cast("string").alias(key), *order, "mask_offset", "mask_nbytes", mask)
 
-        at, root = fs.FileSystem.from_uri(folder)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = file_system(folder)
         at.create_dir(root, recursive=True)
-        sink, now = None, None
-        for batch in batches:
-            for k, data in zip(batch[key], batch[mask], strict=True):
-                if sink is None or k != now:
-                    if sink:
-                        sink.close()
-                    sink, now = at.open_output_stream(f"{root}/{k}.bin", compression=None), k
-                sink.write(bytes(data) if data is not None else b"")
-            yield batch.drop(columns=mask)
-        if sink:
-            sink.close()
+        sink, now, attempt = None, None, ""
+
+        def close() -> None:
+            nonlocal sink
+            if sink:
+                sink.close()
+                at.move(attempt, f"{root}/{now}.bin")
+                sink = None
+
+        try:
+            for batch in batches:
+                data = batch.column(batch.num_columns - 1)
+                for k, episode in enumerate(batch.column(0).to_pylist()):
+                    if sink is None or episode != now:
+                        close()
+                        now, attempt = episode, f"{root}/.{episode}.{uuid.uuid4().hex}"
+                        sink = at.open_output_stream(attempt, compression=None)
+                    if data[k].is_valid:
+                        sink.write(data[k].as_buffer())
+                yield batch.select(batch.schema.names[:-1])
+            close()
+        finally:
+            if sink:  # the task has failed
+                sink.close()
+                at.delete_file(attempt)
 
     schema = T.StructType([f for f in rows.schema.fields if f.name != mask])
-    return rows.mapInPandas(write, schema)
+    rows.mapInArrow(write, schema).write.mode("overwrite").parquet(f"{folder}/index")
+    return masks.sparkSession.read.schema(schema).parquet(f"{folder}/index")
 
 
 def markdown(df: DataFrame, headers: Sequence[str] | None = None) -> Iterator[str]:

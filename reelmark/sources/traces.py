@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,8 +94,46 @@ def read_clips(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(stem("path").alias("clip"), "path", "length", "content")
 
 
-def read_mask_files(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """The index (file, mask_offset, mask_nbytes, ...) with each mask's bytes, cut from its file in the JVM."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(stem("path").alias("file"), F.col("content").alias("_all"))
-    cut = F.substring(F.col("_all"), (F.col("mask_offset") + 1).cast("int"), F.col("mask_nbytes").cast("int"))
-    return index.join(files, "file").withColumn("mask", cut).drop("_all")
+def read_mask_files(spark: SparkSession, path: str, index: DataFrame, *, span: int = 256 << 20, batch_bytes: int = 64 << 20) -> DataFrame:
+    """The index (file, mask_offset, mask_nbytes, ...) with each mask's bytes, read from <file>.bin in the folder.
+
+    Index rows are dealt by file and span of offsets and sorted by offset; a task opens a file once for a span and reads the
+    masks' ranges alone, so files may be of any size and none of their bytes are shuffled. Without offset or size a mask is
+    null; a file that isn't there, or ends before a mask does, fails the job.
+    """
+    from .stores import file_system
+
+    at_file, at_offset, at_size = (index.columns.index(c) for c in ("file", "mask_offset", "mask_nbytes"))
+    rows = index.repartition("file", F.floor(F.col("mask_offset") / span)).sortWithinPartitions("file", "mask_offset")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = file_system(path)
+        name, source = None, None
+
+        def mask(file, offset, size) -> bytes | None:
+            nonlocal name, source
+            if file is None or offset is None or size is None:
+                return None
+            if file != name:
+                if source:
+                    source.close()
+                name, source = file, at.open_input_file(f"{root}/{file}.bin")
+            data = source.read_at(size, offset)
+            if len(data) < size:
+                raise EOFError(f"{file}.bin ends before {offset + size}")
+            return data
+
+        for batch in batches:
+            wanted = list(zip(*(batch.column(k).to_pylist() for k in (at_file, at_offset, at_size)), strict=True))
+            began, held, got = 0, 0, []
+            for k, row in enumerate(wanted):
+                got.append(mask(*row))
+                held += len(got[-1] or b"")
+                if held >= batch_bytes or k + 1 == len(wanted):
+                    part = batch.slice(began, k + 1 - began)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*part.schema.names, "mask"])
+                    began, held, got = k + 1, 0, []
+        if source:
+            source.close()
+
+    return rows.mapInArrow(read, T.StructType([*index.schema.fields, T.StructField("mask", T.BinaryType())]))
