@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import FAILURE, SPLIT, SUCCESS
 from ..functions import tag_from
@@ -81,10 +82,30 @@ def prevalence_bars(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
     return summaries.select(*keys, F.explode(bars).alias("b")).select(*keys, "b.*")
 
 
+def distinct_values(df: DataFrame, keys: Sequence[str], value: str, *, first: int | None = None) -> DataFrame:
+    """(keys, n, values): how many distinct values a group has, and the `first` smallest of them (all without it), sorted.
+
+    Repeats go before anything is gathered, in two steps: by (keys, value), whatever share of the rows a group has, and then the
+    values left are counted. With `first` no more than so many of a group meet in one place. Nulls are no values.
+    """
+    once = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
+    counted = once.groupBy(*keys).agg(F.count("*").alias("n"))
+    if first is not None:
+        # A few rows of a group by each task: ranks within a slice of its values, then among what the slices leave.
+        sliced = once.withColumn("_slice", F.pmod(F.xxhash64(value), F.lit(64)))
+        once = sliced.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(value))).filter(F.col("_r") <= first)
+        once = once.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).filter(F.col("_r") <= first)
+    both = counted.select(*keys, "n", F.lit(None).cast(df.schema[value].dataType).alias("_v")).unionByName(once.select(*keys, F.lit(0).cast("bigint").alias("n"), F.col(value).alias("_v")))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("_v")).alias("values"))
+
+
 def in_use(df: DataFrame, keys: Sequence[str], mode: str, tracks: str) -> DataFrame:
-    """(keys, modes, n_tracks): the distinct modes, sorted, and how many distinct ids the arrays of ids hold."""
-    ids = F.size(F.array_distinct(F.flatten(F.collect_set(tracks))))
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(mode)).alias("modes"), ids.cast("bigint").alias("n_tracks"))
+    """(keys, modes, n_tracks): the distinct modes, sorted, and how many distinct ids the arrays of ids hold. Ids are made
+    distinct in their row and then by (keys, id), so that no group's arrays meet in one place; the modes are few."""
+    ids = df.select(*keys, F.lit(None).cast("string").alias("_mode"), F.explode(F.array_distinct(tracks)).alias("_id"))
+    modes = df.select(*keys, F.col(mode).cast("string").alias("_mode"), F.lit(None).cast(ids.schema["_id"].dataType).alias("_id"))
+    once = ids.unionByName(modes).distinct()
+    return once.groupBy(*keys).agg(F.array_sort(F.collect_list("_mode")).alias("modes"), F.count("_id").alias("n_tracks"))
 
 
 def summary(df: DataFrame, keys: Sequence[str], *, tag: str, late_tag: str, max_tag: str, label: str, score: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from operator import and_
+from itertools import groupby
+from operator import and_, itemgetter
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,78 @@ def score_episodes(episodes: DataFrame, make: Callable[[], FrameScorer], *, name
     return episodes.select("episode", "task", "frames").mapInPandas(run, "episode string, p_yes array<double>, error string")
 
 
+def score_frames(frames: DataFrame, make: Callable[[], FrameScorer], *, name: str, batch: int = 32) -> DataFrame:
+    """(episode, frame_idx, p_yes, error) of rows (episode, frame_idx, task, image): a row per frame.
+
+    Frames come to a worker sorted by episode and frame, and to the model `batch` at a time, across the borders of episodes, so
+    a task holds one batch of them, however long an episode is. make() is called once per worker. A model may have
+    score_batch(tasks, images); else score(task, images) is called for each episode of a batch.
+
+    If a batch fails, its episodes are scored one by one. An episode that fails, or has a frame without image, gets the error on
+    that stretch and on all its later frames, which the model doesn't see any more; no other episode loses a frame.
+    """
+    rows = frames.select(F.col("episode").cast("string").alias("episode"), F.col("frame_idx").cast("bigint").alias("frame_idx"), F.coalesce("task", F.lit("")).alias("task"), "image")
+    rows = rows.repartition("episode").sortWithinPartitions("episode", "frame_idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _LOADED:
+            _LOADED[name] = make()
+        scorer = _LOADED[name]
+        failed: tuple[str | None, str | None] = (None, None)  # the latest episode that failed: no earlier one comes again
+
+        def scored(some: list[tuple]) -> list[float]:
+            if hasattr(scorer, "score_batch"):
+                out = list(scorer.score_batch([task for _, _, task, _ in some], [image for *_, image in some]))
+            else:
+                out = [p for _, own in groupby(some, key=itemgetter(0)) for own in [list(own)] for p in scorer.score(own[0][2], [image for *_, image in own])]
+            if len(out) != len(some):
+                raise ValueError(f"{len(out)} scores of {len(some)} frames")
+            return [float(p) for p in out]
+
+        def results(some: list[tuple]) -> Iterator[tuple]:
+            nonlocal failed
+            fine = [r for r in some if r[0] != failed[0]]
+            try:
+                if any(image is None for *_, image in fine):
+                    raise ValueError("a frame without image")
+                p = scored(fine) if fine else []
+                both = {id(r): x for r, x in zip(fine, p, strict=True)}
+                yield from ((r[0], r[1], both.get(id(r)), None if id(r) in both else failed[1]) for r in some)
+            except Exception as e:  # noqa: BLE001  the error is the result
+                parts = [list(own) for _, own in groupby(some, key=itemgetter(0))]
+                if len(parts) > 1:
+                    for own in parts:
+                        yield from results(own)
+                else:
+                    failed = (some[0][0], f"{type(e).__name__}: {e}")
+                    yield from ((r[0], r[1], None, failed[1]) for r in some)
+
+        def emitted(some: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*results(some), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.float64(), pa.string()), strict=True)], names=["episode", "frame_idx", "p_yes", "error"])
+
+        waiting: list[tuple] = []
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                waiting += zip(*(part.column(k).to_pylist() for k in range(4)), strict=True)
+                while len(waiting) >= batch:
+                    yield emitted(waiting[:batch])
+                    del waiting[:batch]
+        if waiting:
+            yield emitted(waiting)
+
+    return rows.mapInArrow(run, "episode string, frame_idx bigint, p_yes double, error string")
+
+
+def frame_curves(scored: DataFrame) -> DataFrame:
+    """(episode, p_yes, error) of score_frames(): the curve in order of frames, or the first error with no curve."""
+    curve = F.array_sort(F.collect_list(F.struct("frame_idx", "p_yes")))["p_yes"]
+    error = F.min(F.when(F.col("error").isNotNull(), F.struct("frame_idx", "error")))["error"]
+    per = scored.groupBy("episode").agg(curve.alias("p_yes"), error.alias("error"))
+    return per.select("episode", F.when(F.col("error").isNull(), F.col("p_yes")).alias("p_yes"), "error")
+
+
 def run_counters(results: DataFrame) -> DataFrame:
     """(total, ok, failed) of score_episodes()."""
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))

@@ -151,9 +151,21 @@ def progress(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return out.withColumn("progress", F.coalesce(F.col("_pos") / F.nullif(F.col("_n") - 1, F.lit(0)), F.lit(0.0))).drop("_pos", "_n")
 
 
-def prefix_trace(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str = "trace") -> DataFrame:
-    """Adds the values of the sequence up to and with each frame."""
-    return df.withColumn(out, F.collect_list(value).over(up_to_here(keys, order)))
+def prefix_statistics(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Adds what is known of a value up to and with each frame: so_far, a struct of n, total, mean, least, most and first.
+
+    One state is carried along a sequence, so memory doesn't grow with its length; nulls don't count.
+    """
+    w = up_to_here(keys, order)
+    so_far = F.struct(F.count(value).over(w).alias("n"), F.sum(value).over(w).alias("total"), F.avg(value).over(w).alias("mean"), F.min(value).over(w).alias("least"), F.max(value).over(w).alias("most"), F.first(value, ignorenulls=True).over(w).alias("first"))
+    return df.withColumn("so_far", so_far)
+
+
+def prefix_trace(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str = "trace", *, last: int | None = None) -> DataFrame:
+    """Adds the values of the sequence up to and with each frame: the `last` ones of them, at most as many as a picture of the
+    trace shows. Without `last` all of them, which is quadratic in a sequence's length: for short ones alone."""
+    w = ordered(keys, order).rowsBetween(Window.unboundedPreceding if last is None else 1 - last, 0)
+    return df.withColumn(out, F.collect_list(value).over(w))
 
 
 def running_offset(df: DataFrame, keys: Sequence[str], order: str, size: str, out: str = "offset") -> DataFrame:

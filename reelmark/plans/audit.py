@@ -55,10 +55,11 @@ def audit_prevalence(audit: DataFrame) -> DataFrame:
     return ev.prevalence(audit.withColumn("tag", F.coalesce("pred_fused", "pred_vlm", "pred_seg")), [], "tag")
 
 
-def vetoes(audit: DataFrame) -> DataFrame:
-    """(n, episodes) of labelled episodes that the gripper record vetoed."""
+def vetoes(audit: DataFrame, *, first: int | None = None) -> DataFrame:
+    """(n, episodes) of labelled episodes that the gripper record vetoed: how many, and the `first` of them in order, as a
+    report shows them; all without it."""
     hit = audit.filter((F.col("geo_any_hold") == F.lit(False)) & F.col("label").isNotNull())
-    return hit.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("episode")).alias("episodes"))
+    return ev.distinct_values(hit, [], "episode", first=first).withColumnRenamed("values", "episodes")
 
 
 def audit_markdown(audit: DataFrame) -> Iterator[str]:

@@ -434,8 +434,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curve up to each frame: its length and sum."""
-    t = seq.prefix_trace(frames(spark, sf_dir), EP, "idx", "p")
-    return rounded(t.select("ep", "idx", F.size("trace").alias("n"), F.aggregate("trace", F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return rounded(seq.prefix_statistics(frames(spark, sf_dir), EP, "idx", "p").select("ep", "idx", "so_far.n", "so_far.total"))
 
 
 def first_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

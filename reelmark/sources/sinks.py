@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -31,6 +32,72 @@ def write_episodes(df: DataFrame, path: str, *, key: str = "episode", kind: str
     done.select(key).distinct().withColumn("complete", F.lit(True)).write.mode("overwrite").parquet(f"{path}/complete")
 
 
+def plain(value: Column, kind: T.DataType) -> Column:
+    """A value as documents hold it: NaN and infinities are null, fields of structs and keys of maps sorted by name, bytes as
+    base64; within arrays, maps and structs too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    if isinstance(kind, T.BinaryType):
+        return F.base64(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: plain(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(value))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], plain(e["value"], kind.valueType))))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[plain(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    return value
+
+
+def documents(df: DataFrame, *, key: str = "episode") -> DataFrame:
+    """(key, document): each row as a JSON text with its nesting, its fields sorted by name, nulls written out. Rows alike
+    have texts alike; from_json with the rows' schema is the way back, but that NaN is null and bytes are base64."""
+    fields = [plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    return df.select(F.col(key), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_files(files: DataFrame, folder: str, *, name: str = "name", data: str = "data") -> int:
+    """Writes each row's text or bytes as a file of the folder and returns how many. Names may hold sub-folders.
+
+    A file is written under a name of the attempt's own and then renamed, so repeated attempts leave whole files; files of other
+    names stay. Null data is an empty file. Rows are written by the tasks that hold them.
+    """
+    from .stores import file_system
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = file_system(folder)
+        at.create_dir(root, recursive=True)
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                target = f"{root}/{file}"
+                if "/" in file:
+                    at.create_dir(target.rpartition("/")[0], recursive=True)
+                attempt = f"{target.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with at.open_output_stream(attempt, compression=None) as f:
+                    if content.is_valid:
+                        f.write(content.as_buffer())
+                at.move(attempt, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select(F.col(name).cast("string"), F.col(data)).mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_documents(df: DataFrame, folder: str, *, key: str = "episode") -> int:
+    """Each row as <key>.json, as documents() makes them: what read_traces() reads. Returns how many."""
+    return write_files(documents(without_blobs(df), key=key).select(F.concat(F.col(key).cast("string"), F.lit(".json")).alias("name"), F.col("document").alias("data")), folder)
+
+
+def collect_artifacts(verdicts: DataFrame, folder: str, *, key: str = "episode") -> DataFrame:
+    """Every verdict with the files of its episode's sub-folder: (verdict columns, artifacts), an array of (path, length) by
+    path; empty without files. Files are listed, not read; those without a byte are left out. The folder must be there."""
+    files = verdicts.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    base = re.sub("^[a-z0-9]+:(//[^/]*)?", "", folder).rstrip("/")
+    own = files.select("path", "length", F.regexp_extract("path", rf"\Q{base}\E/([^/]+)/.+", 1).alias("_episode")).filter("_episode <> ''")
+    own = own.groupBy("_episode").agg(F.array_sort(F.collect_list(F.struct("path", "length"))).alias("artifacts"))
+    out = verdicts.join(own, F.col(key).cast("string") == F.col("_episode"), "left").drop("_episode")
+    return out.withColumn("artifacts", F.coalesce("artifacts", F.array().cast(own.schema["artifacts"].dataType)))
+
+
 def mask_text(mask: str = "mask") -> Column:
     """A packed mask as base64 text, for traces that hold no bytes; unbase64 is the way back."""
     return F.base64(mask)
