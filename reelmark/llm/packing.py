@@ -10,6 +10,7 @@ piece finds its sequence from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -26,18 +27,26 @@ from pyspark.sql.window import Window
 from .common import column, parts, written
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Marks cut off a word's ends: a run of them is one token part. The apostrophe, which begins contractions, is none.
+#: A Latin word (A-Z and the letters of U+00C0 to U+00FF) and the marks around it: a run of marks is one token part. The
+#: apostrophe, which begins contractions, is none.
 MARKS = string.punctuation.replace("'", "")
+LATIN = rf"^(?P<head>[{re.escape(MARKS)}]*)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[{re.escape(MARKS)}]*)$"
 _WORKER: dict = {}
 
 
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of the pool that begin at start, one after another."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordCache:
-    """Token ids of texts, looked up by the chunk between spaces.
+    """Token ids of texts, by the chunk between spaces.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its chunks in
-    order. Letters and the marks around them are tokens apart, so a chunk's letters are looked up without them. New
-    words of letters alone are encoded many at a time; each ends at an id whose piece is a word's end. A worker keeps
-    about `entries` chunks and twice as many words.
+    order. Letters and the marks around them are tokens apart, so Latin words are taken out of their marks: Arrow splits,
+    lower-cases and makes them distinct, and the tokenizer gets them many to a text, where each ends at an id whose piece is a
+    word's end. Chunks of other kinds are encoded one by one; a worker keeps about `entries` of those.
     """
 
     def __init__(self, path: str, entries: int = 250_000):
@@ -49,7 +58,7 @@ class WordCache:
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.entries, self.known, self.words, self.marks = entries, {"": b""}, {"": b""}, {"": b""}
+        self.entries, self.known, self.marks = entries, {"": b""}, {"": b""}
 
     def _each(self, some: list[str], into: dict[str, bytes]) -> None:
         for k in range(0, len(some), 20_000):
@@ -57,53 +66,62 @@ class WordCache:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 into[w] = np.array(e.ids, np.uint32).tobytes()
 
-    def _joined(self, words: list[str]) -> None:
-        """Words of lower-case letters, 4000 to a text."""
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of lower-case letters, one after another, and how many each has; 4000 words to a text."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for k in range(0, len(words), 4000):
             some = words[k : k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            own = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[own]) + 1
             if len(ends) != len(some):  # a letter that the tokenizer splits at
-                self._each(some, self.words)
-                continue
-            raw = ids.tobytes()
-            self.words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) > 2 * self.entries:
-            self.words = {"": b""}
-        # The tokenizer lower-cases letter by letter; str.lower() would make a capital sigma at a word's end another letter.
-        lower = [c.replace("Σ", "σ").lower() for c in new]
-        tails = [c.rstrip(MARKS) for c in lower]
-        cores = [c.lstrip(MARKS) for c in tails]
-        plain = [c.isalpha() and not any(s in low for s in self.special) for c, low in zip(cores, lower, strict=True)]
-        self._joined(list({c for c, ok in zip(cores, plain, strict=True) if ok}.difference(self.words)))
-        rows = [(c, t[: len(t) - len(core)], core, low[len(t) :]) for c, low, t, core, ok in zip(new, lower, tails, cores, plain, strict=True) if ok]
-        self._each(list({m for _, head, _, tail in rows for m in (head, tail)}.difference(self.marks)), self.marks)
-        words, marks = self.words, self.marks
-        self.known.update({c: marks[head] + words[core] + marks[tail] for c, head, core, tail in rows})
-        self._each([c for c, ok in zip(new, plain, strict=True) if not ok], self.known)
+                each: dict[str, bytes] = {}
+                self._each(some, each)
+                own, ends = np.frombuffer(b"".join(map(each.__getitem__, some)), np.uint32), np.cumsum([len(each[w]) // 4 for w in some])
+            ids.append(own)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _looked_up(self, texts: list[str], held: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text, one after another, and how many each has; what is not held is learned."""
+        self._each(list(set(texts).difference(held)), held)
+        found = list(map(held.__getitem__, texts))
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The unsigned 32-bit ids of all texts, one after another, and where each text begins (and the last ends).
-
-        Chunks are split off and made distinct by Arrow; Python sees a distinct chunk once, and numpy lays the ids out.
-        """
+        """The unsigned 32-bit ids of all texts, one after another, and where each text begins (and the last ends)."""
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = chunks.flatten().dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > self.entries:
-            self.known = {"": b""}
-        found = list(map(self.known.get, distinct))
-        self._learn([c for c, f in zip(distinct, found, strict=True) if f is None])
-        found = list(map(self.known.__getitem__, distinct))
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
-        each = size[which]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(start[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+        distinct, which = coded.dictionary, coded.indices.to_numpy()
+        taken = pc.extract_regex(distinct, LATIN)
+        latin = pc.is_valid(taken)
+        for s in self.special:
+            latin = pc.and_not(latin, pc.match_substring(distinct, s, ignore_case=True))
+        latin = latin.to_numpy(zero_copy_only=False)
+        # Three stretches a chunk, in one pool of ids: the marks before, the word, the marks behind. Other chunks are words.
+        start, size = np.zeros((len(distinct), 3), np.int64), np.zeros((len(distinct), 3), np.int64)
+        pools, held = [], 0
+
+        def lay(rows: np.ndarray, part: int, which: np.ndarray, pool: np.ndarray, sizes: np.ndarray) -> None:
+            nonlocal held
+            start[rows, part], size[rows, part] = (held + np.cumsum(sizes) - sizes)[which], sizes[which]
+            pools.append(pool)
+            held += len(pool)
+
+        rows = np.flatnonzero(latin)
+        own = taken.filter(pa.array(latin))
+        words = pc.utf8_lower(pc.struct_field(own, "word")).dictionary_encode()
+        lay(rows, 1, words.indices.to_numpy(), *self._words(words.dictionary.to_pylist()))
+        for part, name in ((0, "head"), (2, "tail")):
+            marks = pc.struct_field(own, name).dictionary_encode()
+            lay(rows, part, marks.indices.to_numpy(), *self._looked_up(marks.dictionary.to_pylist(), self.marks))
+        if max(len(self.known), len(self.marks)) > self.entries:
+            self.known, self.marks = {"": b""}, {"": b""}
+        rows = np.flatnonzero(~latin)
+        lay(rows, 1, np.arange(len(rows)), *self._looked_up(distinct.filter(pa.array(~latin)).to_pylist(), self.known))
+        each = size.sum(1)
+        flat = _gather(np.concatenate(pools), start.ravel(), size.ravel())
+        first, each_there = np.cumsum(each) - each, each[which]
+        return _gather(flat, first[which], each_there), np.concatenate([[0], np.cumsum(each_there)])[chunks.offsets.to_numpy()]
 
 
 def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
