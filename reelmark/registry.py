@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.table_sql import ORACLE_SQL
-from .plans.tables import QUERIES, final_verdict
+from .plans import exchange, table_sql, tables
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
+QUERIES = {**tables.QUERIES, **exchange.QUERIES}
+ORACLE_SQL = {**table_sql.ORACLE_SQL, **exchange.ORACLE_SQL}
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Fused verdicts of the smallest tables' episodes."""
-    return final_verdict(spark, "/root/testdata/sf0.001")
+    return tables.final_verdict(spark, "/root/testdata/sf0.001")

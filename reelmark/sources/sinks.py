@@ -42,7 +42,7 @@ def plain(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: plain(x, kind.elementType))
     if isinstance(kind, T.MapType):
-        entries = F.array_sort(F.map_entries(value))
+        entries = F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
         return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], plain(e["value"], kind.valueType))))
     if isinstance(kind, T.StructType):
         return F.when(value.isNotNull(), F.struct(*[plain(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))

@@ -369,6 +369,7 @@ class EpisodeWriter(DataSourceArrowWriter):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
         self.key, self.order, self.chunk = options.get("key", "episode"), options.get("order", "frame_idx"), int(options.get("chunk", 256))
         self.attributes = [a for a in options.get("attributes", "").split(",") if a]
+        self.strict = options.get("strict", "true") == "true"
 
     def _attempts(self, root: str) -> str:
         return f"{root}/_attempt-{self.job}"
@@ -435,7 +436,7 @@ class EpisodeWriter(DataSourceArrowWriter):
         faults = self._place(messages)
         for name in before.difference(e for m in messages if m for e in m.episodes):
             at.delete_dir(f"{root}/{name}")
-        if faults:
+        if faults and self.strict:
             raise ValueError("episodes not written: " + "; ".join(f"{e}: {why}" for e, why in sorted(faults.items())))
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -444,7 +445,8 @@ class EpisodeWriter(DataSourceArrowWriter):
 
 class EpisodeStore(DataSource):
     """format("episode_store"). Reading, option values is numbers (arrays of doubles) or blobs; frames_a_task bounds a
-    partition. Writing, options key, order, attributes (comma-separated) and chunk (rows of a chunk)."""
+    partition. Writing, options key, order, attributes (comma-separated), chunk (rows of a chunk) and strict (whether faults of
+    episodes fail the write)."""
 
     @classmethod
     def name(cls) -> str:
@@ -478,14 +480,15 @@ def read_arrays(spark: SparkSession, root: str, *, blobs: bool = False, frames_a
     return spark.read.format("episode_store").option("values", "blobs" if blobs else "numbers").option("frames_a_task", str(frames_a_task)).load(root)
 
 
-def write_store(frames: DataFrame, root: str, *, key: str = "episode", order: str = "frame_idx", attributes: Sequence[str] = (), chunk: int = 256, overwrite: bool = False) -> None:
+def write_store(frames: DataFrame, root: str, *, key: str = "episode", order: str = "frame_idx", attributes: Sequence[str] = (), chunk: int = 256, overwrite: bool = False, strict: bool = True) -> None:
     """Writes a row per frame as a store: binary columns as arrays of bytes, numbers and arrays of numbers as arrays of
     doubles. Attribute columns are taken from an episode's first row; total_frames, source_frames and fps are added.
 
     Episodes in the rows replace those of their name; the others stay unless overwrite is set. read_episode_store() tells which
-    are complete, and loading.skip_completed() leaves them out.
+    are complete, and loading.skip_completed() leaves them out. An episode with a fault isn't written; once the others are
+    complete, the write fails for it, or not if not strict.
     """
     register_stores(frames.sparkSession)
     rows = frames.repartition(key).sortWithinPartitions(key, order)
-    options = {"key": key, "order": order, "attributes": ",".join(attributes), "chunk": str(chunk)}
+    options = {"key": key, "order": order, "attributes": ",".join(attributes), "chunk": str(chunk), "strict": str(strict).lower()}
     rows.write.format("episode_store").options(**options).mode("overwrite" if overwrite else "append").save(root)

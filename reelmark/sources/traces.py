@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from ..constants import CLIP_SUFFIXES
 from ..functions import label_of, numeric
+from ..operators.presets import apply_preset
 from ..schemas import BULK_FRAMES, CATALOG, EPISODE_ATTRIBUTES, EPISODE_STORE, GEO_TRACE, SEG_TRACE, VLM_TRACE, parsed
 
-__all__ = ["TRACES", "read_bulk_frames", "read_catalog", "read_clips", "read_episode_store", "read_mask_files", "read_model_traces", "read_traces", "stem"]
+__all__ = ["TRACES", "read_bulk_frames", "read_catalog", "read_clips", "read_episode_store", "read_mask_files", "read_model_traces", "read_preset", "read_traces", "stem"]
 
 #: The kinds of traces and their schemas.
 TRACES = {"seg": SEG_TRACE, "vlm": VLM_TRACE, "geo": GEO_TRACE}
@@ -43,15 +44,15 @@ def read_traces(spark: SparkSession, path: str, kind: str, *, strict: bool = Fal
     schema = parsed(TRACES[kind])
     if not _present(spark, path):
         return spark.createDataFrame([], schema)
-    reader = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json")
     if strict:
-        raw = reader.option("mode", "FAILFAST").schema(schema).json(path)
+        raw = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").option("mode", "FAILFAST").schema(schema).json(path)
+        out = raw.withColumn("episode", stem(file_path()))
     else:
+        # Parsed from its text, a file is known to be bad whatever columns are asked for.
         bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-        raw = reader.option("mode", "PERMISSIVE").schema(bad).json(path)
-    out = raw.withColumn("episode", stem(file_path()))
-    if not strict:
-        out = out.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+        parsed_ = raw.select(F.from_json("value", bad, {"mode": "PERMISSIVE"}).alias("r"), stem(file_path()).alias("_stem"))
+        out = parsed_.filter("r is not null and r._corrupt_record is null").select("r.*", "_stem").withColumn("episode", F.col("_stem")).drop("_corrupt_record", "_stem")
     return out.withColumn("label", label_of("label", "task_name")) if {"label", "task_name"} <= set(schema.names) else out
 
 
@@ -88,6 +89,12 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOG).parquet(path)
 
 
+def read_preset(spark: SparkSession, path: str, presets: Mapping[str, Sequence[Column]], name: str) -> DataFrame:
+    """The catalog's episodes that a named preset picks, with where they are: its filters reach the scan. An unknown name is
+    an error that lists the presets."""
+    return apply_preset(read_catalog(spark, path), presets, name)
+
+
 def read_clips(spark: SparkSession, path: str) -> DataFrame:
     """(clip, path, length, content) of the video files of a folder; content is read only if it is selected."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(CLIP_SUFFIXES) + "}").load(path)
