@@ -77,9 +77,12 @@ def placement(frames: DataFrame, keys: Sequence[str], order: str, *, x: str = "c
 
 def seg_features(traces: DataFrame, key: str = "episode") -> DataFrame:
     """The placement features of segmentation traces, plus cup_track_ids, how many ids the cup had. An episode
-    without frames has no row."""
-    ids = F.size(F.array_distinct(F.flatten(F.collect_list("cup_ids")))).alias("cup_track_ids")
-    return placement(frame_tracks(explode_frames(traces, keep=(key,))), [key], "frame_idx", extra=[ids])
+    without frames has no row. Only ids that the frame before lacks are gathered: a few of an episode, not all its frames'."""
+    before = F.lag("cup_ids").over(seq.ordered([key], "frame_idx"))
+    new = F.array_except("cup_ids", F.coalesce(before, F.array().cast("array<int>")))
+    frames = frame_tracks(explode_frames(traces, keep=(key,))).withColumn("_new", new)
+    ids = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("_new") > 0, F.col("_new")))))).alias("cup_track_ids")
+    return placement(frames, [key], "frame_idx", extra=[ids])
 
 
 def mask_summary(pixels: DataFrame, keys: Sequence[str], x: str, y: str, on: str) -> DataFrame:

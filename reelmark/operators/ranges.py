@@ -8,6 +8,7 @@ driver; results don't depend on them.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 
 def cut_points(df: DataFrame, order: str, ranges: int | None = None) -> list:
     """Quantiles of a column of numbers or times, ascending, that cut it into `ranges` ranges of like numbers of rows;
-    one that many rows have comes several times."""
+    one that many rows have comes several times. A job runs here, while a query is made."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n < 2:
         return []
@@ -30,7 +31,7 @@ def range_of(order: str, cuts: Sequence) -> Column:
     once = sorted(set(cuts))
     if not once:
         return F.lit(0)
-    often = [c for c in once if list(cuts).count(c) > 1]
+    often = [c for c, n in Counter(cuts).items() if n > 1]
     steps = F.lit([1 << k for k in reversed(range(len(once).bit_length()))])
     x, held = F.col(order), F.lit(once)
     below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < x, at + step).otherwise(at))

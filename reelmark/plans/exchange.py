@@ -159,16 +159,24 @@ def nested_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(ep(), "n", "saucer_tracked", "cup_present_end", "cup_on_saucer", "seg_score", "seg_mode", "cup_track_ids"))
 
 
-def trace_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three folders of traces, calibrated and fused: the whole audit from documents."""
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = {n: shared_folder(spark, n) for n in ("vlm", "seg", "geo")}
     sinks.write_documents(_vlm_documents(spark, sf_dir).drop("first_kind"), roots["vlm"])
     sinks.write_documents(_seg_documents(spark, sf_dir), roots["seg"])
     geo = frames(spark, sf_dir).groupBy(F.col("ep").cast("string").alias("episode")).agg((F.max("k") > 96).alias("any_hold"), F.count_if(F.col("kind") == "error").cast("int").alias("total_slips"))
     geo = geo.select("episode", F.struct(F.struct("any_hold", F.lit(False).alias("handover_detected"), "total_slips").alias("bimanual")).alias("features"))
     sinks.write_documents(geo, roots["geo"])
-    got = audit.fused_audit(*(read_traces(spark, roots[n], n, strict=True) for n in roots))
-    return rounded(got.select(ep(), "label", "vlm_p_done_late", "seg_seg_score", "geo_any_hold", "geo_total_slips", "threshold", "fused_score", "pred_fused"))
+    return audit.fused_audit(*(read_traces(spark, roots[n], n, strict=True) for n in roots))
+
+
+def trace_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three folders of traces, calibrated and fused: the whole audit from documents."""
+    return rounded(_audit(spark, sf_dir).select(ep(), "label", "vlm_p_done_late", "seg_seg_score", "geo_any_hold", "geo_total_slips", "threshold", "fused_score", "pred_fused"))
+
+
+def trace_audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three criteria of that audit against its labels."""
+    return rounded(audit.audit_scores(_audit(spark, sf_dir)))
 
 
 def trace_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +283,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    store_arrays, store_range, store_blobs, store_resume, mask_sidecars, traces_lenient, traces_strict, model_traces, nested_tracks, trace_audit, trace_clips, audit_documents, artifacts,
+    store_arrays, store_range, store_blobs, store_resume, mask_sidecars, traces_lenient, traces_strict, model_traces, nested_tracks, trace_audit, trace_audit_scores, trace_clips, audit_documents, artifacts,
     frame_scores, modes_in_use, bulk_frames, catalog_preset, contact_cells, report_lines,
 )}
 
@@ -289,6 +297,11 @@ _PLACED = f"""{SEG}, v AS (SELECT ep, idx, bx, by_ FROM boxes WHERE bx IS NOT NU
 l AS (SELECT b.ep, b.idx, b.n, b.q, b.kind <> 'error' AS there, b.cx, b.cy, coalesce(v.bx, z.zx) AS x, coalesce(v.by_, z.zy) AS y
       FROM boxes b ASOF LEFT JOIN v ON b.ep = v.ep AND b.idx >= v.idx LEFT JOIN z ON b.ep = z.ep),
 placed AS (SELECT ep, max(n) AS n, avg(CASE WHEN there THEN 1.0::DOUBLE ELSE 0.0 END) AS present, avg(CASE WHEN there AND cx BETWEEN x - 90 AND x + 90 AND cy BETWEEN y - 90 AND y + 90 THEN 1.0::DOUBLE ELSE 0.0 END) AS s FROM l WHERE idx >= n - q GROUP BY ep)"""
+_AUDIT = f"""{COUNTED}, {LATE}, {_FIRST}, {_PLACED}, t AS (SELECT quantile_cont(late, 0.5) AS t FROM late),
+  holds AS (SELECT ep, max(k) > 96 AS any_hold, count(*) FILTER (kind = 'error') AS slips FROM frames GROUP BY ep),
+  joined AS (SELECT late.ep, {_LABEL} AS label, late, s, any_hold, slips, t, ((CASE WHEN late > t THEN 0.5 ELSE 0.0 END) + 0.5 * least(1.0, late / (2 * t)) + s) / 2 AS mean
+             FROM late JOIN placed p ON late.ep = p.ep JOIN holds h ON late.ep = h.ep JOIN firsts f ON late.ep = f.ep, t),
+  audit AS (SELECT *, CASE WHEN any_hold THEN mean ELSE 0.0 END AS fused FROM joined)"""
 
 ORACLE_SQL = {
     "store_arrays": f"WITH {FRAMES} {_ARRAYS}",
@@ -311,13 +324,15 @@ ORACLE_SQL = {
       SELECT ep, model, n, round(late, 6) AS p_done_late, CASE WHEN late > 0.6 THEN 'success' ELSE 'failure' END AS tag FROM s""",
     "nested_tracks": f"""WITH {COUNTED}, {_PLACED}, t AS (SELECT ep, count(DISTINCT k % 3) + 1 AS ids FROM frames GROUP BY ep)
       SELECT p.ep, n, true AS saucer_tracked, round(present, 6) AS cup_present_end, round(s, 6) AS cup_on_saucer, round(s, 6) AS seg_score, 'cup_on_saucer' AS seg_mode, ids AS cup_track_ids FROM placed p JOIN t ON p.ep = t.ep""",
-    "trace_audit": f"""WITH {COUNTED}, {LATE}, {_FIRST}, {_PLACED}, t AS (SELECT quantile_cont(late, 0.5) AS t FROM late),
-      g AS (SELECT ep, max(k) > 96 AS any_hold, count(*) FILTER (kind = 'error') AS slips FROM frames GROUP BY ep),
-      j AS (SELECT late.ep, first, late, s, any_hold, slips, t, ((CASE WHEN late > t THEN 0.5 ELSE 0.0 END) + 0.5 * least(1.0, late / (2 * t)) + s) / 2 AS mean
-            FROM late JOIN placed p ON late.ep = p.ep JOIN g ON late.ep = g.ep JOIN firsts f ON late.ep = f.ep, t),
-      f AS (SELECT *, CASE WHEN any_hold THEN mean ELSE 0.0 END AS fused FROM j)
-      SELECT ep, {_LABEL} AS label, round(late, 6) AS vlm_p_done_late, round(s, 6) AS seg_seg_score, any_hold AS geo_any_hold, slips AS geo_total_slips, round(t, 6) AS threshold, round(fused, 6) AS fused_score,
-        CASE WHEN fused >= 0.5 THEN 'success' ELSE 'failure' END AS pred_fused FROM f""",
+    "trace_audit": f"""WITH {_AUDIT}
+      SELECT ep, label, round(late, 6) AS vlm_p_done_late, round(s, 6) AS seg_seg_score, any_hold AS geo_any_hold, slips AS geo_total_slips, round(t, 6) AS threshold, round(fused, 6) AS fused_score,
+        CASE WHEN fused >= 0.5 THEN 'success' ELSE 'failure' END AS pred_fused FROM audit""",
+    "trace_audit_scores": f"""WITH {_AUDIT}, x AS (
+        SELECT 'vlm' AS criterion, label, CASE WHEN late > t THEN 'success' ELSE 'failure' END AS pred, late AS score FROM audit UNION ALL
+        SELECT 'seg', label, CASE WHEN s >= 0.5 THEN 'success' ELSE 'failure' END, s FROM audit UNION ALL SELECT 'fused', label, CASE WHEN fused >= 0.5 THEN 'success' ELSE 'failure' END, fused FROM audit),
+      y AS (SELECT * FROM x WHERE label IS NOT NULL), a AS (SELECT criterion, count(*) AS n, avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy FROM y GROUP BY 1),
+      c AS (SELECT p.criterion, avg(CASE WHEN p.score > q.score THEN 1.0::DOUBLE WHEN p.score = q.score THEN 0.5 ELSE 0.0 END) AS auroc FROM y p JOIN y q ON p.criterion = q.criterion AND p.label = 'success' AND q.label = 'failure' GROUP BY 1)
+      SELECT a.criterion, n, round(accuracy, 6) AS accuracy, round(auroc, 6) AS auroc FROM a LEFT JOIN c ON a.criterion = c.criterion""",
     "trace_clips": f"""WITH {FRAMES}, l AS (SELECT ep, arg_max(kind, idx) AS kind, count(*) AS n FROM frames GROUP BY ep)
       SELECT ep, CASE kind WHEN 'error' THEN NULL WHEN 'click' THEN NULL WHEN 'view' THEN ep || '.avi' ELSE ep || '.mp4' END AS clip, CASE WHEN kind IN ('error', 'click') THEN NULL ELSE n END AS n_bytes FROM l""",
     "audit_documents": f"""WITH {FRAMES} SELECT ep, count(*) AS n, round(avg(p) FILTER (kind = 'view'), 6) AS view, round(avg(p) FILTER (kind = 'error'), 6) AS error,

@@ -17,6 +17,7 @@ from ..operators import detections as det
 from ..operators import evaluation as ev
 from ..operators import fusion, gripper, loading, presets, ranges
 from ..operators import sequence as seq
+from ..sources.shared import kept
 from . import audit
 
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -150,9 +151,11 @@ def signal_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibrated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.spine({"vlm": late_signal(spark, sf_dir), "seg": order_signal(spark, sf_dir), "geo": customer_signal(spark, sf_dir)}, "ep")
+    """The late scores, a row per episode, are kept: they are fused, and calibrated by their median."""
+    late = kept(late_signal(spark, sf_dir), "late")
+    rows = fusion.spine({"vlm": late, "seg": order_signal(spark, sf_dir), "geo": customer_signal(spark, sf_dir)}, "ep")
     flat = rows.select("ep", "vlm.late", "seg.seg_score", "geo.any_hold")
-    return rounded(fusion.calibrated_fusion(flat, late="late", seg="seg_score", any_hold="any_hold", threshold=fusion.calibration(late_signal(spark, sf_dir), "late")))
+    return rounded(fusion.calibrated_fusion(flat, late="late", seg="seg_score", any_hold="any_hold", threshold=fusion.calibration(late, "late")))
 
 
 def report_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
