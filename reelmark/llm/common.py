@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: The folders made so far, for kept_alone.
-_MADE: list[str] = []
+#: The folders that kept_alone() is told of: its own list, in each thread or task that runs one.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -29,7 +30,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    _MADE.append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -54,15 +57,19 @@ def discard(df: DataFrame) -> None:
 
 def kept_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
     """make()'s rows, written; what was written on the way to them is deleted then, also if it fails."""
-    since = len(_MADE)
+    made: list[str] = []
+    outer = _MADE.set(made)
     out = None
     try:
         out = written(make(), label)
     finally:
-        for path in _MADE[since:]:
+        _MADE.reset(outer)
+        for path in made:
             if out is None or path != out.scratch:
                 _delete(spark, path)
-        del _MADE[since:]
+    above = _MADE.get()
+    if above is not None:
+        above.append(out.scratch)
     return out
 
 

@@ -85,8 +85,19 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 6000) -> list[tuple]:
-    """(label, buckets, weights) of a bounded sample: the `rows` labelled training ids with the smallest hashes.
+def drawn(buckets: np.ndarray, counts: np.ndarray, seed: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` of the buckets with their counts, in order; which ones is as good as random, and depends on the seed."""
+    if len(buckets) <= most:
+        return buckets, counts
+    mixed = (buckets.astype(np.uint64) + np.uint64(seed % 2**64) * MULT[1]) * MULT[2]
+    kept = np.sort(np.argpartition((mixed ^ (mixed >> np.uint64(29))) * MULT[3], most)[:most])
+    return buckets[kept], counts[kept]
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 6000, buckets: int = 4096) -> list[tuple]:
+    """(label, buckets, weights) of a bounded sample: the `rows` labelled training ids with the smallest hashes, and of each
+    text `buckets` of its distinct buckets at most, drawn by a hash with the id in it. So the driver gets 8 * buckets bytes
+    a row and no more, 197 MB as it is, however long the texts.
 
     Of an id with several labels the larger counts, of an id with several texts the one of the smallest hash; so `rows` is
     a bound whatever repeats. Null ids and labels other than 0 and 1 teach nothing, nor do texts without a word. An empty
@@ -96,7 +107,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, train: Column, *, id_col
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [np.unique(features(t), return_counts=True) for t in pdf["_text"]]
+            found = [drawn(*np.unique(features(t), return_counts=True), i, buckets) for t, i in zip(pdf["_text"], pdf["_id"], strict=True)]
             yield pd.DataFrame({"label": pdf["_label"], "id": pdf["_id"], "buckets": [b.astype(np.int32).tobytes() for b, _ in found], "counts": [c.astype(np.float32).tobytes() for _, c in found]})
 
     # The chosen rows are at most `rows` ids.

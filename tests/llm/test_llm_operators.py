@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import brute
@@ -20,7 +21,7 @@ from reelmark.llm.line_dedup import PerfectHash, dedup_lines, folded, perfect_fo
 from reelmark.llm.near_duplicates import near_duplicate_components, prefix, shingle_set
 from reelmark.llm.neighbours import balanced_parts, nearest, neighbour_graph
 from reelmark.llm.packing import Sums, WordCache, pack, pack_documents, plan
-from reelmark.llm.quality import features, sample_features, score, train_model
+from reelmark.llm.quality import drawn, features, sample_features, score, train_model
 from reelmark.llm.queries import tokenizer_path
 from reelmark.llm.suffix_dedup import SuffixLevels, remove_repeats
 from reelmark.llm.warc import WarcError, read_warc, record, records, write_warc
@@ -408,6 +409,35 @@ def test_quality_learns(spark, odd_docs, no_docs):
     assert score(odd_docs, untaught).select("quality_score").distinct().collect() == [(0.5,)]
 
 
+def test_the_sample_is_bounded_in_bytes(spark):
+    """Long texts give as many buckets as they may, others all of theirs."""
+    rng = random.Random(8)
+    docs = [(k, " ".join(random_words(rng, 30_000 if k % 2 else 50, 50_000))) for k in range(12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id bigint, quality int")
+    sample = sample_features(df, labels, F.lit(True), buckets=1000)
+    for label, buckets, weights in sample:
+        assert len(buckets) == len(weights) and (len(buckets) == 1000 if label else len(buckets) < 1000) and abs(weights.sum() - 1) < 1e-5
+    whole = {label: set() for label in (0, 1)}
+    for k, t in docs:
+        whole[k % 2] |= set(features(t).tolist())
+    assert all(set(b.tolist()) <= whole[label] for label, b, _ in sample)
+    assert len({tuple(b[:5]) for label, b, _ in sample if label}) == 6
+    assert drawn(np.arange(9), np.ones(9), 2**63 - 1, 4)[0].size == 4 and drawn(np.arange(9), np.ones(9), -5, 9)[0].size == 9
+    # 6000 such rows, as the query takes them, are under 500 MB.
+    assert 6000 * 4096 * 8 < 500e6
+
+
+def test_scores_against_a_plain_sum(spark, odd_docs):
+    """A document's score is that of the mean of its buckets' numbers, taken one by one."""
+    rng = np.random.default_rng(4)
+    model = rng.normal(size=(1 << 18) + 1).astype(np.float32)
+    for r in score(odd_docs.drop("quality_score"), model).collect():
+        own = features(r["text"]).tolist()
+        z = float(model[-1]) + (math.fsum(float(model[b]) for b in own) / len(own) if own else 0.0)
+        assert math.isclose(r["quality_score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_features_of_spans():
     text = " ".join(random_words(random.Random(1), 60_000))
     assert len(features(None)) == 0 == len(features(" \n")) and len(features(text)) > 100_000
@@ -666,3 +696,27 @@ def test_intermediate_tables_go(spark):
     kept_alone(spark, lambda: dedup_lines(docs), "again")
     assert [n for n in {p.name for p in root.iterdir()} - before if not n.startswith("again")] == []
     assert out.count() == 9
+
+
+def test_two_at_a_time_leave_each_other_alone(spark):
+    """While one call is at work, another begins and ends, and cleans up."""
+    import threading
+
+    from reelmark.llm.common import kept_alone, written
+
+    docs = spark.createDataFrame([(i, f"line of number {i % 3}") for i in range(9)], "doc_id bigint, text string")
+    begun, go, out = threading.Event(), threading.Event(), {}
+
+    def slow():
+        mid = written(docs, "mid")
+        begun.set()
+        go.wait(60)
+        return mid.filter("doc_id > 2")
+
+    first = threading.Thread(target=lambda: out.update(first=kept_alone(spark, slow, "first")))
+    first.start()
+    begun.wait(60)
+    out["second"] = kept_alone(spark, lambda: written(docs, "mid").filter("doc_id > 4"), "second")
+    go.set()
+    first.join(120)
+    assert out["first"].count() == 6 and out["second"].count() == 4
