@@ -6,20 +6,25 @@ words, holds the least distance of such a block from a pattern's end, and lets t
 blocks of no pattern; a block with shift zero selects, by the hash of the suffix, the bucket of patterns ending in it, and
 direct comparison confirms. Patterns are places in the items' words, so a table takes some 40 bytes a word.
 
-The item table is read in blocks of bounded size, each a broadcast and a pass over the documents; documents are
-never shuffled with patterns.
+The item table is cut into blocks of bounded size. Tasks make their tables and write them to the shared folder; tasks that
+search read them one after another for the texts they hold, so documents are read once and neither shuffled nor rewritten.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, map_columns, without, written
+from .common import column, map_columns, shared_dir, without
 
 #: A-Z to a-z; everything that is neither letter, digit nor beyond ASCII to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -125,52 +130,86 @@ class Matchers:
         return hit, found
 
 
-def find_items(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, held_bytes: int = 32 << 20) -> DataFrame:
     """Every column of docs, plus n_words, hit_words (places, sorted) and items (ids as strings, sorted).
 
     Null and empty texts have no words; an item with a null id is looked for under the id "null", one without words hits
     nothing, and repeated items are one. Repeated rows are each searched, whatever their ids, which are not read. An empty
-    table gives no rows, an empty item table no hits. Items are taken in blocks of about block_bytes of text, a pass over
-    the documents each; an item is in one block, so a single longer one makes a block of its size. Input columns of the
-    added names, in any case, are replaced; all others stay, whatever their names.
+    table gives no rows, an empty item table no hits. Input columns of the added names, in any case, are replaced; all others
+    stay, whatever their names. A text is searched whole, however long, in one task.
+
+    Items are dealt into blocks of about block_bytes of text, whose tables tasks make and write to the shared folder; an item is
+    in one block, so a single longer one makes a block of its size. There is one pass over the documents, whatever the number of
+    blocks: a task holds about held_bytes of texts (one at least) and one block's tables at a time.
     """
     docs = without(docs, "n_words", "hit_words", "items")
     keyed = items.select(F.coalesce(column(item_col).cast("string"), F.lit("null")).alias("item"), column(item_text_col).cast("binary").alias("text"))
     size = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out, before = docs, None
-    for k in range(blocks):
-        part = keyed.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about block_bytes
-        tables = docs.sparkSession.sparkContext.broadcast(Matchers([tuple(r) for r in part], width))
-        out = _search(out, tables, text_col, k == 0)
-        if k < blocks - 1:  # the pass is done before the next block's tables are made
-            out = written(out, "hits")
-            tables.destroy()
-            if before is not None:
-                discard(before)
-            before = out
-    return out
-
-
-def _search(docs: DataFrame, tables, text_col: str, first: bool) -> DataFrame:
-    """A pass with a block's tables; hits add to those of the passes before."""
-    added = ("n_words", "hit_words", "items")
-    own = len(docs.columns) - (0 if first else len(added))
+    folder = shared_dir(docs.sparkSession, "tables")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, root = FileSystem.from_uri(folder)
+        at.create_dir(root, recursive=True)
+        block, attempt = int(pdf["block"].iloc[0]), f"{root}/.{uuid.uuid4().hex}"
+        with at.open_output_stream(attempt, compression=None) as f:
+            f.write(pickle.dumps(Matchers(list(zip(pdf["item"], pdf["text"], strict=True)), width), protocol=5))
+        at.move(attempt, f"{root}/{block}")
+        return pd.DataFrame({"block": [block]})
+
+    made = keyed.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(build, "block int")
+    return _search(docs, folder, sorted(r["block"] for r in made.collect()), text_col, held_bytes)
+
+
+#: The tables that this worker has read last, by folder and block.
+_TABLES: dict[tuple[str, int], Matchers] = {}
+
+
+def _tables(folder: str, block: int) -> Matchers:
+    if (folder, block) not in _TABLES:
+        _TABLES.clear()
+        at, root = FileSystem.from_uri(folder)
+        with at.open_input_file(f"{root}/{block}") as f:
+            _TABLES[folder, block] = pickle.loads(f.read())
+    return _TABLES[folder, block]
+
+
+def _search(docs: DataFrame, folder: str, blocks: list[int], text_col: str, held_bytes: int) -> DataFrame:
+    """A pass over the documents with every block's tables."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = tables.value.search
-        for batch in batches:
-            n_words, hits, items = [], [], []
-            before = [batch.column(k).to_pylist() for k in (-2, -1)] if not first else [[None] * batch.num_rows] * 2
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            for text, hit, item in zip(texts, *before, strict=True):
-                words = words_of(text or b"")
-                more, owners = search(words)
-                n_words.append(len(words))
-                hits.append(sorted(more.union(hit or ())))
-                items.append(sorted(owners.union(item or ())))
-            cols = batch.columns[:own]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:own], *added])
-
-    return map_columns(docs, run, "n_words bigint, hit_words array<int>, items array<string>", keep=lambda c: first or c not in added)
+        order = blocks
+        for part in _parts(batches, at, held_bytes):
+            texts = part.column(at).cast(pa.binary()).to_pylist()
+            n_words, hits, items = [len(words_of(t or b"")) for t in texts] if not order else [0] * len(texts), [set() for _ in texts], [set() for _ in texts]
+            for block in order:
+                search = _tables(folder, block).search
+                for k, text in enumerate(texts):
+                    words = words_of(text or b"")
+                    hit, owners = search(words)
+                    n_words[k] = len(words)
+                    hits[k] |= hit
+                    items[k] |= owners
+            order = order[::-1]  # the tables at hand come first
+            new = [pa.array(n_words, pa.int64()), pa.array(map(sorted, hits), pa.list_(pa.int32())), pa.array(map(sorted, items), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "n_words", "hit_words", "items"])
+
+    return map_columns(docs, run, "n_words bigint, hit_words array<int>, items array<string>")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches whose texts have about `most` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy()
+        bounds = np.flatnonzero(np.diff((size + np.cumsum(sizes)) // most, prepend=size // most)).tolist()
+        begin = 0
+        for end in bounds:
+            held.append(batch.slice(begin, end + 1 - begin))
+            yield pa.concat_batches(held)
+            held, begin = [], end + 1
+        held.append(batch.slice(begin))
+        size += int(sizes.sum())
+    if sum(b.num_rows for b in held):
+        yield pa.concat_batches(held)

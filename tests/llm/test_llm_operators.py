@@ -224,6 +224,10 @@ def test_hits_in_blocks(spark, odd_docs):
     want = key((i, n, h, f) for i, n, h, f in brute.hits(pairs(odd_docs), big))
     got = key((r["doc_id"], r["n_words"], r["hit_words"], r["items"]) for r in find_items(odd_docs, df, block_bytes=20_000).collect())
     assert got == want
+    for held in (1, 1000):
+        out = find_items(odd_docs, df, block_bytes=2000, held_bytes=held)
+        assert key((r["doc_id"], r["n_words"], r["hit_words"], r["items"]) for r in out.collect()) == want
+        assert "Scan" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "hits" in x)  # no table of the documents is written
 
 
 def test_wu_manber_finds_what_a_scan_finds():
