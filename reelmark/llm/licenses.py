@@ -216,7 +216,7 @@ def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, thre
     meets, sorted and distinct; score is 1 where a phrase stands, else the largest containment, else 0. Null texts are
     empty. Rows of one id, repeated ones too, share the template labels; rows with a null id get none of them. Of
     places or notices alike in all (ties) each counts. An empty table gives no rows. Extra columns, of whatever name, are
-    ignored.
+    ignored. Very long texts are cut into words whole, and into segments for the notices.
     """
     docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     text = F.col("text")

@@ -381,7 +381,8 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     Null, empty and wordless texts have no shingles and are their own component. Ids are whole numbers (text of digits
     counts as one); rows with a null id, or one that is no number, take no part and are not returned. Repeated rows
     return a row each; rows of one id with different texts link the id with all that either of them links. An empty table
-    gives no rows. Extra columns, of whatever name, are ignored.
+    gives no rows. Extra columns, of whatever name, are ignored. A text is taken whole, however long: a task holds its
+    shingles' hashes, some eight bytes a word, at a time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.expr(f"try_cast({quoted(id_col)} as bigint)").alias("doc_id"), column(text_col).cast("binary").alias("text")).filter("doc_id is not null")

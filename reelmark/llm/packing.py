@@ -307,6 +307,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, en
     Null and empty texts are one piece that holds end_id alone. Rows with a null id are packed under it, and repeated rows
     give their pieces each; which of several equal pieces (a tie) takes which place is open, but every place is taken
     once. An empty table gives no rows. Extra columns, of whatever name, are ignored. Special pieces of the tokenizer that
-    stand in a text are the ids that the tokenizer gives them.
+    stand in a text are the ids that the tokenizer gives them. A very long text is tokenized whole, in one task.
     """
     return pack(written(token_pieces(docs, tokenizer_path, size=size, end_id=end_id, id_col=id_col, text_col=text_col), "pieces"), size=size)

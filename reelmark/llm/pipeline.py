@@ -2,6 +2,7 @@
 
 A stage takes (spark, docs, sf_dir), docs being what the one before kept, and returns a DataFrame. All but the last return
 the columns of docs, whatever further ones there are and whatever their names. An empty table goes through every stage.
+Very long texts are taken whole by all of them, one at a time in a task.
 """
 
 from __future__ import annotations

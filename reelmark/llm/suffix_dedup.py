@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Null texts are empty, and texts shorter than `length` lose nothing, however long the others are. Of copies (a tie) the
     smallest id keeps its text. Rows of one id, repeated ones too, are one document to others and are each rewritten;
     rows with a null id neither count nor return. An empty table gives no rows. Extra columns, of whatever name, are
-    ignored.
+    ignored. A very long text is cut into runs of places for the shards; it is whole in the tasks that cut and rewrite it.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")

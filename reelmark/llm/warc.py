@@ -158,7 +158,7 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     Null bodies are empty payloads, null urls empty URIs; rows with equal ids are each written, and all but the largest
     id among equal payloads are revisits; a null id is written as the id "null", is never a revisit and never answers for
     others. Ids are whole numbers of any size or text, and stay exact. An empty table gives no archive. Further columns,
-    of whatever name, are ignored.
+    of whatever name, are ignored. A very long body is one record, which may make an archive of its size.
     """
     spark = pages.sparkSession
     out = shared_dir(spark, "warc")
