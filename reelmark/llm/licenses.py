@@ -22,10 +22,10 @@ from functools import reduce
 from operator import or_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,14 +126,6 @@ def phrase_places(own: Column, text: Column, phrases=PHRASES) -> Column:
     return F.concat(*(places(*x) for x in phrases))
 
 
-def word_order(docs: DataFrame, vocabulary: list[str], text_col: str) -> list[str]:
-    """The vocabulary, rarest first: by the documents that hold a word, then by the word. One row per template
-    word reaches the driver."""
-    held = docs.select(F.explode(F.array_intersect(words(F.col(text_col)), _strings(vocabulary))).alias("w")).groupBy("w").count()
-    counts = {r["w"]: r["count"] for r in held.collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-
-
 class Template(NamedTuple):
     """A notice as the join takes it: its distinct words, rare ones first, and how long its blocks are."""
 
@@ -148,28 +140,32 @@ class Template(NamedTuple):
         return self.words[: len(self.words) - self.need + 1]
 
 
-def _prepared(docs: DataFrame, templates, threshold: tuple[int, int], text_col: str) -> tuple[list[Template], list[str]]:
-    """The templates that have words, and their words in the global order."""
+def _parsed(spark: SparkSession, templates, threshold: tuple[int, int]) -> list[Template]:
+    """The templates that have words, these in any order."""
     share, of = threshold
-    notices = docs.sparkSession.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, t string")
-    own = {r["k"]: r["w"] for r in notices.select("k", words(F.col("t")).alias("w")).collect() if r["w"]}
-    order = word_order(docs, sorted({w for ws in own.values() for w in ws}), text_col) if own else []
+    notices = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, t string")
+    own = {r["k"]: r["w"] for r in notices.select("k", words(F.col("t")).alias("w")).collect() if r["w"]} if templates else {}
+    return [Template(*templates[k], sorted(set(ws)), -(-share * len(set(ws)) // of), -(-of * len(ws) // share)) for k, ws in own.items()]
+
+
+def _read(docs: DataFrame, parsed: list[Template], phrases=()) -> DataFrame:
+    """(doc_id, n_words, places, held, text) of every row, written: the template words that the text holds, and the text where it
+    holds enough of some template's. The one pass that cuts all texts into words."""
+    vocabulary = sorted({w for t in parsed for w in t.words})
+    own = docs.select("doc_id", "text", words(F.col("text")).alias("_w"))
+    places = phrase_places(F.col("_w"), F.coalesce("text", F.lit("")), phrases) if phrases else F.lit(None).cast("array<struct<start:bigint,label:string>>")
+    own = own.select("doc_id", "text", F.size("_w").cast("bigint").alias("n_words"), places.alias("places"), F.array_intersect("_w", _strings(vocabulary)).alias("held"))
+    enough = reduce(or_, (F.size(F.array_intersect("held", _strings(t.words))) >= t.need for t in parsed), F.lit(False))
+    return written(own.withColumn("text", F.when(enough, F.col("text"))), "licenses")
+
+
+def _ordered(read: DataFrame, parsed: list[Template]) -> tuple[list[Template], list[str]]:
+    """The templates with their words in the global order, and that order: rarest first, by the documents that hold a word, then
+    by the word. One row per template word reaches the driver."""
+    counts = {r["w"]: r["count"] for r in read.select(F.explode("held").alias("w")).groupBy("w").count().collect()}
+    order = sorted({w for t in parsed for w in t.words}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
-    out = []
-    for k, ws in own.items():
-        distinct = sorted(set(ws), key=rank.__getitem__)
-        out.append(Template(*templates[k], distinct, -(-share * len(distinct) // of), -(-of * len(ws) // share)))
-    return out, order
-
-
-def _may_meet(text: Column, ready: list[Template]) -> Column:
-    """Whether a text holds letters enough for some template's words; told without cutting it into words, and
-    lower-casing it once: a lambda's variable holds the result."""
-
-    def enough(lower: Column) -> Column:
-        return reduce(or_, (reduce(or_, [F.contains(lower, F.lit(w)) for w in t.prefix]) & (F.size(F.filter(_strings(t.words), lambda w: F.contains(lower, w))) >= t.need) for t in ready), F.lit(False))
-
-    return F.exists(F.array(F.lower(text)), enough)
+    return [t._replace(words=sorted(t.words, key=rank.__getitem__)) for t in parsed], order
 
 
 def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text", segment_words: int = 512) -> DataFrame:
@@ -183,14 +179,20 @@ def license_blocks(docs: DataFrame, *, templates=TEMPLATES, threshold: tuple[int
     """
     spark = docs.sparkSession
     docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
-    ready, order = _prepared(docs, templates, threshold, "text") if templates else ([], [])
+    parsed = _parsed(spark, templates, threshold)
+    return _blocks(_read(docs, parsed), parsed, segment_words)
+
+
+def _blocks(read: DataFrame, parsed: list[Template], segment_words: int = 512) -> DataFrame:
+    spark = read.sparkSession
+    ready, order = _ordered(read, parsed)
     index = [(w, i, t.label, t.notice, t.words, t.prefix, len(t.words), t.need, t.width) for t in ready for i, w in enumerate(t.prefix)]
     # A row per template word at most.
     indexed = F.broadcast(spark.createDataFrame(index, "word string, i int, label string, template string, own array<string>, prefix array<string>, n int, need int, width int"))
     reach = max((t.width for t in ready), default=1)
     first = _strings(sorted({row[0] for row in index}))
 
-    own = docs.filter(_may_meet(F.col("text"), ready)).select("doc_id", words(F.col("text")).alias("w"))
+    own = read.filter("text is not null").select("doc_id", words(F.col("text")).alias("w"))
     count = F.floor((F.size("w") - 1) / segment_words).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count), lambda k: F.struct((k * segment_words).alias("base"), F.slice("w", k * segment_words + 1, segment_words + reach - 1).alias("w")))
     segments = own.filter(F.size("w") > 0).select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.base", "s.w")
@@ -219,10 +221,10 @@ def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, thre
     ignored. Very long texts are cut into words whole, and into segments for the notices.
     """
     docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
-    text = F.col("text")
-    own = docs.select("doc_id", text.alias("_text"), words(text).alias("_words"))
-    scanned = own.select("doc_id", F.size("_words").cast("bigint").alias("n_words"), phrase_places(F.col("_words"), F.coalesce("_text", F.lit("")), phrases).alias("places"))
-    met = license_blocks(docs, templates=templates, threshold=threshold).filter("doc_id is not null")
+    parsed = _parsed(docs.sparkSession, templates, threshold)
+    scanned = _read(docs, parsed, phrases)
+    met = _blocks(scanned, parsed).filter("doc_id is not null")
+    scanned = scanned.select("doc_id", "n_words", "places")
     met = met.groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_most"))
     out = scanned.join(met, "doc_id", "left")
     base = F.array_sort(F.array_distinct(F.col("places.label")))
