@@ -219,7 +219,7 @@ class Wanted:
 
 
 @dataclass
-class Block(InputPartition):
+class Block:
     """Frames from `low` up to, without, `high` of the episode in a folder."""
 
     folder: str
@@ -228,15 +228,23 @@ class Block(InputPartition):
     high: int
 
 
+@dataclass
+class Blocks(InputPartition):
+    """What a task reads: blocks of long episodes, or several short ones together."""
+
+    blocks: list[Block]
+
+
 class EpisodeReader(DataSourceReader):
     """(episode, array, frame_idx, value): a row per frame and array, the frames up to the episode's total_frames.
 
-    The driver lists the episodes that filters leave and reads their group documents, for a partition of each block of frames;
-    array documents, shard indexes and chunks are read in the tasks.
+    The driver lists the episodes that filters leave and reads their group documents. An episode is cut into blocks of
+    frames_a_task; short episodes share a partition, as long as there are `least_partitions`. Array documents, shard indexes and
+    chunks are read in the tasks.
     """
 
     def __init__(self, options: dict[str, str]):
-        self.path, self.block = options["path"], int(options.get("frames_a_task", 20_000))
+        self.path, self.block, self.least = options["path"], int(options.get("frames_a_task", 20_000)), int(options.get("least_partitions", 64))
         self.blobs = options.get("values", "numbers") == "blobs"
         self.wanted = Wanted()
 
@@ -245,33 +253,43 @@ class EpisodeReader(DataSourceReader):
             if not self.wanted.take(f):
                 yield f
 
-    def partitions(self) -> Sequence[Block]:
+    def partitions(self) -> Sequence[Blocks]:
         at, root = file_system(self.path)
         root = episode_root(at, root)
         names = [n for n in folders(at, root) if self.wanted.episodes is None or n in self.wanted.episodes]
         with ThreadPoolExecutor(32) as pool:
             documents = list(pool.map(lambda n: read_document(at, f"{root}/{n}/{DOCUMENT}"), names))
-        out = []
+        blocks = []
         for name, document in zip(names, documents, strict=True):
-            n = min(int((document or {}).get("attributes", {}).get("total_frames") or 0), self.wanted.last)
-            out += [Block(f"{root}/{name}", name, max(low, self.wanted.first), int(min(low + self.block, n))) for low in range(self.wanted.first // self.block * self.block, int(n), self.block)]
-        return out or [Block("", "", 0, 0)]
+            n = int(min(int((document or {}).get("attributes", {}).get("total_frames") or 0), self.wanted.last))
+            blocks += [Block(f"{root}/{name}", name, max(low, self.wanted.first), min(low + self.block, n)) for low in range(self.wanted.first // self.block * self.block, n, self.block)]
+        enough = min(self.block, -(-sum(b.high - b.low for b in blocks) // self.least))
+        out, held = [Blocks([])], 0
+        for b in blocks:
+            if held >= enough:
+                out.append(Blocks([]))
+                held = 0
+            out[-1].blocks.append(b)
+            held += b.high - b.low
+        return out
+
+    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
+        for block in partition.blocks:
+            yield from self._read(block)
 
-    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
-        if partition.high <= partition.low:
-            return
+    def _read(self, block: Block) -> Iterator[pa.RecordBatch]:
         at, _ = file_system(self.path)
         kind = pa.binary() if self.blobs else pa.list_(pa.float64())
-        for name in folders(at, partition.folder):
+        for name in folders(at, block.folder):
             if self.wanted.arrays is not None and name not in self.wanted.arrays:
                 continue
-            document = read_document(at, f"{partition.folder}/{name}/{DOCUMENT}")
+            document = read_document(at, f"{block.folder}/{name}/{DOCUMENT}")
             if document is None or document.get("node_type") != "array" or (document["data_type"] in BLOBS) != self.blobs:
                 continue
-            for first, values in StoredArray(at, f"{partition.folder}/{name}", document).rows(partition.low, partition.high):
+            for first, values in StoredArray(at, f"{block.folder}/{name}", document).rows(block.low, block.high):
                 n = len(values)
                 column = pa.array(values, kind) if self.blobs else pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([partition.episode] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), column], names=["episode", "array", "frame_idx", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([block.episode] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), column], names=["episode", "array", "frame_idx", "value"])
 
 
 class StoredEpisode:
