@@ -89,7 +89,7 @@ def drawn(buckets: np.ndarray, counts: np.ndarray, seed: int, most: int) -> tupl
     """At most `most` of the buckets with their counts, in order; which ones is as good as random, and depends on the seed."""
     if len(buckets) <= most:
         return buckets, counts
-    mixed = (buckets.astype(np.uint64) + np.uint64(seed % 2**64) * MULT[1]) * MULT[2]
+    mixed = (buckets.astype(np.uint64) + np.uint64(seed * int(MULT[1]) % 2**64)) * MULT[2]
     kept = np.sort(np.argpartition((mixed ^ (mixed >> np.uint64(29))) * MULT[3], most)[:most])
     return buckets[kept], counts[kept]
 
