@@ -86,9 +86,14 @@ def vector_minus(a: Column | str, b: Column | str) -> Column:
 
 
 def pad_box(x0: Column, y0: Column, x1: Column, y1: Column, pad: float = BOX_PAD) -> Column:
-    """A box as (x0, y0, x1, y1), widened on each side by a share of its size."""
-    w, h = (x1 - x0) * pad, (y1 - y0) * pad
-    return F.struct((x0 - w).alias("x0"), (y0 - h).alias("y0"), (x1 + w).alias("x1"), (y1 + h).alias("y1"))
+    """A box as (x0, y0, x1, y1), widened on each side by a share of its size.
+
+    The edges are taken from the centre and the half size, both at nine decimals: corners carry the rounding of the sums they
+    came from, and it would decide about points on an edge.
+    """
+    x, y = F.round((x0 + x1) / 2, 9), F.round((y0 + y1) / 2, 9)
+    w, h = F.round((x1 - x0) * (0.5 + pad), 9), F.round((y1 - y0) * (0.5 + pad), 9)
+    return F.struct((x - w).alias("x0"), (y - h).alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
 
 
 def in_box(x: Column | str, y: Column | str, box: Column | str) -> Column:
