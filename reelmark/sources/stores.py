@@ -1,8 +1,9 @@
 """Episode stores as a Spark data source: a folder per episode, an array per signal, read and written by chunks.
 
 The format is Zarr, version 3: a group document with the episode's attributes, and per array a document and its chunks. Reading,
-a partition is a block of one episode's frames; a task opens the chunks alone that hold them. Writing, a task writes its
-episodes into a folder of its attempt; the driver's commit moves whole episodes to their place and then marks them complete.
+a task takes blocks of episodes' frames and opens the chunks alone that hold them. Writing, an array's chunks go into one
+shard; a task writes its episodes into a folder of its attempt, and the driver's commit moves whole episodes to their place
+and then gives each its document, which marks it complete.
 
 Files are reached by Arrow's file systems, so paths are local ones or URIs that Arrow knows (file, hdfs, s3, gs, abfs).
 """
@@ -32,12 +33,14 @@ __all__ = ["EpisodeStore", "read_arrays", "register_stores", "write_store"]
 BLOBS = ("variable_length_bytes", "bytes")
 NUMBERS = {"bool": "?", **{f"{a}int{8 * n}": f"{b}{n}" for a, b in (("", "i"), ("u", "u")) for n in (1, 2, 4, 8)}, **{f"float{8 * n}": f"f{n}" for n in (2, 4, 8)}}
 DOCUMENT = "zarr.json"
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 
 def file_system(path: str):
     """Arrow's file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
+    path = path.replace("s3a://", "s3://", 1)
     if "://" in path or path.startswith("file:"):
         at, root = fs.FileSystem.from_uri(path)
         return at, root.rstrip("/")
@@ -91,7 +94,7 @@ class StoredArray:
             self.shard, self.chunk, self.codecs = self.chunk, own["chunk_shape"], own["codecs"]
             self.index_codecs, self.index_last = own["index_codecs"], own.get("index_location", "end") == "end"
         self.fill = document.get("fill_value")
-        self._shard: tuple[str, np.ndarray] | None = None
+        self._shard: tuple[str, object, np.ndarray] | None = None  # the one read last: path, open file, index
         if self.kind not in NUMBERS and self.kind not in BLOBS:
             raise ValueError(f"{path}: arrays of {self.kind} are not read")
 
@@ -111,19 +114,25 @@ class StoredArray:
                     return f.read()
             per = [s // c for s, c in zip(self.shard, self.chunk, strict=True)]
             path = self._file([p // n for p, n in zip(place, per, strict=True)])
-            with self.at.open_input_file(path) as f:
-                if not self._shard or self._shard[0] != path:
-                    size = 16 * math.prod(per) + 4 * sum(c["name"] == "crc32c" for c in self.index_codecs)
-                    raw = f.read_at(size, f.size() - size if self.index_last else 0)
-                    self._shard = path, np.frombuffer(raw[: 16 * math.prod(per)], "<u8").reshape(*per, 2)
-                offset, n = self._shard[1][tuple(p % k for p, k in zip(place, per, strict=True))].tolist()
-                if offset == n == 2**64 - 1:
-                    return None
-                self.opened += 1
-                return f.read_at(n, offset)
+            if not self._shard or self._shard[0] != path:
+                self.close()
+                f = self.at.open_input_file(path)
+                size = 16 * math.prod(per) + 4 * sum(c["name"] == "crc32c" for c in self.index_codecs)
+                raw = f.read_at(size, f.size() - size if self.index_last else 0)
+                self._shard = path, f, np.frombuffer(raw[: 16 * math.prod(per)], "<u8").reshape(*per, 2)
+            offset, n = self._shard[2][tuple(p % k for p, k in zip(place, per, strict=True))].tolist()
+            if offset == n == 2**64 - 1:
+                return None
+            self.opened += 1
+            return self._shard[1].read_at(n, offset)
         except FileNotFoundError:
             return None
 
+    def close(self) -> None:
+        if self._shard:
+            self._shard[1].close()
+            self._shard = None
+
     def _decoded(self, raw: bytes):
         """The values of a chunk: an array of its shape, or a list of bytes."""
         order = None
@@ -239,13 +248,15 @@ class EpisodeReader(DataSourceReader):
     """(episode, array, frame_idx, value): a row per frame and array, the frames up to the episode's total_frames.
 
     The driver lists the episodes that filters leave and reads their group documents. An episode is cut into blocks of
-    frames_a_task; short episodes share a partition, as long as there are `least_partitions`. Array documents, shard indexes and
-    chunks are read in the tasks.
+    frames_a_task. Blocks share a partition where there would be more than `most_partitions` of them, and short episodes do as
+    long as there are `least_partitions`: tasks stream them, so their number grows no further with the store. Array documents,
+    shard indexes and chunks are read in the tasks. Values "documents" gives (episode, document) instead, which tasks read.
     """
 
     def __init__(self, options: dict[str, str]):
         self.path, self.block, self.least = options["path"], int(options.get("frames_a_task", 20_000)), int(options.get("least_partitions", 64))
-        self.blobs = options.get("values", "numbers") == "blobs"
+        self.most = int(options.get("most_partitions", 1024))
+        self.blobs, self.documents = (options.get("values", "numbers") == v for v in ("blobs", "documents"))
         self.wanted = Wanted()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -257,39 +268,98 @@ class EpisodeReader(DataSourceReader):
         at, root = file_system(self.path)
         root = episode_root(at, root)
         names = [n for n in folders(at, root) if self.wanted.episodes is None or n in self.wanted.episodes]
+        if self.documents:
+            n = max(1, -(-len(names) // self.least), -(-len(names) // self.most))
+            return [Blocks([Block(f"{root}/{e}", e, 0, 0) for e in names[k : k + n]]) for k in range(0, max(1, len(names)), n)]
         with ThreadPoolExecutor(32) as pool:
             documents = list(pool.map(lambda n: read_document(at, f"{root}/{n}/{DOCUMENT}"), names))
         blocks = []
         for name, document in zip(names, documents, strict=True):
             n = int(min(int((document or {}).get("attributes", {}).get("total_frames") or 0), self.wanted.last))
             blocks += [Block(f"{root}/{name}", name, max(low, self.wanted.first), min(low + self.block, n)) for low in range(self.wanted.first // self.block * self.block, n, self.block)]
-        enough = min(self.block, -(-sum(b.high - b.low for b in blocks) // self.least))
+        total = sum(b.high - b.low for b in blocks)
+        enough = max(min(self.block, -(-total // self.least)), -(-total // self.most))
         out, held = [Blocks([])], 0
         for b in blocks:
             if held >= enough:
                 out.append(Blocks([]))
                 held = 0
-            out[-1].blocks.append(b)
+            last = out[-1].blocks[-1] if out[-1].blocks else None
+            if last and (last.folder, last.high) == (b.folder, b.low):
+                last.high = b.high
+            else:
+                out[-1].blocks.append(b)
             held += b.high - b.low
         return out
 
     def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
-        for block in partition.blocks:
-            yield from self._read(block)
-
-    def _read(self, block: Block) -> Iterator[pa.RecordBatch]:
+        """The blocks' rows, small batches joined."""
+        held, rows, size = [], 0, 0
         at, _ = file_system(self.path)
-        kind = pa.binary() if self.blobs else pa.list_(pa.float64())
+        of = self._documents(at, partition.blocks) if self.documents else (b for block in partition.blocks for b in self._read(at, block))
+        for batch in of:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows, size = [], 0, 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _documents(self, at, blocks: Sequence[Block]) -> Iterator[pa.RecordBatch]:
+        for b in blocks:
+            try:
+                with at.open_input_file(f"{b.folder}/{DOCUMENT}") as f:
+                    text = f.read().decode(errors="replace")
+            except (FileNotFoundError, NotADirectoryError):
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([b.episode]), pa.array([text])], names=["episode", "document"])
+
+    def _batch(self, episode: str, array: str, first: int, parts: list) -> pa.RecordBatch:
+        if self.blobs:
+            values = [v for p in parts for v in p]
+            column = pa.array(values, pa.binary())
+        else:
+            values = np.concatenate(parts)
+            column = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+        n = len(values)
+        return pa.RecordBatch.from_arrays([pa.array([episode] * n, pa.string()), pa.array([array] * n, pa.string()), pa.array(np.arange(first, first + n)), column], names=["episode", "array", "frame_idx", "value"])
+
+    def _read(self, at, block: Block) -> Iterator[pa.RecordBatch]:
         for name in folders(at, block.folder):
             if self.wanted.arrays is not None and name not in self.wanted.arrays:
                 continue
             document = read_document(at, f"{block.folder}/{name}/{DOCUMENT}")
             if document is None or document.get("node_type") != "array" or (document["data_type"] in BLOBS) != self.blobs:
                 continue
-            for first, values in StoredArray(at, f"{block.folder}/{name}", document).rows(block.low, block.high):
-                n = len(values)
-                column = pa.array(values, kind) if self.blobs else pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([block.episode] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), column], names=["episode", "array", "frame_idx", "value"])
+            array = StoredArray(at, f"{block.folder}/{name}", document)
+            parts, began, size = [], 0, 0
+            for first, values in array.rows(block.low, block.high):
+                began = began if parts else first
+                parts.append(values)
+                size += sum(map(len, values)) if self.blobs else values.nbytes
+                if size >= BATCH_BYTES:
+                    yield self._batch(block.episode, name, began, parts)
+                    parts, size = [], 0
+            array.close()
+            if parts:
+                yield self._batch(block.episode, name, began, parts)
+
+
+class Shard:
+    """An array's file: chunks as they come, and behind them their index."""
+
+    def __init__(self, at, path: str):
+        self.file, self.index, self.end = at.open_output_stream(path, compression=None), [], 0
+
+    def add(self, chunk: bytes) -> None:
+        self.file.write(chunk)
+        self.index += [self.end, len(chunk)]
+        self.end += len(chunk)
+
+    def close(self) -> None:
+        self.file.write(np.array(self.index, "<u8").tobytes())
+        self.file.close()
 
 
 class StoredEpisode:
@@ -302,21 +372,25 @@ class StoredEpisode:
         self.blobs = {n: [] for n in schema.names if n not in (key, order, *attributes) and (pa.types.is_binary(schema.field(n).type) or pa.types.is_large_binary(schema.field(n).type))}
         self.numbers = {n: [] for n in schema.names if n not in (key, order, *attributes) and n not in self.blobs}
         self.frames: list[int] = []
+        self.shards: dict[str, Shard] = {}
 
     def _write(self, path: str, data: bytes) -> None:
-        self.at.create_dir(path.rpartition("/")[0], recursive=True)
         with self.at.open_output_stream(path, compression=None) as f:
             f.write(data)
 
-    def _put(self, name: str, chunk: str, data: bytes) -> None:
+    def _put(self, name: str, place: str, data: bytes) -> None:
+        """Adds a chunk to the array's shard, the one of that place."""
         import zstandard
 
-        self._write(f"{self.folder}/{name}/c/{chunk}", zstandard.ZstdCompressor(level=1).compress(data))
+        if name not in self.shards:
+            self.at.create_dir(f"{self.folder}/{name}", recursive=True)
+            self.shards[name] = Shard(self.at, f"{self.folder}/{name}/c.{place}")
+        self.shards[name].add(zstandard.ZstdCompressor(level=1).compress(data))
 
     def _flush(self, name: str) -> None:
         own = self.blobs[name]
         parts = [len(own).to_bytes(4, "little"), *(x for b in own for x in (len(b).to_bytes(4, "little"), b))]
-        self._put(name, str((len(self.frames) - 1) // self.chunk), b"".join(parts))
+        self._put(name, "0", b"".join(parts))
         own.clear()
 
     def add(self, row: dict) -> None:
@@ -335,14 +409,19 @@ class StoredEpisode:
             own.append(row[name])
 
     def _document(self, name: str, kind: str, shape: list[int], chunk: list[int], fill, codec: dict) -> None:
-        codecs = [codec, {"name": "zstd", "configuration": {"level": 1, "checksum": False}}]
-        grid, keys = {"name": "regular", "configuration": {"chunk_shape": chunk}}, {"name": "default", "configuration": {"separator": "/"}}
+        little = {"name": "bytes", "configuration": {"endian": "little"}}
+        inner = {"chunk_shape": chunk, "codecs": [codec, {"name": "zstd", "configuration": {"level": 1, "checksum": False}}], "index_codecs": [little], "index_location": "end"}
+        codecs = [{"name": "sharding_indexed", "configuration": inner}]
+        shard = [-(-shape[0] // chunk[0]) * chunk[0], *chunk[1:]]
+        grid, keys = {"name": "regular", "configuration": {"chunk_shape": shard}}, {"name": "default", "configuration": {"separator": "."}}
+        self.shards[name].close()
         self._write(f"{self.folder}/{name}/{DOCUMENT}", json.dumps({"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": kind, "chunk_grid": grid, "chunk_key_encoding": keys, "fill_value": fill, "codecs": codecs, "attributes": {}}).encode())
 
     def finish(self) -> None:
-        """What is left, the documents, and last the group's, not marked complete. Rows of numbers shorter than the longest are
-        filled up with NaN; a column without any number gives no array."""
+        """What is left, the documents, and last the group's, by a hidden name until the episode is in its place. Rows of numbers
+        shorter than the longest are filled up with NaN; a column without any number gives no array."""
         n = len(self.frames)
+        self.at.create_dir(self.folder, recursive=True)
         for name, own in self.blobs.items():
             if own:
                 self._flush(name)
@@ -359,11 +438,11 @@ class StoredEpisode:
             for k in range(0, n, self.chunk):
                 part = np.full((self.chunk, width), np.nan)
                 part[: min(self.chunk, n - k)] = data[k : k + self.chunk]
-                self._put(name, str(k // self.chunk) + "/0" * (not flat), part.astype("<f8").tobytes())
+                self._put(name, "0" if flat else "0.0", part.astype("<f8").tobytes())
             self._document(name, "float64", [n] if flat else [n, width], [self.chunk] if flat else [self.chunk, width], "NaN", {"name": "bytes", "configuration": {"endian": "little"}})
         step = self.frames[1] - self.frames[0] if n > 1 else DEFAULT_FPS
         own = {"total_frames": n, "fps": DEFAULT_FPS / max(1, step), "source_frames": self.frames}
-        self._write(f"{self.folder}/{DOCUMENT}", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": own | self.attributes}).encode())
+        self._write(f"{self.folder}/.{DOCUMENT}", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": own | self.attributes | {"complete": True}}).encode())
 
 
 @dataclass
@@ -400,6 +479,9 @@ class EpisodeWriter(DataSourceArrowWriter):
             if open_ is not None and now not in out.faults:
                 open_.finish()
                 out.episodes.append(now)
+            elif open_ is not None:
+                for shard in open_.shards.values():
+                    shard.file.close()
 
         for batch in iterator:
             for row in batch.to_pylist():
@@ -419,7 +501,9 @@ class EpisodeWriter(DataSourceArrowWriter):
         return out
 
     def _place(self, messages: Sequence[Written | None]) -> dict[str, str]:
-        """Moves whole episodes to their place and marks them; the faults of the others."""
+        """Moves whole episodes to their place and gives them their documents; the faults of the others."""
+        from pyarrow import fs
+
         at, root = file_system(self.path)
         faults, seen = {}, {}
         for m in messages:
@@ -427,21 +511,19 @@ class EpisodeWriter(DataSourceArrowWriter):
                 seen[episode] = seen.get(episode, 0) + 1
             faults |= m.faults if m else {}
         faults |= {e: "it came in several tasks" for e, n in seen.items() if n > 1}
-        for m in messages:
-            for episode in m.episodes if m else ():
-                source, target = f"{m.folder}/{episode}", f"{root}/{episode}"
-                document = read_document(at, f"{source}/{DOCUMENT}")
-                if episode in faults or document is None:  # None: an earlier call has moved it
-                    continue
-                from pyarrow import fs
-
-                if at.get_file_info([target])[0].type != fs.FileType.NotFound:
-                    at.delete_dir(target)
-                at.move(source, target)
-                document["attributes"]["complete"] = True
-                with at.open_output_stream(f"{target}/{DOCUMENT}.new", compression=None) as f:
-                    f.write(json.dumps(document).encode())
-                at.move(f"{target}/{DOCUMENT}.new", f"{target}/{DOCUMENT}")
+        there = {f.base_name for f in at.get_file_info(fs.FileSelector(root, allow_not_found=True))}
+
+        def place(one: tuple[str, str]) -> None:
+            source, target = f"{one[0]}/{one[1]}", f"{root}/{one[1]}"
+            if one[1] in there:
+                if at.get_file_info([source])[0].type == fs.FileType.NotFound:  # an earlier call has moved it
+                    return
+                at.delete_dir(target)
+            at.move(source, target)
+            at.move(f"{target}/.{DOCUMENT}", f"{target}/{DOCUMENT}")
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(place, ((m.folder, e) for m in messages if m for e in m.episodes if e not in faults)))
         if folders(at, root) or any(m for m in messages):
             at.create_dir(root, recursive=True)
         at.create_dir(self._attempts(root), recursive=True)
@@ -462,8 +544,8 @@ class EpisodeWriter(DataSourceArrowWriter):
 
 
 class EpisodeStore(DataSource):
-    """format("episode_store"). Reading, option values is numbers (arrays of doubles) or blobs; frames_a_task bounds a
-    partition. Writing, options key, order, attributes (comma-separated), chunk (rows of a chunk) and strict (whether faults of
+    """format("episode_store"). Reading, option values is numbers (arrays of doubles), blobs or documents (the groups');
+    frames_a_task bounds a block, most_partitions how many tasks read them. Writing, options key, order, attributes (comma-separated), chunk (rows of a chunk) and strict (whether faults of
     episodes fail the write)."""
 
     @classmethod
@@ -471,7 +553,7 @@ class EpisodeStore(DataSource):
         return "episode_store"
 
     def schema(self) -> str:
-        return f"episode string, array string, frame_idx bigint, value {'binary' if self.options.get('values') == 'blobs' else 'array<double>'}"
+        return f"episode string, array string, frame_idx bigint, value {'binary' if self.options.get('values') == 'blobs' else 'array<double>'}" if self.options.get("values") != "documents" else "episode string, document string"
 
     def reader(self, schema: T.StructType) -> EpisodeReader:
         return EpisodeReader(dict(self.options))

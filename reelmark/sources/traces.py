@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..constants import CLIP_SUFFIXES
 from ..functions import label_of, numeric
 from ..operators.presets import apply_preset
-from ..schemas import BULK_FRAMES, CATALOG, EPISODE_ATTRIBUTES, EPISODE_STORE, GEO_TRACE, SEG_TRACE, VLM_TRACE, parsed
+from ..schemas import BULK_FRAMES, CATALOG, EPISODE_STORE, GEO_TRACE, SEG_TRACE, VLM_TRACE, parsed
 
 __all__ = ["TRACES", "read_bulk_frames", "read_catalog", "read_clips", "read_episode_store", "read_mask_files", "read_model_traces", "read_preset", "read_traces", "stem"]
 
@@ -69,16 +69,12 @@ def read_episode_store(spark: SparkSession, root: str) -> DataFrame:
 
     Where the root's own children hold none, the first subfolder in order whose children do is the root.
     """
-    paths = [f"{root}/*/zarr.json", f"{root}/*/*/zarr.json"]
-    path = next((p for p in paths if _present(spark, p)), None)
-    if path is None:
-        return spark.createDataFrame([], T.StructType([T.StructField("episode", T.StringType()), *parsed(EPISODE_ATTRIBUTES).fields]))
-    rows = spark.read.option("multiLine", True).schema(EPISODE_STORE).json(path)
-    parts = F.split(file_path(), "/")
-    rows = rows.select(F.element_at(parts, -2).alias("episode"), F.element_at(parts, -3).alias("_in"), "attributes.*")
-    if path == paths[1]:
-        rows = rows.filter(F.col("_in") == rows.select(F.min("_in")).scalar())
-    return rows.drop("_in").withColumn("fps", numeric("fps", 30.0))
+    from .stores import register_stores
+
+    register_stores(spark)
+    rows = spark.read.format("episode_store").option("values", "documents").load(root)
+    rows = rows.select("episode", F.from_json("document", EPISODE_STORE).alias("d")).select("episode", "d.attributes.*")
+    return rows.withColumn("fps", numeric("fps", 30.0))
 
 
 def read_bulk_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -207,3 +207,15 @@ def test_a_task_that_fails(spark, tmp_path):
     assert marked == {f"e{k}" for k in range(16)} - own and "e3" in own
     assert read_arrays(spark, root, blobs=True).count() == 5 * len(marked)
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+
+
+def test_many_short_episodes_are_few_files_and_tasks(spark, tmp_path):
+    """An array is a document and one shard, whatever its chunks; blocks share a task beyond the most partitions."""
+    root = str(tmp_path / "out")
+    f = spark.range(40 * 50).select(F.concat(F.lit("e"), (F.col("id") % 40).cast("string")).alias("episode"), F.floor(F.col("id") / 40).alias("frame_idx"), F.array(F.col("id").cast("double")).alias("pose"))
+    write_store(f, root, chunk=8)
+    assert sum(p.is_file() for p in (tmp_path / "out").rglob("*")) == 40 * 3
+    reader = EpisodeReader({"path": root, "frames_a_task": "5", "most_partitions": "16"})
+    assert len(reader.partitions()) <= 16 and sum(b.high - b.low for p in reader.partitions() for b in p.blocks) == 2000
+    got = spark.read.format("episode_store").option("frames_a_task", "5").option("most_partitions", "16").load(root)
+    assert {(r["episode"], r["frame_idx"]): r["value"] for r in got.collect()} == {(f"e{k % 40}", k // 40): [float(k)] for k in range(2000)}
