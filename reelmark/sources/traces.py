@@ -57,10 +57,19 @@ def read_traces(spark: SparkSession, path: str, kind: str, *, strict: bool = Fal
 
 
 def read_model_traces(spark: SparkSession, root: str, *, strict: bool = True) -> DataFrame:
-    """The traces of every model folder under a root, with the folder's name as model_dir. Folders without files give none."""
-    if not _present(spark, f"{root}/*/*.json"):
+    """The traces of every model folder under a root, with the folder's name as model_dir. Folders without files give none.
+
+    The folders are listed, and not a glob over their files: Spark would take each file as a path of its own.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    own = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    models = [f.getPath().toString() for f in own.listStatus(at) if f.isDirectory()] if own.exists(at) else []
+    if not models:
         return spark.createDataFrame([], T.StructType([*parsed(VLM_TRACE).fields, T.StructField("model_dir", T.StringType())]))
-    rows = spark.read.option("multiLine", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED").schema(VLM_TRACE).json(f"{root}/*/*.json")
+    options = {"multiLine": True, "pathGlobFilter": "*.json", "recursiveFileLookup": True, "mode": "FAILFAST" if strict else "DROPMALFORMED"}
+    rows = spark.read.options(**options).schema(VLM_TRACE).json(models)
+    folder = F.regexp_extract(file_path(), r"^(?:[A-Za-z0-9]+:(?://[^/]*)?)?(/.*)/[^/]+$", 1)
+    rows = rows.filter(folder.isin([spark._jvm.org.apache.hadoop.fs.Path(m).toUri().getPath() for m in models]))  # files further down are no traces of a model
     return rows.withColumns({"episode": stem(file_path()), "model_dir": F.regexp_extract(file_path(), r"([^/]+)/[^/]+$", 1), "label": label_of("label", "task_name")})
 
 

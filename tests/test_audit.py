@@ -388,3 +388,13 @@ def test_stream(spark, folder, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["episode"]: r["tag"] for r in spark.table("tags").collect()} == {"a": "success", "b": "failure"}
+
+
+def test_model_folders_are_listed_not_their_files(spark, tmp_path):
+    """A glob over files made each one a path of its own; folders further down and files beside the folders are no models'."""
+    for path in ("a/e1.json", "a/e2.json", "b/e1.json", "a/more/e3.json", "e4.json", "a/notes.txt"):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text('{"task_name": "cup_success", "p_yes": [0.5]}')
+    rows = traces.read_model_traces(spark, str(tmp_path))
+    assert sorted((r["model_dir"], r["episode"]) for r in rows.collect()) == [("a", "e1"), ("a", "e2"), ("b", "e1")]
+    assert "InMemoryFileIndex(2 paths)" in rows._jdf.queryExecution().executedPlan().toString()
