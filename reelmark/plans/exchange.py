@@ -15,7 +15,7 @@ from ..operators import detections as det
 from ..operators import evaluation as ev
 from ..operators import loading, presets, scoring
 from ..sources import read_arrays, read_bulk_frames, read_clips, read_episode_store, read_mask_files, read_model_traces, read_preset, read_traces, sinks, write_store
-from ..sources.shared import shared_folder
+from ..sources.shared import kept, shared_folder
 from . import audit
 from .table_sql import COUNTED, FRAMES, LATE, SEG
 from .tables import frames, rounded, table
@@ -176,7 +176,8 @@ def trace_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trace_audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three criteria of that audit against its labels."""
-    return rounded(audit.audit_scores(_audit(spark, sf_dir)))
+    # The scores take the audit several times over: its documents are read for it once.
+    return rounded(audit.audit_scores(kept(_audit(spark, sf_dir), "audit")))
 
 
 def trace_clips(spark: SparkSession, sf_dir: str) -> DataFrame:

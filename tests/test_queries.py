@@ -25,3 +25,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(e.queries())
+
+
+def test_scores_read_the_documents_once(spark, small):
+    from reelmark.plans import exchange
+
+    plan = exchange.trace_audit_scores(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert " json" not in plan and " parquet" in plan
