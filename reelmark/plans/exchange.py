@@ -15,7 +15,7 @@ from ..operators import detections as det
 from ..operators import evaluation as ev
 from ..operators import loading, presets, scoring
 from ..sources import read_arrays, read_bulk_frames, read_clips, read_episode_store, read_mask_files, read_model_traces, read_preset, read_traces, sinks, write_store
-from ..sources.shared import kept, shared_folder
+from ..sources.shared import gathered, kept, shared_folder
 from . import audit
 from .table_sql import COUNTED, FRAMES, LATE, SEG
 from .tables import frames, rounded, table
@@ -200,8 +200,8 @@ def audit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = per.select("episode", F.struct(F.struct("view", "error").alias("means"), F.when(F.col("most") > 0.9, F.struct("most")).alias("peak")).alias("features"), "kinds", F.create_map(F.lit("n"), F.col("n")).alias("counts"))
     root = shared_folder(spark, "records")
     sinks.write_documents(record, root)
-    back = spark.read.schema(record.schema).option("multiLine", True).option("mode", "FAILFAST").json(root)
-    text = spark.read.text(root, wholetext=True).select(F.array_join(F.regexp_extract_all("value", F.lit(r'"(\w+)":'), F.lit(1)), ",").alias("fields"), F.get_json_object("value", "$.episode").alias("episode"))
+    back = gathered(spark.read.schema(record.schema).option("multiLine", True).option("mode", "FAILFAST").json(root))
+    text = gathered(spark.read.text(root, wholetext=True)).select(F.array_join(F.regexp_extract_all("value", F.lit(r'"(\w+)":'), F.lit(1)), ",").alias("fields"), F.get_json_object("value", "$.episode").alias("episode"))
     out = back.join(text, "episode")
     return rounded(out.select(ep(), F.col("counts.n").alias("n"), "features.means.view", "features.means.error", "features.peak.most", F.array_join("kinds", ",").alias("kinds"), "fields"))
 

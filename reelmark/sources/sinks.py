@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sequence import running_offset
+from .shared import gathered
 
 
 def without_blobs(df: DataFrame) -> DataFrame:
@@ -59,25 +60,28 @@ def documents(df: DataFrame, *, key: str = "episode") -> DataFrame:
 def write_files(files: DataFrame, folder: str, *, name: str = "name", data: str = "data") -> int:
     """Writes each row's text or bytes as a file of the folder and returns how many. Names may hold sub-folders.
 
-    A file is written under a name of the attempt's own and then renamed, so repeated attempts leave whole files; files of other
-    names stay. Null data is an empty file. Rows are written by the tasks that hold them.
+    A file is written in a hidden folder of the attempt's own and then moved, so repeated attempts leave whole files; files of
+    other names stay. Null data is an empty file. Rows are written by the tasks that hold them; the folder they share, where they
+    would wait for one another, sees the move alone.
     """
     from .stores import file_system
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, root = file_system(folder)
-        at.create_dir(root, recursive=True)
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                target = f"{root}/{file}"
-                if "/" in file:
-                    at.create_dir(target.rpartition("/")[0], recursive=True)
-                attempt = f"{target.rpartition('/')[0]}/.{uuid.uuid4().hex}"
-                with at.open_output_stream(attempt, compression=None) as f:
-                    if content.is_valid:
-                        f.write(content.as_buffer())
-                at.move(attempt, target)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+        own = f"{root}/.{uuid.uuid4().hex}"
+        at.create_dir(own, recursive=True)
+        try:
+            for batch in batches:
+                for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if "/" in file:
+                        at.create_dir(f"{root}/{file}".rpartition("/")[0], recursive=True)
+                    with at.open_output_stream(f"{own}/file", compression=None) as f:
+                        if content.is_valid:
+                            f.write(content.as_buffer())
+                    at.move(f"{own}/file", f"{root}/{file}")
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+        finally:
+            at.delete_dir(own)
 
     return files.select(F.col(name).cast("string"), F.col(data)).mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -92,7 +96,7 @@ def collect_artifacts(verdicts: DataFrame, folder: str, *, key: str = "episode")
     path; empty without files. Files are listed, not read; those without a byte are left out. The folder must be there."""
     files = verdicts.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     base = re.sub("^[a-z0-9]+:(//[^/]*)?", "", folder).rstrip("/")
-    own = files.select("path", "length", F.regexp_extract("path", rf"\Q{base}\E/([^/]+)/.+", 1).alias("_episode")).filter("_episode <> ''")
+    own = gathered(files.select("path", "length")).select("path", "length", F.regexp_extract("path", rf"\Q{base}\E/([^/]+)/.+", 1).alias("_episode")).filter("_episode <> ''")
     own = own.groupBy("_episode").agg(F.array_sort(F.collect_list(F.struct("path", "length"))).alias("artifacts"))
     out = verdicts.join(own, F.col(key).cast("string") == F.col("_episode"), "left").drop("_episode")
     return out.withColumn("artifacts", F.coalesce("artifacts", F.array().cast(own.schema["artifacts"].dataType)))

@@ -13,6 +13,7 @@ from ..constants import CLIP_SUFFIXES
 from ..functions import label_of, numeric
 from ..operators.presets import apply_preset
 from ..schemas import BULK_FRAMES, CATALOG, EPISODE_STORE, GEO_TRACE, SEG_TRACE, VLM_TRACE, parsed
+from .shared import gathered
 
 __all__ = ["TRACES", "read_bulk_frames", "read_catalog", "read_clips", "read_episode_store", "read_mask_files", "read_model_traces", "read_preset", "read_traces", "stem"]
 
@@ -46,7 +47,7 @@ def read_traces(spark: SparkSession, path: str, kind: str, *, strict: bool = Fal
         return spark.createDataFrame([], schema)
     if strict:
         raw = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").option("mode", "FAILFAST").schema(schema).json(path)
-        out = raw.withColumn("episode", stem(file_path()))
+        out = gathered(raw.withColumn("episode", stem(file_path())))
     else:
         # Parsed from its text, a file is known to be bad whatever columns are asked for.
         bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -70,7 +71,7 @@ def read_model_traces(spark: SparkSession, root: str, *, strict: bool = True) ->
     rows = spark.read.options(**options).schema(VLM_TRACE).json(models)
     folder = F.regexp_extract(file_path(), r"^(?:[A-Za-z0-9]+:(?://[^/]*)?)?(/.*)/[^/]+$", 1)
     rows = rows.filter(folder.isin([spark._jvm.org.apache.hadoop.fs.Path(m).toUri().getPath() for m in models]))  # files further down are no traces of a model
-    return rows.withColumns({"episode": stem(file_path()), "model_dir": F.regexp_extract(file_path(), r"([^/]+)/[^/]+$", 1), "label": label_of("label", "task_name")})
+    return gathered(rows.withColumns({"episode": stem(file_path()), "model_dir": F.regexp_extract(file_path(), r"([^/]+)/[^/]+$", 1), "label": label_of("label", "task_name")}))
 
 
 def read_episode_store(spark: SparkSession, root: str) -> DataFrame:

@@ -43,6 +43,25 @@ def test_files(spark, tmp_path):
     assert (r["episode"], r["p_yes"]) == ("e 1+%", [0.5])
 
 
+def test_no_attempt_is_left(spark, tmp_path):
+    """A file whose name is taken by a folder fails the job, and its attempt goes; what other tasks wrote is whole."""
+    (tmp_path / "out" / "taken" / "inside").mkdir(parents=True)
+    with pytest.raises(Exception, match="taken"):
+        sinks.write_files(spark.createDataFrame([("taken", "x")], "name string, data string").coalesce(1), str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["taken"]
+
+
+def test_tasks_of_small_files(spark, tmp_path):
+    """Spark makes a task of every 32 small files; the readers take many of these in one, and lose no file."""
+    cores = spark.sparkContext.defaultParallelism
+    for k in range(128 * cores):
+        (tmp_path / f"e{k}.json").write_text('{"p_yes": [0.5], "task_name": "x_success"}')
+    for strict in (True,):
+        rows = read_traces(spark, str(tmp_path), "vlm", strict=strict)
+        assert rows.rdd.getNumPartitions() <= 2 * cores
+        assert tuple(rows.agg(F.count_distinct("episode"), F.count_if(F.col("label") == "success"), F.sum(F.get("p_yes", F.lit(0)))).first()) == (128 * cores, 128 * cores, 64.0 * cores)
+
+
 def test_artifacts(spark, tmp_path):
     for name, data in (("e1/m.bin", b"xyz"), ("e1/log/a.txt", b"12"), ("e2/m.bin", b"1"), ("top.txt", b"1")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
