@@ -49,10 +49,12 @@ def read_traces(spark: SparkSession, path: str, kind: str, *, strict: bool = Fal
         raw = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").option("mode", "FAILFAST").schema(schema).json(path)
         out = gathered(raw.withColumn("episode", stem(file_path())))
     else:
-        # Parsed from its text, a file is known to be bad whatever columns are asked for.
+        # Parsed from its text, a file is known to be bad whatever columns are asked for. The text comes whole, of many lines too.
         bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-        raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-        parsed_ = raw.select(F.from_json("value", bad, {"mode": "PERMISSIVE"}).alias("r"), stem(file_path()).alias("_stem"))
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+        raw = gathered(raw.select(F.col("content").cast("string").alias("value"), stem(file_path()).alias("_stem")))
+        text = F.when(F.startswith("value", F.lit("\ufeff")), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))  # without a byte order mark
+        parsed_ = raw.select(F.from_json(text, bad, {"mode": "PERMISSIVE"}).alias("r"), "_stem")
         out = parsed_.filter("r is not null and r._corrupt_record is null").select("r.*", "_stem").withColumn("episode", F.col("_stem")).drop("_corrupt_record", "_stem")
     return out.withColumn("label", label_of("label", "task_name")) if {"label", "task_name"} <= set(schema.names) else out
 
@@ -104,7 +106,7 @@ def read_preset(spark: SparkSession, path: str, presets: Mapping[str, Sequence[C
 def read_clips(spark: SparkSession, path: str) -> DataFrame:
     """(clip, path, length, content) of the video files of a folder; content is read only if it is selected."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(CLIP_SUFFIXES) + "}").load(path)
-    return rows.select(stem("path").alias("clip"), "path", "length", "content")
+    return gathered(rows.select(stem("path").alias("clip"), "path", "length", "content"))
 
 
 def read_mask_files(spark: SparkSession, path: str, index: DataFrame, *, span: int = 256 << 20, batch_bytes: int = 64 << 20) -> DataFrame:

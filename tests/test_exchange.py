@@ -56,12 +56,21 @@ def test_tasks_of_small_files(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     for k in range(128 * cores):
         (tmp_path / f"e{k}.json").write_text('{"p_yes": [0.5], "task_name": "x_success"}')
-    for strict in (True,):
+    for strict in (True, False):
         rows = read_traces(spark, str(tmp_path), "vlm", strict=strict)
         assert rows.rdd.getNumPartitions() <= 2 * cores
         assert tuple(rows.agg(F.count_distinct("episode"), F.count_if(F.col("label") == "success"), F.sum(F.get("p_yes", F.lit(0)))).first()) == (128 * cores, 128 * cores, 64.0 * cores)
 
 
+def test_lenient_documents_of_many_lines(spark, tmp_path):
+    """A document is its whole file: of several lines, with a byte order mark; half a document is left out."""
+    text = json.dumps({"p_yes": [0.5], "task_name": "x_success"}, indent=1)
+    for name, data in (("lines", text), ("crlf", text.replace("\n", "\r\n")), ("mark", "\ufeff" + text), ("half", text[:20]), ("none", "")):
+        (tmp_path / f"{name}.json").write_bytes(data.encode())
+    got = {(r["episode"], *r["p_yes"], r["label"]) for r in read_traces(spark, str(tmp_path), "vlm").collect()}
+    assert got == {(name, 0.5, "success") for name in ("lines", "crlf", "mark")}
+
+
 def test_artifacts(spark, tmp_path):
     for name, data in (("e1/m.bin", b"xyz"), ("e1/log/a.txt", b"12"), ("e2/m.bin", b"1"), ("top.txt", b"1")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
