@@ -12,9 +12,10 @@ from ..functions import any_word, in_box, known, pad_box, ramp
 from . import sequence as seq
 
 
-def explode_frames(traces: DataFrame, *, keep: Sequence[str] = ("episode",)) -> DataFrame:
-    """A row per sampled frame: the kept columns, frame_idx (keys are text and become numbers), objects, prompts."""
-    entries = traces.select(*keep, F.explode(F.map_entries("frames")).alias("_f"))
+def explode_frames(traces: DataFrame, *, keep: Sequence[str] = ("episode",), outer: bool = False) -> DataFrame:
+    """A row per sampled frame: the kept columns, frame_idx (keys are text and become numbers), objects, prompts. A trace
+    without frames has no row, or, if outer, one without frame_idx."""
+    entries = traces.select(*keep, (F.explode_outer if outer else F.explode)(F.map_entries("frames")).alias("_f"))
     return entries.select(*keep, F.col("_f.key").cast("int").alias("frame_idx"), F.col("_f.value.objects").alias("objects"), F.col("_f.value.prompt_to_obj_ids").alias("prompt_to_obj_ids"))
 
 
@@ -75,14 +76,23 @@ def placement(frames: DataFrame, keys: Sequence[str], order: str, *, x: str = "c
     return per.drop("_on", "_x1", "_y1", "_x0", "_y0", "_moved")
 
 
-def seg_features(traces: DataFrame, key: str = "episode") -> DataFrame:
+def seg_features(traces: DataFrame, key: str = "episode", *, carry: str | None = None) -> DataFrame:
     """The placement features of segmentation traces, plus cup_track_ids, how many ids the cup had. An episode
-    without frames has no row. Only ids that the frame before lacks are gathered: a few of an episode, not all its frames'."""
+    without frames has no row. Only ids that the frame before lacks are gathered: a few of an episode, not all its frames'.
+
+    With `carry`, a column of the traces comes along (its largest value, of several traces of a key), and an episode without
+    frames has a row with that column alone: the traces are read once for both.
+    """
     before = F.lag("cup_ids").over(seq.ordered([key], "frame_idx"))
     new = F.array_except("cup_ids", F.coalesce(before, F.array().cast("array<int>")))
-    frames = frame_tracks(explode_frames(traces, keep=(key,))).withColumn("_new", new)
+    keep = (key,) if carry is None else (key, carry)
+    frames = frame_tracks(explode_frames(traces, keep=keep, outer=carry is not None)).withColumn("_new", new)
     ids = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("_new") > 0, F.col("_new")))))).alias("cup_track_ids")
-    return placement(frames, [key], "frame_idx", extra=[ids])
+    if carry is None:
+        return placement(frames, [key], "frame_idx", extra=[ids])
+    out = placement(frames, [key], "frame_idx", extra=[ids, F.max(carry).alias("_carried"), F.count("frame_idx").alias("_frames")])
+    features = [F.when(F.col("_frames") > 0, F.col(c)).alias(c) for c in out.columns if c not in (key, "_carried", "_frames")]
+    return out.select(key, F.col("_carried").alias(carry), *features)
 
 
 def mask_summary(pixels: DataFrame, keys: Sequence[str], x: str, y: str, on: str) -> DataFrame:

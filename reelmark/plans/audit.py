@@ -16,6 +16,7 @@ from ..operators import fusion
 from ..operators import gripper
 from ..operators import sequence as seq
 from ..operators.confidence import add_curve_statistics
+from ..sources.shared import kept
 from ..sources.sinks import markdown
 
 
@@ -24,9 +25,14 @@ def fused_audit(vlm: DataFrame, seg: DataFrame, geo: DataFrame | None = None, *,
 
     Without a threshold, the confidence score is calibrated at the median of all episodes that have one. The label is
     that of the first signal that has a record.
+
+    Traces are read once each: the calibration takes the confidence features several times over, so without a threshold they
+    are written, when the audit is made, as a table in a shared folder.
     """
     v = add_curve_statistics(vlm).select("episode", "label", "p_done_late", "p_done_final", "p_done_max", "p_done_rise")
-    s = seg.select("episode", "label").join(det.seg_features(seg), "episode", "left")
+    if threshold is None:
+        v = kept(v, "vlm-features")
+    s = det.seg_features(seg, carry="label")
     signals = {"vlm": v, "seg": s}
     if geo is not None:
         signals["geo"] = geo.filter("features.bimanual is not null").select("episode", "label", F.coalesce("features.bimanual.any_hold", F.lit(False)).alias("any_hold"), F.coalesce("features.bimanual.handover_detected", F.lit(False)).alias("handover"), F.coalesce("features.bimanual.total_slips", F.lit(0)).alias("total_slips"))

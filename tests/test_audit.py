@@ -154,6 +154,18 @@ def test_store_and_models(spark, folder, tmp_path):
     assert [(r["model_dir"], r["episode"]) for r in traces.read_model_traces(spark, str(tmp_path / "m")).collect()] == [("qwen", "a")]
 
 
+def test_a_label_comes_along_with_box_features(spark, folder):
+    """Features are those without it; a trace without frames, empty or missing, has its label and no feature."""
+    on = frame([obj(1, 0.9, [5.0, 5.0]), obj(2, 0.9, None)], [1], [2])
+    s = {"a": seg_trace({"0": on, "1": on}, label="success"), "b": seg_trace({"0": on}), "none": seg_trace({}, label="failure"), "gone": {"label": "success"}}
+    seg = traces.read_traces(spark, folder("seg", s), "seg")
+    plain = det.seg_features(seg)
+    got = {r["episode"]: r.asDict() for r in det.seg_features(seg, carry="label").collect()}
+    assert {e: r["label"] for e, r in got.items()} == {r["episode"]: r["label"] for r in seg.collect()} and len(got) == 4
+    assert {e: {c: got[e][c] for c in plain.columns} for e in ("a", "b")} == {r["episode"]: r.asDict() for r in plain.collect()}
+    assert all(got[e][c] is None for e in ("none", "gone") for c in plain.columns if c != "episode")
+
+
 def test_fused_audit_end_to_end(spark, folder):
     v = {e: {"p_yes": [p] * 4, "label": lab} for e, p, lab in (("a", 0.9, "success"), ("b", 0.2, "failure"), ("c", 0.6, "failure"))}
     on, off = frame([obj(1, 0.9, [5.0, 5.0]), obj(2, 0.9, None)], [1], [2]), frame([obj(1, 0.9, [90.0, 5.0]), obj(2, 0.9, None)], [1], [2])

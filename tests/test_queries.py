@@ -32,3 +32,11 @@ def test_scores_read_the_documents_once(spark, small):
 
     plan = exchange.trace_audit_scores(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert " json" not in plan and " parquet" in plan
+
+
+def test_an_audit_reads_each_trace_once(spark, small):
+    """The confidence traces are read when the audit is made; the plan reads the others' folders, each of them once."""
+    from reelmark.plans import exchange
+
+    plan = exchange.trace_audit(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" json") == 2
